@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, lm_score, quality_rules, token_counts
+from . import byte_bpe, jaccard_join, lm_score, quality_rules, token_counts
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.op2(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.op4(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.op5(table(spark, sf_dir, "documents"))
 
@@ -24,5 +28,5 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.op7(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_lm_score, op3_quality_rules, op5_token_counts, op7_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_lm_score, op3_quality_rules, op4_jaccard_join, op5_token_counts, op7_byte_bpe)}
 SQL: dict[str, str] = {}
