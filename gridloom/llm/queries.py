@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, jaccard_join, lm_score, quality_rules, token_counts
+from . import byte_bpe, jaccard_join, lm_score, quality_rules, substring_dedup, token_counts
 from .common import table
 
 
@@ -28,5 +28,9 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.op7(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_lm_score, op3_quality_rules, op4_jaccard_join, op5_token_counts, op7_byte_bpe)}
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.op9(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_lm_score, op3_quality_rules, op4_jaccard_join, op5_token_counts, op7_byte_bpe, op9_substring_dedup)}
 SQL: dict[str, str] = {}
