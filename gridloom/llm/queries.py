@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, jaccard_join, lm_score, quality_rules, substring_dedup, token_counts
+from . import byte_bpe, decontaminate, jaccard_join, line_dedup, lm_score, quality_rules, secret_scan, substring_dedup, token_counts
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op3(table(spark, sf_dir, "documents"))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op1(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.op2(table(spark, sf_dir, "documents"))
 
@@ -28,9 +32,20 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.op7(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.op8(table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.op9(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_lm_score, op3_quality_rules, op4_jaccard_join, op5_token_counts, op7_byte_bpe, op9_substring_dedup)}
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.op10(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_decontaminate, op2_lm_score, op3_quality_rules, op4_jaccard_join, op5_token_counts, op7_byte_bpe, op8_line_dedup, op9_substring_dedup, op10_secret_scan)
+}
 SQL: dict[str, str] = {}
