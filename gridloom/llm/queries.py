@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, jaccard_join, line_dedup, lm_score, quality_rules, secret_scan, substring_dedup, token_counts
+from . import byte_bpe, decontaminate, jaccard_join, line_dedup, lm_score, quality_rules, secret_scan, substring_dedup, token_counts, warc
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.op5(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op6(spark, table(spark, sf_dir, "pages"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.op7(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_lm_score, op3_quality_rules, op4_jaccard_join, op5_token_counts, op7_byte_bpe, op8_line_dedup, op9_substring_dedup, op10_secret_scan)
+    for f in (op1_decontaminate, op2_lm_score, op3_quality_rules, op4_jaccard_join, op5_token_counts, op6_warc, op7_byte_bpe, op8_line_dedup, op9_substring_dedup, op10_secret_scan)
 }
 SQL: dict[str, str] = {}
