@@ -1,9 +1,12 @@
 """Links and connected components between sets that share buckets, without ever making all pairs of a bucket.
 
-Each bucket is first compared with one leader, the member that shares most; most groups of near copies are one component
-after that. Only buckets that still hold several components go on: more leaders, four times as many each round, are
-compared with the members of other components, until every pair of a bucket is in one component or has been compared. So
-no link between different components is lost, and a group of n copies costs about n comparisons.
+Each bucket compares its members with one leader, the member that shares most; most groups of near copies are one component
+after that. Of two other members X and Y, the differences from their leader, DX and DY, tell all: |X ^ Y| is |DX ^ DY|. If
+X is not linked to the leader, a linked Y must share some of DX, at least (|DX| + |DY| - H) / 2 values where H is the most
+that linked sets of these sizes differ in. So a prefix filter runs on the differences, the rarest values of a leader's group
+first: only members with a common value among the first H + 1 of their differences are compared. Random edits have few of
+these in common. Every pair of a bucket is compared with the leader, in one component, or excluded by the filter, so no
+link between different components is lost, and a group of n copies costs about n comparisons.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -45,25 +48,32 @@ def components(edges: DataFrame) -> DataFrame:
         now = written(small.select("b", "m").where("b <> m").union(small.select("a", "m")).distinct().toDF("a", "b"), "edges")
 
 
-def compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those pairs (a, b) whose sets have den * |intersection| >= num * |union|. sets: node and items, sorted 64-bit values as bytes."""
+def differences(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Of each pair (node, leader): n, the size of the node's set; linked, if den * |intersection| >= num * |union|; diff, the values of one only.
+
+    sets: node and items, sorted 64-bit values as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                if den * min(len(x), len(y)) < num * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                every = np.sort(np.concatenate([x, y]))
-                both = int(np.count_nonzero(every[1:] == every[:-1]))
-                keep.append(den * both >= num * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    first = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
-    both = first.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                size, good, diff = [], [], []
+                for x, y in zip(part.column("x"), part.column("y")):
+                    x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                    every = np.sort(np.concatenate([x, y]))
+                    same = every[1:] == every[:-1]
+                    alone = np.ones(len(every), bool)
+                    alone[1:] &= ~same
+                    alone[:-1] &= ~same
+                    both = int(np.count_nonzero(same))
+                    size.append(len(x))
+                    good.append(den * both >= num * (len(x) + len(y) - both))
+                    diff.append(every[alone].view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("leader"), pa.array(size, pa.int64()), pa.array(good, pa.bool_()), pa.array(diff, pa.list_(pa.int64()))], ["node", "leader", "n", "linked", "diff"])
+
+    first = pairs.join(sets.select("node", F.col("items").alias("x")), "node")
+    both = first.join(sets.select(F.col("node").alias("leader"), F.col("items").alias("y")), "leader")
+    return both.select("node", "leader", "x", "y").mapInArrow(run, "node long, leader long, n long, linked boolean, diff array<long>")
 
 
 def shared(buckets: DataFrame) -> DataFrame:
@@ -76,25 +86,29 @@ def linked(members: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int,
     """node and component of all nodes that have a link. members: written rows (bucket, node, n); sets gives (node, items) of the nodes asked for."""
     score = members.groupBy("node").agg(F.sum("n").alias("score"))
     held = written(sets(members.select("node")), "sets")
-    ranked = written(members.join(score, "node").select("bucket", "node", "score"), "ranked")
+    ranked = members.join(score, "node").select("bucket", "node", "score")
     leader = ranked.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("node")).alias("minus"))).alias("x")).select("bucket", (-F.col("x.minus")).alias("leader"))
-    pairs = ranked.join(leader, "bucket").where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    tested = written(pairs, "pairs")
-    links = written(compared(tested, held, num, den), "links")
+    pairs = ranked.join(leader, "bucket").where("node <> leader").select("node", "leader").distinct()
+    tested = written(differences(pairs, held, num, den), "tested")
+    links = tested.where("linked").select(F.col("node").alias("a"), F.col("leader").alias("b"))
     labels = components(links)
-    done = 1
-    while True:
-        now = ranked.join(labels, "node", "left").select("bucket", "node", "score", F.coalesce("component", "node").alias("label"))
-        open_ = now.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where((F.col("lo") != F.col("hi")) & (F.col("n") > done + (done == 1))).select("bucket", "n")
-        rest = written(now.join(open_, "bucket"), "open")
-        if rest.isEmpty():
-            return labels
-        rest = rest.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("score"), "node")))
-        leaders = rest.where(F.col("rank").between(done, 4 * done)).select("bucket", F.col("node").alias("leader"), F.col("label").alias("other"), F.col("rank").alias("at"))
-        pairs = rest.join(leaders, "bucket").where("rank > at and label <> other").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        fresh = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = written(compared(fresh, held, num, den), "links")
-        tested, done = tested.union(fresh), 4 * done
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
+    # Groups with a member that is not linked to its leader, and with others.
+    open_ = tested.groupBy("leader").agg(F.count("*").alias("members"), F.count_if(~F.col("linked")).alias("off")).where("members > 1 and off > 0").select("leader")
+    size = F.size("diff")
+    most = F.expr(f"(n + n * {den} div {num}) * {den - num} div {den + num}")  # H with the largest partner
+    rest = tested.join(open_, "leader").join(labels, "node", "left").select("leader", "node", "n", F.coalesce("component", "node").alias("label"), size.alias("d"), F.least(size, most + 1).alias("prefix"), "diff")
+    rest = written(rest, "differences")
+    values = rest.select("leader", "node", F.explode("diff").alias("value"))
+    common = values.groupBy("leader", "value").agg(F.count("*").alias("times")).where("times > 1")
+    # Values of one member only come first in the order and match nothing: they just take places of the prefix.
+    places = values.join(common, ["leader", "value"]).groupBy("leader", "node").agg(F.array_sort(F.collect_list(F.struct("times", "value"))).alias("ordered"))
+    kept = rest.drop("diff").join(places, ["leader", "node"]).withColumn("left", F.col("prefix") - (F.col("d") - F.size("ordered"))).where("left > 0")
+    probes = written(kept.select("leader", "node", "n", "label", "d", F.explode(F.slice("ordered", F.lit(1), F.col("left").cast("int"))).alias("x")).select("leader", "node", "n", "label", "d", "x.value"), "probes")
+    a, b = probes.alias("a"), probes.alias("b")
+    apart = F.expr(f"(a.n + b.n) * {den - num} div {den + num}")
+    met = a.join(b, (F.col("a.leader") == F.col("b.leader")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & (F.abs(F.col("a.d") - F.col("b.d")) <= apart) & (den * F.least("a.n", "b.n") >= num * F.greatest("a.n", "b.n")))
+    fresh = written(met.select(F.col("a.node").alias("node"), F.col("b.node").alias("leader")).distinct(), "pairs")
+    found = written(differences(fresh, held, num, den).where("linked").select(F.col("node").alias("a"), F.col("leader").alias("b")), "links")
+    if found.isEmpty():
+        return labels
+    return components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
