@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, jaccard_join, line_dedup, lm_score, quality_rules, secret_scan, substring_dedup, token_counts, warc
+from . import byte_bpe, decontaminate, jaccard_join, line_dedup, lm_score, oracles, quality_rules, secret_scan, substring_dedup, token_counts, warc
 from .common import table
 
 
@@ -52,4 +52,11 @@ QUERIES = {
     f.__name__: f
     for f in (op1_decontaminate, op2_lm_score, op3_quality_rules, op4_jaccard_join, op5_token_counts, op6_warc, op7_byte_bpe, op8_line_dedup, op9_substring_dedup, op10_secret_scan)
 }
-SQL: dict[str, str] = {}
+#: BPE merges, trained scores and content-defined chunks are not for SQL; tests/llm checks those queries against brute force.
+SQL: dict[str, str] = {
+    "op1_decontaminate": oracles.DECONTAMINATE,
+    "op3_quality_rules": oracles.QUALITY,
+    "op4_jaccard_join": oracles.JACCARD,
+    "op6_warc": oracles.WARC,
+    "op10_secret_scan": oracles.SECRETS,
+}

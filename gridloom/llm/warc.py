@@ -272,4 +272,4 @@ def read_archives(files: DataFrame, with_payload: bool = True) -> DataFrame:
 def op6(spark: SparkSession, pages: DataFrame) -> DataFrame:
     folder = f"{shared_dir(spark)}/gridloom/warc-{uuid.uuid4().hex}"
     found = read_archives(write_archives(pages, folder), with_payload=False).where("kind = 'record'")
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "path", "offset", "length")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
