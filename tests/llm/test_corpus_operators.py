@@ -47,7 +47,7 @@ def test_jaccard_components(spark):
         for c in range(9):
             w = list(base)
             for _ in range(rnd.randrange(0, 2 + size // 50)):
-                w[rnd.randrange(size)] = f"e{rnd.randrange(9999)}"
+                w[rnd.randrange(len(w))] = f"e{rnd.randrange(9999)}"
             rows.append((1000 + size * 10 + c, " ".join(w[: size - c % 3])))
     assert plain(jaccard_join.op4(frame(spark, rows)).collect()) == plain(brute_components(rows, 3, 90, 100))
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.clustered(frame(spark, rows), 5, 80, 100).collect()]
@@ -116,7 +116,7 @@ def tok(s):
 def test_contained_items(spark):
     rnd = random.Random(4)
     items = [(i, prose(rnd, rnd.randrange(3, 60))) for i in range(12)] + [(50, "Zq yy"), (51, None), (52, ""), (None, "aa bb cc dd ee ff gg"), (53, "aa bb cc dd ee ff gg")]
-    rows = documents() + [(500 + i, prose(rnd, 90) + "\n" + (t or "").upper().replace(" ", " , ") + "! " + prose(rnd, 90)) for i, t in items] + [(600, "q zq  yy!")]
+    rows = documents() + [(500 + (i or 90), prose(rnd, 90) + "\n" + (t or "").upper().replace(" ", " , ") + "! " + prose(rnd, 90)) for i, t in items] + [(600, "q zq  yy!")]
     words = items[9][1].split(" ")
     words[len(words) // 2] = "changed"
     rows.append((601, " ".join(words)))
