@@ -89,3 +89,15 @@ def recoded(df: DataFrame, include: list[str] | None = None, skip: list[str] | N
         v = F.when(mask, F.col(c)) if mask is not None else F.col(c)
         out.append((F.round(v, digits) if digits is not None else v).alias(prefix + c))
     return df.select("iglo", *out)
+
+
+def single_points(points: DataFrame, source: DataFrame, target_of, each) -> DataFrame:
+    """PG-PTS: independent small grids around points, one element of each kept, as one table.
+
+    points: a driver-side list is not needed; target_of gives a point's grid and each runs a program on it. The grids of a
+    hundred points are a hundred plans, united; for more points use one grid that holds them all."""
+    out = None
+    for row in points.collect():  # a bounded list of places that the caller names
+        one = each(source, target_of(row)).where(F.col("iglo") == row["element"]).withColumn("point", F.lit(row["point"]))
+        out = one if out is None else out.unionByName(one)
+    return out
