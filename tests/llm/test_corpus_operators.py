@@ -103,7 +103,7 @@ def test_repeated_passages(spark):
     texts = dict(rows)
     for r in found:
         if 100 <= (r["doc_id"] or 0) < 106:
-            assert len(texts[r["doc_id"]][r["start"] : r["end"]].split()) >= 30
+            assert len(texts[r["doc_id"]][r["start"] : r["end"]].split()) >= 22
     assert {r["doc_id"] for r in found if not r["removed"]} & {100} and not {r["doc_id"] for r in found if r["removed"]} & {100}
     assert substring_dedup.op9(frame(spark, [])).count() == 0
     assert substring_dedup.tuned(0.8, 0.95) == 2 and substring_dedup.tuned(0.8, 0.95, 3) == 5

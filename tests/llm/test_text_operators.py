@@ -37,8 +37,7 @@ def test_quality_base(spark):
 
 
 def test_quality_lines(spark):
-    body = "This is a plain sentence with quite a few words in it. " * 3
-    lines = "\n".join(f"{k} {body.strip()}" for k in range(6))
+    lines = "\n".join(f"Line {k} is a plain sentence {k}{k} with quite {k * 7} a few words {k * 3} in it {k + 50}." for k in range(6))
     text = lines + "\nHome | News | Sport | About | Login\nLicensed under the Apache License, Version 2.0."
     junk = "\n".join(["spam*** eggs&&& ham%%% foo### bar$$$"] * 3 + [f"a{k} | b{k} | c{k} | d{k}" for k in range(20)])
     df = frame(spark, [(1, text), (2, junk)])
