@@ -25,4 +25,4 @@ def test_registry_without_the_corpus_part():
 def test_nothing_else_imports_the_corpus_part():
     for path in (ROOT / "gridloom").rglob("*.py"):
         if "llm" not in path.relative_to(ROOT / "gridloom").parts:
-            assert "llm" not in path.read_text()
+            assert ".llm" not in path.read_text()
