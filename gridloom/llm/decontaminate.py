@@ -100,8 +100,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, k:
     with_words = own.select("key", tokens(F.col("text")).alias("words"))
     hits = None
     for length in lengths:
-        least = F.size("words") >= length
-        probes = with_words.where(least).select("key", F.size("words").alias("size"), F.explode(shingle_hashes(F.col("words"), length)).alias("hash"))
+        # No filter on the number of words: it would be pushed down and split every text twice; fewer words have no shingles.
+        probes = with_words.select("key", F.size("words").alias("size"), F.explode(shingle_hashes(F.col("words"), length)).alias("hash"))
         found = probes.join(by_hash.where(F.col("length") == length), "hash").where(F.col("size") - length + 1 >= F.ceil(F.lit(share) * F.col("n") - 1e-9)).select("key", "item")
         hits = found if hits is None else hits.union(found)
     candidates = written(hits.distinct(), "candidates")
