@@ -54,31 +54,29 @@ def with_lines(docs: DataFrame) -> DataFrame:
 
 
 def chunks(own: DataFrame, *keep: str) -> DataFrame:
-    """The kept columns and, a row for each chunk, first (its first line), n_lines and body."""
+    """The kept columns and, a row for each chunk that may be removed at all, first (its first line), n_lines and body."""
     hashes = own.select(*keep, "lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"))
     cut = hashes.select(*keep, "lines", rolled(F.col("hashes")).alias("rolled")).select(*keep, "lines", starts(F.col("rolled")).alias("starts"))
     n = F.size("lines")
     parts = F.transform("starts", lambda s, j: F.struct(s.alias("first"), (F.coalesce(F.get("starts", j + 1), n) - s).alias("n_lines")))
-    whole = F.transform(parts, lambda p: F.struct(p["first"].alias("first"), p["n_lines"].alias("n_lines"), F.array_join(F.slice("lines", p["first"] + 1, p["n_lines"]), "\n").alias("body")))
-    return cut.select(*keep, F.inline(whole))
-
-
-def counted(body: Column) -> Column:
-    """Whether a chunk may be removed at all: enough text on two lines or more."""
-    return (F.length(body) >= MIN_CHARS) & body.rlike(r"\S[^\n]*\n(?s:.*)\S")
+    whole = F.transform(parts, lambda p: F.struct(p["first"].alias("first"), p["n_lines"].alias("n_lines"), F.slice("lines", p["first"] + 1, p["n_lines"]).alias("own")))
+    # Line by line: a pattern over the whole chunk would take time with the square of a long line.
+    enough = F.filter(whole, lambda p: F.size(F.filter(p["own"], lambda x: x.rlike(r"\S"))) >= 2)
+    bodies = F.transform(enough, lambda p: F.struct(p["first"].alias("first"), p["n_lines"].alias("n_lines"), F.array_join(p["own"], "\n").alias("body")))
+    return cut.select(*keep, F.inline(F.filter(bodies, lambda p: F.length(p["body"]) >= MIN_CHARS)))
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """key, first and n_lines of every chunk that equals an earlier one, and the earlier one's key; a written table."""
     own = with_lines(docs)
-    slim = written(chunks(own, "key").where(counted(F.col("body"))).select("key", "first", "n_lines", F.xxhash64("body").alias("hash")), "chunks")
+    slim = written(chunks(own, "key").select("key", "first", "n_lines", F.xxhash64("body").alias("hash")), "chunks")
     places = slim.groupBy("hash").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.min("first").alias("top"), F.max("first").alias("low"))
     again = places.where("lo <> hi or top <> low").select("hash", F.col("lo").alias("first_key"))
     held = written(slim.join(again, "hash").distinct(), "candidates")
     first = held.where("key = first_key").groupBy("hash").agg(F.min("first").alias("first_line"))
     keys = written(held.select("key").distinct(), "keys")
     texts = own.join(small(keys, MOST_KEYS), "key", "left_semi").dropDuplicates(["key", "text"])
-    found = chunks(texts, "key").where(counted(F.col("body"))).withColumn("hash", F.xxhash64("body"))
+    found = chunks(texts, "key").withColumn("hash", F.xxhash64("body"))
     bodies = written(found.join(held, ["key", "first", "n_lines", "hash"], "left_semi"), "bodies")
     origin = held.select("hash", "first_key").distinct().join(first, "hash")
     one = bodies.join(origin, "hash").where("key = first_key and first = first_line").select("hash", "first_key", "first_line", F.col("body").alias("origin")).dropDuplicates(["hash"])
