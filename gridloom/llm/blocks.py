@@ -1,14 +1,16 @@
 """Blocks: per-document token frequencies with a dictionary for each block of about 8 MB of text.
 
 A value that is known once per distinct token (its number of pieces, its count in the corpus) has to reach every document
-that holds the token. Rows of (document, token) would be as many as the text has different words. Here a row of (block,
-token) is enough: a block keeps its documents' frequencies as three arrays over its own dictionary, the dictionaries are
-joined to the global table by token, and the values come back as one array for each block. Blocks have a bounded size, so
-no row and no group grows with the input; a token that all blocks hold is one row for each block, which AQE can split.
+that holds the token. Rows of (document, token) would be as many as the text has different words. Here a block keeps its
+documents' frequencies as three arrays over its own dictionary. The dictionary is dealt by a hash of the token into PARTS
+parts of some hundred tokens each; a task gets the same part of all blocks, so it meets every distinct token of that part,
+and answers each with an array of values. Blocks and parts have a bounded size, so no row and no group in memory grows with
+the input, a frequent token is one entry of each block, and tokens travel without the cost of a row each.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import only, sliced
 
 BLOCK_BYTES = 8 << 20
+PARTS = 1024
 LONGS = pa.list_(pa.int64())
 FLOATS = pa.list_(pa.float64())
 
@@ -52,20 +55,28 @@ class Block:
 
 
 def build(docs: DataFrame, read: Callable[[Block, pa.RecordBatch], None], kept: dict[str, str], token: str = "string", size: int = BLOCK_BYTES, also: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each block: block, n, an array of each kept column, tokens, and rows, codes and counts as bytes.
+    """A row for each block: block, n, an array of each kept column, tokens (an array for each part; codes run through all of them), and rows, codes and counts as bytes.
 
     read puts the documents of a slice into the block. kept: the columns it keeps of a document, long or double.
     token: string or binary. also: columns of longs that read needs besides doc_id and text."""
-    schema = ", ".join(["block long", "n int", *[f"{k} array<{v}>" for k, v in kept.items()], f"tokens array<{token}>", "rows binary", "codes binary", "counts binary"])
+    schema = ", ".join(["block long", "n int", *[f"{k} array<{v}>" for k, v in kept.items()], f"tokens array<array<{token}>>", "rows binary", "codes binary", "counts binary"])
 
     def row(block: Block, number: int) -> pa.RecordBatch:
         def joined(x, kind):
             return np.concatenate([np.zeros(0, kind), *x]).astype(kind).tobytes()
 
+        tokens = list(block.tokens)
+        part = np.array([zlib.crc32(t if isinstance(t, bytes) else t.encode()) % PARTS for t in tokens], np.int64)
+        order = np.argsort(part, kind="stable")
+        place = np.empty(len(tokens), np.int32)
+        place[order] = np.arange(len(tokens), dtype=np.int32)
+        bounds = pa.array(np.searchsorted(part[order], np.arange(PARTS + 1)).astype(np.int32))
+        lists = pa.ListArray.from_arrays(bounds, pa.array([tokens[i] for i in order.tolist()], pa.string() if token == "string" else pa.binary()))
+        codes = [place[c] for c in block.codes]
         columns = [pa.array([number]), pa.array([block.n], pa.int32())]
         columns += [pa.array([block.columns.get(k, [])], FLOATS if v == "double" else LONGS) for k, v in kept.items()]
-        columns += [pa.array([list(block.tokens)], pa.list_(pa.string() if token == "string" else pa.binary()))]
-        columns += [pa.array([joined(block.rows, "<i4")], pa.binary()), pa.array([joined(block.codes, "<i4")], pa.binary()), pa.array([joined(block.counts, "<i8")], pa.binary())]
+        columns += [pa.ListArray.from_arrays(pa.array([0, PARTS], pa.int32()), lists)]
+        columns += [pa.array([joined(block.rows, "<i4")], pa.binary()), pa.array([joined(codes, "<i4")], pa.binary()), pa.array([joined(block.counts, "<i8")], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["block", "n", *kept, "tokens", "rows", "codes", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,31 +93,86 @@ def build(docs: DataFrame, read: Callable[[Block, pa.RecordBatch], None], kept:
     return only(docs, doc_id="long", text="string", **dict.fromkeys(also, "long")).mapInArrow(run, schema)
 
 
-def dictionary(blocks: DataFrame) -> DataFrame:
-    """block, code, token: a row for each token of each block's dictionary."""
-    return blocks.select("block", F.posexplode("tokens").alias("code", "token"))
+def parts(blocks: DataFrame) -> DataFrame:
+    """block, part, tokens: a row for each part of each block's dictionary."""
+    return blocks.select("block", F.posexplode("tokens").alias("part", "tokens"))
 
 
-def returned(tokens: DataFrame, values: DataFrame) -> DataFrame:
-    """block and the array at, in code order, of structs (code, value): rows of values (token, value) joined to the dictionaries."""
-    found = tokens.join(values, "token").select("block", F.struct("code", "value").alias("x"))
-    return found.groupBy("block").agg(F.collect_list("x").alias("at"))
+def packed(values) -> bytes:
+    return np.asarray(values, "<i8").tobytes()
+
+
+def answered(parts: DataFrame, value: Callable[[], Callable[[list], list]], token: str = "string") -> DataFrame:
+    """block, part and the values of each part's tokens. value() makes, once a task, what maps tokens to values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = value()
+        for batch in batches:
+            found = [packed(own(tokens)) for tokens in batch.column("tokens").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("part"), pa.array(found, pa.binary())], ["block", "part", "values"])
+
+    return parts.repartition("part").mapInArrow(run, "block long, part int, values binary")
+
+
+def gathered(parts: DataFrame) -> DataFrame:
+    """part, tokens, values, total and kinds: the sums by token of rows part, tokens, values; tokens of sum 0 are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(part, sums):
+            kept = {t: n for t, n in sums.items() if n}
+            row = [pa.array([part], pa.int32()), pa.array([list(kept)], pa.list_(pa.binary())), pa.array([packed(list(kept.values()))], pa.binary()), pa.array([sum(kept.values())], pa.int64()), pa.array([len(kept)], pa.int64())]
+            return pa.RecordBatch.from_arrays(row, ["part", "tokens", "values", "total", "kinds"])
+
+        part, sums = None, {}
+        for batch in batches:
+            for p, tokens, values in zip(batch.column("part").to_pylist(), batch.column("tokens").to_pylist(), batch.column("values").to_pylist()):
+                if p != part:
+                    if sums:
+                        yield out(part, sums)
+                    part, sums = p, {}
+                for t, n in zip(tokens, np.frombuffer(values, "<i8").tolist()):
+                    sums[t] = sums.get(t, 0) + n
+        if sums:
+            yield out(part, sums)
+
+    return parts.repartition("part").sortWithinPartitions("part").mapInArrow(run, "part int, tokens array<binary>, values binary, total long, kinds long")
+
+
+def looked_up(parts: DataFrame, known: DataFrame) -> DataFrame:
+    """block, part and the values of each part's tokens, from rows part, tokens, values; 0 for other tokens."""
+    none = F.lit(None)
+    both = known.select(none.cast("long").alias("block"), "part", "tokens", "values").union(parts.select("block", "part", "tokens", none.cast("binary")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, own = None, {}
+        for batch in batches:
+            blocks, numbers, found = [], [], []
+            for b, p, tokens, values in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "tokens", "values"))):
+                if p != part:
+                    part, own = p, {}
+                if b is None:  # a part's known tokens come before its blocks
+                    own.update(zip(tokens, np.frombuffer(values, "<i8").tolist()))
+                    continue
+                blocks.append(b)
+                numbers.append(p)
+                found.append(packed([own.get(t, 0) for t in tokens]))
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(numbers, pa.int32()), pa.array(found, pa.binary())], ["block", "part", "values"])
+
+    return both.repartition("part").sortWithinPartitions("part", F.col("block").asc_nulls_first()).mapInArrow(run, "block long, part int, values binary")
 
 
 def summed(blocks: DataFrame, values: DataFrame, make: Callable[[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray], dict], kept: list[str], schema: str) -> DataFrame:
-    """Rows of the documents again. make gets a block's kept columns, the rows, codes and counts of its pairs and the value of each code; it gives the columns of schema."""
+    """Rows of the documents again. values: block, part, values. make gets a block's kept columns, the rows, codes and counts of its pairs and the value of each code; it gives the columns of schema."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 x = {name: batch.column(name)[i] for name in batch.schema.names}
                 rows, codes, counts = (np.frombuffer(x[k].as_py(), t) for k, t in (("rows", "<i4"), ("codes", "<i4"), ("counts", "<i8")))
-                at = x["at"].values.flatten() if x["at"].is_valid else [pa.array([], pa.int32()), pa.array([], pa.int64())]
-                own = at[0].to_numpy()
-                value = np.zeros(1 + max(own.max(initial=-1), codes.max(initial=-1)), np.int64)  # tokens without a value have 0
-                value[own] = at[1].to_numpy()
+                answers = sorted(x["at"].as_py() or [], key=lambda a: a["part"])
+                value = np.frombuffer(b"".join(a["values"] for a in answers), "<i8")
                 made = make({k: x[k].values for k in kept} | {"n": x["n"].as_py()}, rows, codes, counts, value)
                 yield pa.RecordBatch.from_arrays(list(made.values()), list(made))
 
-    joined = blocks.select("block", "n", *kept, "rows", "codes", "counts").join(values, "block", "left")
+    joined = blocks.select("block", "n", *kept, "rows", "codes", "counts").join(values.groupBy("block").agg(F.collect_list(F.struct("part", "values")).alias("at")), "block", "left")
     return joined.mapInArrow(run, schema)

@@ -22,6 +22,8 @@ from .common import texts, written
 from .pretokens import Kept, pretokens, stretches
 
 LIMIT = 1024
+#: Pre-tokens of its parts that a task remembers before it starts anew.
+MOST_KEPT = 500_000
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
@@ -73,25 +75,29 @@ def frequencies(docs: DataFrame, path: str | None = None, size: int = blocks.BLO
     return blocks.build(docs, read, {"doc_id": "long", "n_bytes": "long", "special": "long"}, size=size)
 
 
-def pieces(tokens: DataFrame, path: str | None = None) -> DataFrame:
-    """token and value, its number of pieces, for each distinct pre-token."""
+def pieces(parts: DataFrame, path: str | None = None) -> DataFrame:
+    """block, part and the number of pieces of each token; the library counts a distinct pre-token once in its part's task."""
     path = path or vocabulary_path()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = library(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                n = [len(x.ids) for x in own.encode_batch_fast(part.column("token").to_pylist(), add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([part.column("token"), pa.array(n, pa.int64())], ["token", "value"])
+    def value():
+        own, kept = library(path), {}
 
-    return tokens.select("token").distinct().mapInArrow(run, "token string, value long")
+        def count(tokens: list[str]) -> list[int]:
+            if fresh := [t for t in tokens if t not in kept]:
+                if len(kept) > MOST_KEPT:
+                    kept.clear()
+                    fresh = tokens
+                kept.update(zip(fresh, (len(x.ids) for x in own.encode_batch_fast(fresh, add_special_tokens=False))))
+            return [kept[t] for t in tokens]
+
+        return count
+
+    return blocks.answered(parts, value)
 
 
 def counted(docs: DataFrame, path: str | None = None, limit: int = LIMIT, size: int = blocks.BLOCK_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_tokens and whether n_tokens is over the limit."""
     held = written(frequencies(docs, path, size), "pretokens")
-    tokens = blocks.dictionary(held)
 
     def make(x: dict, rows: np.ndarray, codes: np.ndarray, counts: np.ndarray, value: np.ndarray) -> dict:
         n = np.zeros(x["n"], np.int64)
@@ -99,7 +105,7 @@ def counted(docs: DataFrame, path: str | None = None, limit: int = LIMIT, size:
         n += x["special"].to_numpy()
         return {"doc_id": x["doc_id"], "n_bytes": x["n_bytes"], "n_tokens": pa.array(n), "over_limit": pa.array(n > limit)}
 
-    return blocks.summed(held, blocks.returned(tokens, pieces(tokens, path)), make, ["doc_id", "n_bytes", "special"], SCHEMA)
+    return blocks.summed(held, pieces(blocks.parts(held), path), make, ["doc_id", "n_bytes", "special"], SCHEMA)
 
 
 def op5(docs: DataFrame) -> DataFrame:
