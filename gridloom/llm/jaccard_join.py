@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import buffers, sliced, written
 from .kernel import LOWER, U, distinct_shingles, mix, row_bounds, word_hashes, words
-from .linking import having, linked, shared
+from .linking import MOST_KEYS, having, linked, shared
 
 #: Ratio of neighbouring size bands.
 RATIO = 1.4
@@ -173,10 +173,18 @@ def op4(docs: DataFrame) -> DataFrame:
     return clustered(docs).select("doc_id", "n_shingles", "component_id")
 
 
+def without(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows whose key is not among the keys, a written table: broadcast if a count proves it small, else shuffled."""
+    return rows.join(F.broadcast(keys) if keys.count() <= MOST_KEYS else keys, on, "left_anti")
+
+
 def stage(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One document of each component, that with the smallest key; rows that share its key are copies of it and only one stays."""
     columns = docs.columns
-    keep = clustered(docs, k, num, den).where("key = first_key").select("key").distinct()
+    found = written(clustered(docs, k, num, den).select("key", "first_key"), "classes")
+    gone = written(found.where("key <> first_key").select("key").distinct(), "gone")
+    several = written(found.where("key = first_key").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "several")
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")))
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), key.alias("key"))
-    return own.join(keep, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
+    once = without(without(own, gone, "key"), several, "key")
+    return once.union(having(own, several, "key").dropDuplicates(["key"])).select("row.*")
