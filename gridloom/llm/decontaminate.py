@@ -45,6 +45,12 @@ def shingle_texts(words: Column, k: Column) -> Column:
     return F.array_distinct(F.coalesce(sized(words, k, lambda i: F.array_join(F.slice(words, i, k), " ")), F.array().cast("array<string>")))
 
 
+def long_shingle_texts(words: Column, k: int) -> Column:
+    """The same for long texts and a fixed k: slice() copies the whole array each time, get() does not."""
+    found = sized(words, k, lambda i: F.concat_ws(" ", *[F.get(words, i + (j - 1)) for j in range(k)]))
+    return F.array_distinct(F.coalesce(found, F.array().cast("array<string>")))
+
+
 def shingle_hashes(words: Column, k: int) -> Column:
     """The hashes of all k-word shingles, repeated ones too; as hashed() gives them for their texts."""
     return F.coalesce(sized(words, k, lambda i: F.xxhash64(*[F.get(words, i + (j - 1)) for j in range(k)])), F.array().cast("array<bigint>"))
@@ -108,8 +114,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, k:
     keys = written(candidates.select("key").distinct(), "keys")
     chosen = own.join(small(keys, MOST_KEYS), "key", "left_semi").dropDuplicates(["key", "text"])
     words = tokens(F.col("text"))
-    parts = F.array_distinct(F.flatten(F.array(*[shingle_texts(words, F.lit(length)) for length in lengths])))
-    shown = chosen.select("doc_id", "key", F.xxhash64("text").alias("version"), F.explode(parts).alias("shingle"))
+    parts = F.flatten(F.array(*[long_shingle_texts(F.col("words"), length) for length in lengths]))  # of other lengths: all different
+    shown = chosen.select("doc_id", "key", F.xxhash64("text").alias("version"), words.alias("words")).select("doc_id", "key", "version", F.explode(parts).alias("shingle"))
     known = items.select("item", "item_id", "n", "shingle")
     matched = shown.join(small(known, MOST_ROWS), "shingle").join(candidates, ["key", "item"], "left_semi")
     counts = matched.groupBy("doc_id", "key", "version", "item", "item_id", "n").agg(F.count("*").alias("n_found"))
