@@ -43,41 +43,65 @@ class Block:
         self.columns: dict[str, list] = {}
         self.n = self.size = 0
 
-    def add(self, codes: np.ndarray, counts: np.ndarray | None = None, **columns) -> None:
-        """The next document: its token codes, with counts or each counted once, and what else is kept of it."""
+    def add(self, codes: np.ndarray, **columns) -> None:
+        """The next document: the codes of its tokens and what else is kept of it."""
         found, at = np.unique(codes, return_inverse=True)
         self.rows.append(np.full(len(found), self.n, np.int32))
         self.codes.append(found.astype(np.int32))
-        self.counts.append(np.bincount(at.ravel(), counts, len(found)).astype(np.int64))
+        self.counts.append(np.bincount(at.ravel(), minlength=len(found)))
         for k, v in columns.items():
             self.columns.setdefault(k, []).append(v)
         self.n += 1
 
 
+def pack(rows: np.ndarray, codes: np.ndarray, counts: np.ndarray, n: int) -> list[bytes]:
+    """Pairs by row and code, compressed: how many each row has, steps from one code of a row to its next, counts."""
+    if n < 1 << 22 and codes.max(initial=0) < 1 << 24 and counts.max(initial=0) < 1 << 16:  # as one integer, sorted fast
+        key = np.sort(rows << 40 | codes << 16 | counts)
+        rows, codes, counts = key >> 40, key >> 16 & 0xFFFFFF, key & 0xFFFF
+    else:
+        order = np.lexsort((codes, rows))
+        rows, codes, counts = rows[order], codes[order], counts[order]
+    sizes = np.bincount(rows, minlength=n)
+    steps = np.diff(codes, prepend=0)
+    first = np.cumsum(sizes)[:-1]
+    first = np.concatenate([[0], first])[sizes > 0]
+    steps[first] = codes[first]
+    return [pa.compress(x.astype(t).tobytes(), "zstd", asbytes=True) for x, t in ((sizes, "<i4"), (steps, "<i4"), (counts, "<i8"))]
+
+
+def unpack(n: int, sizes: bytes, codes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """rows, codes and counts of all pairs of a block of n documents."""
+    sizes = np.frombuffer(pa.decompress(sizes, 4 * n, "zstd", asbytes=True), "<i4")
+    m = int(sizes.sum())
+    steps, counts = (np.frombuffer(pa.decompress(x, k * m, "zstd", asbytes=True), t) for x, k, t in ((codes, 4, "<i4"), (counts, 8, "<i8")))
+    rows = np.repeat(np.arange(n), sizes)
+    sums = np.cumsum(steps, dtype=np.int64)
+    before = np.concatenate([[0], sums])[np.concatenate([[0], np.cumsum(sizes)[:-1]])] if n else sums
+    return rows, sums - before[rows], counts
+
+
 def build(docs: DataFrame, read: Callable[[Block, pa.RecordBatch], None], kept: dict[str, str], token: str = "string", size: int = BLOCK_BYTES, also: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each block: block, n, an array of each kept column, tokens (an array for each part; codes run through all of them), and rows, codes and counts as bytes.
+    """A row for each block: block, n, an array of each kept column, tokens (an array for each part; codes run through all of them), and the documents' pairs as pack() gives them.
 
     read puts the documents of a slice into the block. kept: the columns it keeps of a document, long or double.
     token: string or binary. also: columns of longs that read needs besides doc_id and text."""
-    schema = ", ".join(["block long", "n int", *[f"{k} array<{v}>" for k, v in kept.items()], f"tokens array<array<{token}>>", "rows binary", "codes binary", "counts binary"])
+    schema = ", ".join(["block long", "n int", *[f"{k} array<{v}>" for k, v in kept.items()], f"tokens array<array<{token}>>", "sizes binary", "codes binary", "counts binary"])
 
     def row(block: Block, number: int) -> pa.RecordBatch:
-        def joined(x, kind):
-            return np.concatenate([np.zeros(0, kind), *x]).astype(kind).tobytes()
-
+        columns = [pa.array([number]), pa.array([block.n], pa.int32())]
+        columns += [pa.array([block.columns.get(k, [])], FLOATS if v == "double" else LONGS) for k, v in kept.items()]
         tokens = list(block.tokens)
         part = np.array([zlib.crc32(t if isinstance(t, bytes) else t.encode()) % PARTS for t in tokens], np.int64)
         order = np.argsort(part, kind="stable")
-        place = np.empty(len(tokens), np.int32)
-        place[order] = np.arange(len(tokens), dtype=np.int32)
+        place = np.empty(len(tokens), np.int64)
+        place[order] = np.arange(len(tokens))
         bounds = pa.array(np.searchsorted(part[order], np.arange(PARTS + 1)).astype(np.int32))
         lists = pa.ListArray.from_arrays(bounds, pa.array([tokens[i] for i in order.tolist()], pa.string() if token == "string" else pa.binary()))
-        codes = [place[c] for c in block.codes]
-        columns = [pa.array([number]), pa.array([block.n], pa.int32())]
-        columns += [pa.array([block.columns.get(k, [])], FLOATS if v == "double" else LONGS) for k, v in kept.items()]
+        rows, codes, counts = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (block.rows, block.codes, block.counts))
         columns += [pa.ListArray.from_arrays(pa.array([0, PARTS], pa.int32()), lists)]
-        columns += [pa.array([joined(block.rows, "<i4")], pa.binary()), pa.array([joined(codes, "<i4")], pa.binary()), pa.array([joined(block.counts, "<i8")], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["block", "n", *kept, "tokens", "rows", "codes", "counts"])
+        columns += [pa.array([x], pa.binary()) for x in pack(rows, place[codes], counts, block.n)]
+        return pa.RecordBatch.from_arrays(columns, ["block", "n", *kept, "tokens", "sizes", "codes", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, block = TaskContext.get().partitionId() << 32, Block()
@@ -168,11 +192,11 @@ def summed(blocks: DataFrame, values: DataFrame, make: Callable[[dict, np.ndarra
         for batch in batches:
             for i in range(batch.num_rows):
                 x = {name: batch.column(name)[i] for name in batch.schema.names}
-                rows, codes, counts = (np.frombuffer(x[k].as_py(), t) for k, t in (("rows", "<i4"), ("codes", "<i4"), ("counts", "<i8")))
+                rows, codes, counts = unpack(x["n"].as_py(), *(x[k].as_py() for k in ("sizes", "codes", "counts")))
                 answers = sorted(x["at"].as_py() or [], key=lambda a: a["part"])
                 value = np.frombuffer(b"".join(a["values"] for a in answers), "<i8")
                 made = make({k: x[k].values for k in kept} | {"n": x["n"].as_py()}, rows, codes, counts, value)
                 yield pa.RecordBatch.from_arrays(list(made.values()), list(made))
 
-    joined = blocks.select("block", "n", *kept, "rows", "codes", "counts").join(values.groupBy("block").agg(F.collect_list(F.struct("part", "values")).alias("at")), "block", "left")
+    joined = blocks.select("block", "n", *kept, "sizes", "codes", "counts").join(values.groupBy("block").agg(F.collect_list(F.struct("part", "values")).alias("at")), "block", "left")
     return joined.mapInArrow(run, schema)
