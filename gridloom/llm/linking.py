@@ -103,10 +103,14 @@ def linked(members: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int,
     # Values of one member only come first in the order and match nothing: they just take places of the prefix.
     places = values.join(common, ["leader", "value"]).groupBy("leader", "node").agg(F.array_sort(F.collect_list(F.struct("times", "value"))).alias("ordered"))
     kept = rest.drop("diff").join(places, ["leader", "node"]).withColumn("left", F.col("prefix") - (F.col("d") - F.size("ordered"))).where("left > 0")
-    probes = written(kept.select("leader", "node", "n", "label", "d", F.explode(F.slice("ordered", F.lit(1), F.col("left").cast("int"))).alias("x")).select("leader", "node", "n", "label", "d", "x.value"), "probes")
+    front = F.slice("ordered", F.lit(1), F.col("left").cast("int"))
+    each = kept.select("leader", "node", "n", "label", "d", F.size("ordered").alias("size"), F.posexplode(front).alias("k", "x"))
+    probes = written(each.select("leader", "node", "n", "label", "d", "x.value", (F.col("size") - F.col("k")).alias("after")), "probes")
     a, b = probes.alias("a"), probes.alias("b")
     apart = F.expr(f"(a.n + b.n) * {den - num} div {den + num}")
-    met = a.join(b, (F.col("a.leader") == F.col("b.leader")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & (F.abs(F.col("a.d") - F.col("b.d")) <= apart) & (den * F.least("a.n", "b.n") >= num * F.greatest("a.n", "b.n")))
+    # From a common value on, no more can be common than what either has from there.
+    enough = 2 * F.least("a.after", "b.after") >= F.col("a.d") + F.col("b.d") - apart
+    met = a.join(b, enough & (F.col("a.leader") == F.col("b.leader")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & (F.abs(F.col("a.d") - F.col("b.d")) <= apart) & (den * F.least("a.n", "b.n") >= num * F.greatest("a.n", "b.n")))
     fresh = written(met.select(F.col("a.node").alias("node"), F.col("b.node").alias("leader")).distinct(), "pairs")
     found = written(differences(fresh, held, num, den).where("linked").select(F.col("node").alias("a"), F.col("leader").alias("b")), "links")
     if found.isEmpty():
