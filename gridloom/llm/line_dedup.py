@@ -59,7 +59,7 @@ def chunks(own: DataFrame, *keep: str) -> DataFrame:
     cut = hashes.select(*keep, "lines", rolled(F.col("hashes")).alias("rolled")).select(*keep, "lines", starts(F.col("rolled")).alias("starts"))
     n = F.size("lines")
     parts = F.transform("starts", lambda s, j: F.struct(s.alias("first"), (F.coalesce(F.get("starts", j + 1), n) - s).alias("n_lines")))
-    whole = F.transform(parts, lambda p: F.struct(p["first"].alias("first"), p["n_lines"].alias("n_lines"), F.slice("lines", p["first"] + 1, p["n_lines"]).alias("own")))
+    whole = F.transform(parts, lambda p: F.struct(p["first"].alias("first"), p["n_lines"].alias("n_lines"), F.transform(F.sequence(p["first"], p["first"] + p["n_lines"] - 1), lambda i: F.get("lines", i)).alias("own")))
     # Line by line: a pattern over the whole chunk would take time with the square of a long line.
     enough = F.filter(whole, lambda p: F.size(F.filter(p["own"], lambda x: x.rlike(r"\S"))) >= 2)
     bodies = F.transform(enough, lambda p: F.struct(p["first"].alias("first"), p["n_lines"].alias("n_lines"), F.array_join(p["own"], "\n").alias("body")))
@@ -71,13 +71,13 @@ def repeated(docs: DataFrame) -> DataFrame:
     own = with_lines(docs)
     slim = written(chunks(own, "key").select("key", "first", "n_lines", F.xxhash64("body").alias("hash")), "chunks")
     places = slim.groupBy("hash").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.min("first").alias("top"), F.max("first").alias("low"))
-    again = places.where("lo <> hi or top <> low").select("hash", F.col("lo").alias("first_key"))
-    held = written(slim.join(again, "hash").distinct(), "candidates")
+    again = written(places.where("lo <> hi or top <> low").select("hash", F.col("lo").alias("first_key")), "again")
+    held = written(slim.join(small(again, MOST_KEYS), "hash").distinct(), "candidates")
     first = held.where("key = first_key").groupBy("hash").agg(F.min("first").alias("first_line"))
     keys = written(held.select("key").distinct(), "keys")
-    texts = own.join(small(keys, MOST_KEYS), "key", "left_semi").dropDuplicates(["key", "text"])
+    texts = own.join(small(keys, MOST_KEYS), "key", "left_semi")
     found = chunks(texts, "key").withColumn("hash", F.xxhash64("body"))
-    bodies = written(found.join(held, ["key", "first", "n_lines", "hash"], "left_semi"), "bodies")
+    bodies = written(found.join(small(again.select("hash"), MOST_KEYS), "hash", "left_semi"), "bodies")
     origin = held.select("hash", "first_key").distinct().join(first, "hash")
     one = bodies.join(origin, "hash").where("key = first_key and first = first_line").select("hash", "first_key", "first_line", F.col("body").alias("origin")).dropDuplicates(["hash"])
     same = bodies.join(one, "hash").where("body = origin and not (key = first_key and first = first_line)")
