@@ -1,7 +1,7 @@
 """Regridding: aggregates over the source points of each target cell, and weighted means over four corners.
 
-Missing values are nulls: sum, avg, min and max skip them and give null for a cell without any, as the reference's folds
-do with their sentinel. Aggregates are partial before the shuffle, so at most a row for each cell and task travels.
+Missing values are nulls: sum, avg, min and max skip them and give null for a cell without any, as folds
+with a sentinel do. Aggregates are partial before the shuffle, so at most a row for each cell and task travels.
 """
 
 from __future__ import annotations

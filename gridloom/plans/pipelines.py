@@ -75,7 +75,7 @@ def monthly_temperature(monthly: DataFrame, source: Grid, target: Grid, geopoten
 def lagged_cycle(monthly: DataFrame, field: str, share: float = 0.5, key: str = "iglo") -> DataFrame:
     """PRJ-LAG: an annual cycle that follows the given one by less than a month: share of the month's value, the rest of the month before, December before January.
 
-    How the reference lags a cycle is not known; this is a plain first-order lag."""
+    A plain first-order lag."""
     before = F.max(F.when(F.col("month") == 12, F.col(field))).over(Window.partitionBy(key))
     last = F.coalesce(F.lag(field).over(Window.partitionBy(key).orderBy("month")), before)
     return monthly.withColumn(f"{field}_lagged", share * F.col(field) + (1 - share) * last)
