@@ -24,7 +24,7 @@ from .common import only, sliced
 BLOCK_BYTES = 8 << 20
 PARTS = 1024
 LONGS = pa.list_(pa.int64())
-FLOATS = pa.list_(pa.float64())
+LISTS = {"long": LONGS, "double": pa.list_(pa.float64()), "binary": pa.list_(pa.binary())}
 
 
 class Codes(dict):
@@ -84,13 +84,13 @@ def unpack(n: int, sizes: bytes, codes: bytes, counts: bytes) -> tuple[np.ndarra
 def build(docs: DataFrame, read: Callable[[Block, pa.RecordBatch], None], kept: dict[str, str], token: str = "string", size: int = BLOCK_BYTES, also: tuple[str, ...] = ()) -> DataFrame:
     """A row for each block: block, n, an array of each kept column, tokens (an array for each part; codes run through all of them), and the documents' pairs as pack() gives them.
 
-    read puts the documents of a slice into the block. kept: the columns it keeps of a document, long or double.
+    read puts the documents of a slice into the block. kept: the columns it keeps of a document, long, double or binary.
     token: string or binary. also: columns of longs that read needs besides doc_id and text."""
     schema = ", ".join(["block long", "n int", *[f"{k} array<{v}>" for k, v in kept.items()], f"tokens array<array<{token}>>", "sizes binary", "codes binary", "counts binary"])
 
     def row(block: Block, number: int) -> pa.RecordBatch:
         columns = [pa.array([number]), pa.array([block.n], pa.int32())]
-        columns += [pa.array([block.columns.get(k, [])], FLOATS if v == "double" else LONGS) for k, v in kept.items()]
+        columns += [pa.array([block.columns.get(k, [])], LISTS[v]) for k, v in kept.items()]
         tokens = list(block.tokens)
         part = np.array([zlib.crc32(t if isinstance(t, bytes) else t.encode()) % PARTS for t in tokens], np.int64)
         order = np.argsort(part, kind="stable")

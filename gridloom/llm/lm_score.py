@@ -6,9 +6,10 @@ task counts its own byte strings with NumPy, Spark adds the counts up. Escape pr
 the longer context has shown are left out of the shorter one. A text is followed by an end symbol that UTF-8 never holds
 and preceded by ORDER of them as context. Bytes that no context has shown share what is left evenly.
 
-The trie keeps the nodes of at least one 2^-22 of all learning bytes, so no level has more than 2^22 nodes however large
-the corpus is: that proves the size of what is sent to executors, and is the same rule at every size. A node is kept only
-if its suffix is (a suffix is at least as frequent), which exclusion relies on.
+Every node of the trie counts, however rare. The trie is a table dealt into PARTS parts by a hash of the NEAR newest symbols
+of a context: nodes with contexts of NEAR symbols or more, and the contexts they escape to down to that length, lie in one
+part. Only the nodes of shorter contexts are sent to all tasks, at most 256^NEAR of the longest. The distinct strings of each
+block of documents go to the parts, get their probabilities there and come back to the block.
 
 Beside it stands a word-unigram base with add-one counts; see op2.
 
@@ -20,7 +21,7 @@ documents every byte has the same probability.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,10 +32,14 @@ from pyspark.sql import functions as F
 
 from . import blocks
 from .common import buffers, only, sliced, texts, written
-from .kernel import LOWER
+from .kernel import LOWER, mix
 
 ORDER = 5
 MOST_NODES = 1 << 22
+PARTS = 256
+NEAR = 2
+#: Grams in a row of the trie's table, at most.
+ROW_GRAMS = 1 << 20
 END = 0xFF
 SYMBOLS = 256
 U = np.uint64
@@ -164,7 +169,7 @@ class Model:
 
 
 def fitted(counts: DataFrame, order: int = ORDER, most_nodes: int = MOST_NODES) -> Model:
-    """The model of gram counts. What the driver gets is at most most_nodes grams of each length."""
+    """A model in one place, which keeps only nodes of at least 1 / most_nodes of all counts. op2 keeps all; see trie."""
     spark = counts.sparkSession
     held = written(counts, "grams")
     total = held.agg(F.sum("n")).first()[0] or 0
@@ -181,7 +186,153 @@ def fitted(counts: DataFrame, order: int = ORDER, most_nodes: int = MOST_NODES)
     return Model(grams)
 
 
-def scores(model: Model, data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.ndarray:
+PART = (mix(np.arange(1 << 8 * NEAR, dtype=U)) % U(PARTS)).astype(np.int64)
+
+
+def part_of(grams: np.ndarray) -> np.ndarray:
+    return PART[(grams >> U(8)) & U(len(PART) - 1)]
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    return pa.compress(values.tobytes(), "zstd", asbytes=True)
+
+
+def restored(data: bytes, n: int, kind=np.int64) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), kind)
+
+
+def stepped(grams: np.ndarray) -> bytes:
+    """Sorted grams, compressed as steps from one to the next."""
+    return squeezed(np.diff(grams, prepend=U(0)))
+
+
+def walked(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(restored(data, n, U), dtype=U)
+
+
+def text_slices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bytes and offsets of a block's texts, a slice at a time."""
+    for batch in sliced(iter([pa.RecordBatch.from_arrays([column.view(pa.string())], ["text"])]), "text"):
+        yield buffers(batch.column("text"))
+
+
+def dictionary(column: pa.Array, learns: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of a block's texts, sorted, and how often its learning documents have each."""
+    found, counts, at = [np.zeros(0, U)], [np.zeros(0, np.int64)], 0
+    for data, offsets in text_slices(column):
+        keys, rows = gram_keys(data, offsets, order)
+        own = learns[at + rows] > 0
+        at += len(offsets) - 1
+        for k, weight in ((keys[own], 1), (keys[~own], 0)):
+            k, n = tally(k)
+            found.append(k)
+            counts.append(n.astype(np.int64) * weight)
+    return tally(np.concatenate(found), np.concatenate(counts))
+
+
+def gram_parts(held: DataFrame, order: int) -> DataFrame:
+    """block, part, size, grams and counts: the distinct grams of each block by part, with their counts in learning documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                grams, counts = dictionary(batch.column("text")[i].values, batch.column("learns")[i].values.to_numpy(), order)
+                part = part_of(grams)
+                by = np.argsort(part, kind="stable")
+                grams, counts = grams[by], counts[by]
+                ends = np.cumsum(np.bincount(part, minlength=PARTS))
+                own = [(p, b - a, stepped(grams[a:b]), squeezed(counts[a:b])) for p, (a, b) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())) if b > a]
+                p, size, g, n = zip(*own) if own else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column("block")[i].as_py()] * len(own), pa.int64()), pa.array(p, pa.int32()), pa.array(size, pa.int32()), pa.array(g, pa.binary()), pa.array(n, pa.binary())], ["block", "part", "size", "grams", "counts"])
+
+    return held.select("block", "text", "learns").mapInArrow(run, "block long, part int, size int, grams binary, counts binary")
+
+
+def trie(parts: DataFrame) -> DataFrame:
+    """part, size, grams and counts: all grams of the learning documents with their counts, each in one row of its part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, waiting = None, (np.zeros(0, U), np.zeros(0, np.int64)), []
+
+        def merged():
+            return tally(np.concatenate([held[0], *[k for k, _ in waiting]]), np.concatenate([held[1], *[n for _, n in waiting]]))
+
+        def out(x):
+            for at in range(0, len(x[0]), ROW_GRAMS):
+                grams, counts = x[0][at : at + ROW_GRAMS], x[1][at : at + ROW_GRAMS]
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(grams)], pa.int32()), pa.array([stepped(grams)], pa.binary()), pa.array([squeezed(counts)], pa.binary())], ["part", "size", "grams", "counts"])
+
+        for batch in batches:
+            for p, size, grams, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "size", "grams", "counts"))):
+                if p != part:
+                    yield from out(merged())
+                    part, held, waiting = p, (held[0][:0], held[1][:0]), []
+                grams, counts = walked(grams, size), restored(counts, size)
+                waiting.append((grams[counts > 0], counts[counts > 0]))
+                if sum(len(k) for k, _ in waiting) > max(ROW_GRAMS, len(held[0])):
+                    held, waiting = merged(), []
+        yield from out(merged())
+
+    return parts.select("part", "size", "grams", "counts").repartition("part").sortWithinPartitions("part").mapInArrow(run, "part int, size int, grams binary, counts binary")
+
+
+def near_levels(known: DataFrame, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Nodes and counts of the levels whose contexts have less than NEAR symbols, from the trie's table."""
+    top = min(NEAR, order + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for size, grams, counts in zip(*(batch.column(c).to_pylist() for c in ("size", "grams", "counts"))):
+                nodes, n = tally(walked(grams, size) & U((1 << 8 * top) - 1), restored(counts, size))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(n)], ["gram", "n"])
+
+    found = known.select("size", "grams", "counts").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    grams, counts = found.column("gram").to_numpy().view(U), found.column("n").to_numpy().astype(np.int64)
+    return [tally(grams & U((1 << 8 * (k + 1)) - 1), counts) for k in range(top)]
+
+
+def answered(parts: DataFrame, known: DataFrame, order: int) -> DataFrame:
+    """block, part and values: log10 of the probability of each gram of each block's part."""
+    near = near_levels(known, order)
+    none = F.lit(None)
+    both = known.select(none.cast("long").alias("block"), "part", "size", "grams", "counts").union(parts.select("block", "part", "size", "grams", none.cast("binary")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, shown, model, asked = None, [], None, []
+
+        def out():
+            nonlocal model
+            if model is None:
+                grams, counts = (np.concatenate(x) for x in zip((np.zeros(0, U), np.zeros(0, np.int64)), *shown))
+                model = Model([*near, *[tally(grams & U((1 << 8 * (k + 1)) - 1), counts) for k in range(len(near), order + 1)]])
+            every, at = np.unique(np.concatenate([g for _, g in asked]), return_inverse=True)
+            values = np.split(model.log10(every)[at.ravel()], np.cumsum([len(g) for _, g in asked])[:-1])
+            n = len(asked)
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in asked], pa.int64()), pa.array([part] * n, pa.int32()), pa.array([squeezed(v) for v in values], pa.binary())], ["block", "part", "values"])
+
+        for batch in batches:
+            held = 0
+            for b, p, size, grams, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "size", "grams", "counts"))):
+                if p != part:
+                    if asked:
+                        yield out()
+                    part, shown, model, asked, held = p, [], None, [], 0
+                if b is None:  # a part's known grams come before its blocks
+                    shown.append((walked(grams, size), restored(counts, size)))
+                    continue
+                asked.append((b, walked(grams, size)))
+                held += size
+                if held > ROW_GRAMS:
+                    yield out()
+                    asked, held = [], 0
+            if asked:
+                yield out()
+                asked = []
+
+    return both.repartition("part").sortWithinPartitions("part", F.col("block").asc_nulls_first()).mapInArrow(run, "block long, part int, values binary")
+
+
+def scores(value: Callable[[np.ndarray], np.ndarray], data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.ndarray:
     """log10 probability of each row: each distinct string is looked up once, in sorted order."""
     keys, rows = gram_keys(data, offsets, order)
     if not len(keys):
@@ -193,26 +344,48 @@ def scores(model: Model, data: np.ndarray, offsets: np.ndarray, order: int = ORD
     else:
         keys, rows = keys[by], rows[by]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    each = np.repeat(model.log10(keys[first]), np.diff(np.r_[first, len(keys)]))
+    each = np.repeat(value(keys[first]), np.diff(np.r_[first, len(keys)]))
     return np.bincount(rows, each, len(offsets) - 1)
 
 
+def block_scores(held: DataFrame, values: DataFrame, order: int) -> DataFrame:
+    """block and score, the log10 probability of each of its documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                column = batch.column("text")[i].values
+                grams, _ = dictionary(column, np.zeros(len(column), np.int64), order)
+                part = part_of(grams)
+                by = np.argsort(part, kind="stable")
+                bounds = np.r_[0, np.cumsum(np.bincount(part, minlength=PARTS))]
+                value = np.full(len(grams), np.nan)
+                for x in batch.column("at")[i].as_py() or []:
+                    own = by[bounds[x["part"]] : bounds[x["part"] + 1]]
+                    value[own] = restored(x["values"], len(own), np.float64)
+                score = [scores(lambda g: value[np.searchsorted(grams, g)], data, offsets, order) for data, offsets in text_slices(column)]
+                yield pa.RecordBatch.from_arrays([batch.column("block").slice(i, 1), pa.array([np.concatenate([np.zeros(0), *score])], pa.list_(pa.float64()))], ["block", "score"])
+
+    each = values.groupBy("block").agg(F.collect_list(F.struct("part", "values")).alias("at"))
+    return held.select("block", "text").join(each, "block", "left").mapInArrow(run, "block long, score array<double>")
+
+
 def scored(docs: DataFrame, learning: F.Column, order: int = ORDER, size: int = blocks.BLOCK_BYTES) -> DataFrame:
     """The base's and the model's log10 probability of every text; both learn from the rows for which `learning` holds."""
-    spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(learning, F.lit(False)).cast("long").alias("learns"))
-    model = spark.sparkContext.broadcast(fitted(gram_counts(own.where("learns = 1"), order), order))
 
     def read(block: blocks.Block, batch: pa.RecordBatch) -> None:
         data, offsets = buffers(batch.column("text"))
-        lower = LOWER[data].tobytes()
-        score = scores(model.value, data, offsets, order)
+        plain, lower = data.tobytes(), LOWER[data].tobytes()
         for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
             found = lower[offsets[i] : offsets[i + 1]].split()  # at the contract's white space
-            block.add(np.fromiter(map(block.tokens.__getitem__, found), np.int32, len(found)), doc_id=doc_id, learns=batch.column("learns")[i].as_py(), score=float(score[i]), n_words=len(found))
+            block.add(np.fromiter(map(block.tokens.__getitem__, found), np.int32, len(found)), doc_id=doc_id, learns=batch.column("learns")[i].as_py(), text=plain[offsets[i] : offsets[i + 1]], n_words=len(found))
 
-    kept = {"doc_id": "long", "learns": "long", "score": "double", "n_words": "long"}
+    kept = {"doc_id": "long", "learns": "long", "text": "binary", "n_words": "long"}
     held = written(blocks.build(own, read, kept, "binary", size, ("learns",)), "words")
+    grams = gram_parts(held, order)
+    known = written(trie(grams), "trie")
+    score = written(block_scores(held, answered(grams, known, order), order), "scores")
     counts = written(blocks.gathered(held.mapInArrow(learned, "part int, tokens array<binary>, values binary")), "unigrams")
     words, kinds = counts.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     ends = own.where("learns = 1").count()
@@ -225,7 +398,7 @@ def scored(docs: DataFrame, learning: F.Column, order: int = ORDER, size: int =
         known = np.bincount(rows, freq * (value[codes] > 0), x["n"]).astype(np.int64) + (ends > 0)
         return {"doc_id": x["doc_id"], "held_out": pa.array(x["learns"].to_numpy() == 0), "n_tokens": pa.array(size), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(size), n)), "base_score": pa.array(base), "score": x["score"]}
 
-    return blocks.summed(held, blocks.looked_up(blocks.parts(held), counts), make, list(kept), SCHEMA)
+    return blocks.summed(held.join(score, "block"), blocks.looked_up(blocks.parts(held), counts), make, ["doc_id", "learns", "score", "n_words"], SCHEMA)
 
 
 def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -129,3 +129,23 @@ def test_trie_keeps_frequent_nodes(spark):
     # All next symbols of one context add up to 1.
     every = (keys[3] & ~np.uint64(255)) | np.arange(256, dtype=np.uint64)
     assert np.sum(10 ** small.log10(every)) == pytest.approx(1)
+
+
+def test_rare_nodes_count_beyond_the_bound(spark):
+    """More than 2^22 learning bytes: strings that come once still count."""
+    common = "the usual words come again and again. " * 400
+    rare = [(1000 + i, t) for i, t in documents() if t and i is not None and i < 60]
+    rows = [(i, common) for i in range(400)] + rare
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    assert sum(len(t) for i, t in rows if not held(i)) > lm_score.MOST_NODES
+    counts = [collections.defaultdict(collections.Counter) for _ in range(lm_score.ORDER + 1)]
+    times = collections.Counter(t for i, t in rows if not held(i))
+    for text, n in times.items():
+        data = b"\xff" * lm_score.ORDER + text.encode() + b"\xff"
+        for j in range(lm_score.ORDER, len(data)):
+            for k in range(lm_score.ORDER + 1):
+                counts[k][data[j - k : j]][data[j]] += n
+    got = {r["doc_id"]: r["score"] for r in lm_score.op2(frame(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    for i, t in [rows[0], *rare]:
+        assert got[i] == pytest.approx(ppm(counts, t, lm_score.ORDER), abs=1e-5)
