@@ -1,13 +1,15 @@
 """Repeated passages by MinHash over paragraphs.
 
-Line breaks do not show where a passage was pasted, so paragraphs are content-defined: WORDS words from each anchor, a pair
-of words whose hash is the least within REACH words on either side, and from the start and up to the end of each text.
-Anchors inside a passage are the same wherever it stands, so a passage of more than 50 words nearly always holds an anchored
-paragraph. Every paragraph gets bands of one MinHash value over its 5-word shingles, with the hash of its first word, so
-that paragraphs that merely overlap do not collide; there are as many bands as paragraphs of Jaccard similarity 0.8 need to
-collide with probability `recall`. Colliding paragraphs are compared exactly (see linking) and clustered by
-connected components. The first paragraph of a cluster, by document, stays; the others are removals. Paragraphs of a
-document that overlap are put together into spans.
+Line breaks do not show where a passage was pasted, so paragraphs are content-defined: WORDS words from each anchor, and from
+the start and up to the end of each text. Anchors are chosen by winnowing: of any CHOICE places in a row at which a paragraph
+may start, the one whose pair of words has the least hash is one. They depend on nothing else, so whatever passage of
+WORDS + CHOICE - 1 = 51 words two texts have in common, they have a paragraph in common. Every paragraph gets bands of one
+MinHash value over its 5-word shingles, with the hash of its first word, so that paragraphs that merely overlap do not
+collide; there are as many bands as paragraphs of Jaccard similarity 0.8 need to collide with probability `recall`. Colliding
+paragraphs are compared exactly (see linking) and clustered by connected components. The first paragraph of a cluster, by
+document, stays; the others are removals. Each removal is extended to both sides as long as its words agree with those
+beside the first paragraph, so it reaches to the ends of the passage or to an edit. Paragraphs of a document that overlap
+are put together into spans.
 
 Equal paragraphs are one node, so a passage in a third of all documents costs one comparison.
 
@@ -29,7 +31,11 @@ from .jaccard_join import keyed
 from .kernel import BASE, INVERSE, LOWER, U, distinct_shingles, mix, powers, row_bounds, shingles, word_hashes, words
 from .linking import having, linked
 
-WORDS, REACH, SHINGLE = 22, 6, 5
+WORDS, CHOICE, SHINGLE = 22, 30, 5
+#: Words by which two linked paragraphs may be shifted against each other: |shift| <= 2 at 0.8, and some for edits.
+SHIFTS = (0, 1, -1, 2, -2, 3, -3, 4, -4)
+#: Documents that a copy of a first document's text serves.
+SHARE = 200
 RECALL = 0.95
 
 
@@ -50,6 +56,19 @@ def least_near(values: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
+def winnowed(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Places of the least pair of words of any CHOICE places in a row of a text, each followed by WORDS words of it."""
+    n = len(hashes) - (WORDS + CHOICE - 2)
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    key = shingles(mix(hashes ^ U(0xA0761D6478BD642F)), 2)[: n + CHOICE - 1]
+    least = np.where(rows[:n] == rows[-n:], least_near(key, CHOICE), U(0))
+    # The largest of the windows' least values at each place: only a place that is the least of some window reaches it.
+    none = np.full(CHOICE - 1, U(2**64 - 1))
+    most = ~least_near(np.concatenate([none, ~least, none]), CHOICE)
+    return np.flatnonzero(key == most)
+
+
 class Paragraphs:
     """All paragraphs of a slice: row, first word, number of words, node (hash of the words) and the hashes to band."""
 
@@ -61,18 +80,17 @@ class Paragraphs:
         bounds = row_bounds(rows, batch.num_rows)
         first, last = bounds[:-1], bounds[1:]
         size = last - first
-        key = np.concatenate([shingles(mix(h ^ U(0xA0761D6478BD642F)), 2), np.full(2 * REACH + 1, U(2**64 - 1))])
-        near = least_near(np.concatenate([np.full(REACH, U(2**64 - 1)), key[: n + REACH]]), 2 * REACH + 1)[:n]
-        anchors = np.flatnonzero(near == key[:n])
+        anchors = winnowed(h, rows)
         long_ = size >= WORDS
         whole = ~long_ & (size >= SHINGLE)
-        at = np.concatenate([anchors[anchors + WORDS <= last[rows[anchors]]], first[long_], last[long_] - WORDS])
+        at = np.concatenate([anchors, first[long_], last[long_] - WORDS])
         at = np.unique(at)
         self.first = np.concatenate([at, first[whole]])
         self.size = np.concatenate([np.full(len(at), WORDS), size[whole]])
         order = np.argsort(self.first, kind="stable")
         self.first, self.size = self.first[order], self.size[order]
         self.row = rows[self.first] if n else self.first
+        self.at = self.first - first[self.row]
         sums = np.zeros(n + 1, U)
         np.cumsum(mix(h) * powers(BASE, n), out=sums[1:])
         self.node = mix((sums[self.first + self.size] - sums[self.first]) * (powers(INVERSE, n)[self.first] if n else U(1)) + self.size.astype(U)) if n else h
@@ -94,7 +112,7 @@ class Paragraphs:
 
 
 def paragraphs(docs: DataFrame, bands: int) -> DataFrame:
-    """doc_id, key, start and end (code points), n_words, node and bands of each paragraph."""
+    """doc_id, key, start and end (code points), at (its first word), n_words, node and bands of each paragraph."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
@@ -102,16 +120,16 @@ def paragraphs(docs: DataFrame, bands: int) -> DataFrame:
             found = np.stack([x.band(i) for i in range(bands)], 1).view(np.int64) if len(x.first) else np.zeros((0, bands), np.int64)
             at = pa.array(x.row)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * bands), pa.array(found.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("key").take(at), pa.array(x.start.astype(np.int32)), pa.array(x.end.astype(np.int32)), pa.array(x.size.astype(np.int32)), pa.array(x.node.view(np.int64)), lists], ["doc_id", "key", "start", "end", "n_words", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("key").take(at), pa.array(x.start.astype(np.int32)), pa.array(x.end.astype(np.int32)), pa.array(x.at.astype(np.int32)), pa.array(x.size.astype(np.int32)), pa.array(x.node.view(np.int64)), lists], ["doc_id", "key", "start", "end", "at", "n_words", "node", "bands"])
 
-    return keyed(docs).mapInArrow(run, "doc_id long, key long, start int, end int, n_words int, node long, bands array<long>")
+    return keyed(docs).mapInArrow(run, "doc_id long, key long, start int, end int, at int, n_words int, node long, bands array<long>")
 
 
 def clustered(docs: DataFrame, num: int = 80, den: int = 100, recall: float = RECALL) -> DataFrame:
-    """doc_id, key, start, end, n_words, cluster of each paragraph that another document repeats, and removed: not in the first document of its cluster."""
+    """doc_id, key, start, end, at, n_words, cluster of each paragraph that another document repeats, and removed: not in the first document of its cluster."""
     bands = tuned(num / den, recall)
     held = written(paragraphs(docs, bands), "paragraphs")
-    each = held.select(F.explode("bands").alias("bucket"), "node", (F.col("key").isNotNull() & F.col("doc_id").isNull()).alias("nameless"), "key", "start", "end", "n_words")
+    each = held.select(F.explode("bands").alias("bucket"), "node", (F.col("key").isNotNull() & F.col("doc_id").isNull()).alias("nameless"), "key", "start", "end", "at", "n_words")
     several = held.select(F.explode("bands").alias("bucket"), "key").groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("bucket", "n")
     met = written(each.join(several, "bucket"), "collisions")
     mixed = met.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
@@ -136,11 +154,105 @@ def clustered(docs: DataFrame, num: int = 80, den: int = 100, recall: float = RE
         return texts.mapInArrow(run, "node long, items binary").dropDuplicates(["node"])
 
     labels = linked(members, sets, num, den)
-    places = met.select("nameless", "key", "start", "end", "n_words", "node").distinct()
-    own = written(places.join(labels, "node", "left").select("nameless", "key", "start", "end", "n_words", F.coalesce("component", "node").alias("cluster")), "places")
+    places = met.select("nameless", "key", "start", "end", "at", "n_words", "node").distinct()
+    own = written(places.join(labels, "node", "left").select("nameless", "key", "start", "end", "at", "n_words", F.coalesce("component", "node").alias("cluster")), "places")
     first = own.groupBy("cluster").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key")).where("first_key <> last_key")
     found = own.join(first, "cluster")
-    return found.select(F.when(~F.col("nameless"), F.col("key")).alias("doc_id"), "key", "start", "end", "n_words", "cluster", (F.col("key") != F.col("first_key")).alias("removed"))
+    return found.select(F.when(~F.col("nameless"), F.col("key")).alias("doc_id"), "key", "start", "end", "at", "n_words", "cluster", (F.col("key") != F.col("first_key")).alias("removed"))
+
+
+def agreeing(sums: np.ndarray, inverse: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray, back: bool) -> np.ndarray:
+    """How many words from a on (back: before a) agree with those from b on, at most `most`, by hashes of ranges."""
+    lo, hi = np.zeros(len(a), np.int64), np.maximum(most, 0)
+    while (lo < hi).any():
+        mid = (lo + hi + 1) // 2
+        x, y = (a - mid, b - mid) if back else (a, b)
+        same = (sums[x + mid] - sums[x]) * inverse[x] == (sums[y + mid] - sums[y]) * inverse[y]
+        lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
+    return lo
+
+
+def reached(sums, inverse, a, b, a_most, b_most, a_inside, b_inside, back: bool) -> tuple[np.ndarray, np.ndarray]:
+    """By how many words paragraphs with edges at a extend beside those at b, and the edge of b then.
+
+    most: words on the outer side; inside: on the inner side. Where the words inside the edges disagree, shifts that make a shingle of them agree are tried."""
+    sign = -1 if back else 1
+    gain, edge = np.zeros(len(a), np.int64), b.copy()
+    open_ = np.arange(len(a))
+    for d in SHIFTS:
+        x, y = a[open_], b[open_] + sign * d
+        fits = (b_inside[open_] + d >= 0) & (b_most[open_] - d >= 0)
+        y = np.where(fits, y, b[open_])
+        shown = agreeing(sums, inverse, x, y, np.minimum(SHINGLE, np.minimum(a_inside[open_], b_inside[open_] + np.where(fits, d, 0))), not back) == SHINGLE
+        more = agreeing(sums, inverse, x, y, np.minimum(a_most[open_], b_most[open_] - np.where(fits, d, 0)), back)
+        better = fits & (shown | (d == 0)) & (more > gain[open_])
+        gain[open_[better]], edge[open_[better]] = more[better], (y + sign * more)[better]
+        open_ = open_[~(fits & shown)] if d == 0 else open_
+    return gain, edge
+
+
+MARK = ("start", "end", "at", "n_words", "cluster", "first_start", "first_at", "first_words")
+
+
+def extended(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """found with every removed paragraph, and the first one that it repeats, extended by the words that agree beside them.
+
+    The text of a first document travels to the documents that repeat it, a copy for every SHARE of them."""
+    found = written(found, "found")
+    first = found.where("not removed").groupBy("cluster").agg(F.min(F.struct("key", "start", "at", "n_words")).alias("o"))
+    names = found.where("removed").join(first, "cluster").select("doc_id", "key", F.col("o.key").alias("first_key"), "start", "end", "at", "n_words", "cluster", F.col("o.start").alias("first_start"), F.col("o.at").alias("first_at"), F.col("o.n_words").alias("first_words"))
+    pairs = written(names.groupBy("first_key", "key").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct(*MARK)).alias("marks")), "pairs")
+    copies = written(pairs.groupBy("first_key").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("copies")), "copies")
+    texts = keyed(docs).select("key", "text").where("key is not null").distinct()
+    dealt = pairs.join(copies, "first_key").withColumn("copy", F.pmod(F.xxhash64("key"), "copies").cast("int")).drop("copies")
+    own = dealt.join(having(texts, pairs.select("key"), "key"), "key").select("first_key", "copy", "key", "doc_id", "text", "marks")
+    kind = own.schema["marks"].dataType
+    lead = having(texts, copies.select(F.col("first_key").alias("key")), "key").join(copies.withColumnRenamed("first_key", "key"), "key")
+    lead = lead.select(F.col("key").alias("first_key"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast(kind).alias("marks"))
+    both = lead.union(own).repartition("first_key", "copy").sortWithinPartitions("first_key", "copy", F.col("key").asc_nulls_first())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, held_key = pa.array([None], pa.string()), None
+        for batch in sliced(batches, "text"):
+            column = pa.concat_arrays([held, batch.column("text").cast(pa.string())])
+            is_first = np.r_[True, batch.column("key").is_null().to_numpy(zero_copy_only=False)]
+            firsts = [held_key, *batch.column("first_key").to_pylist()]
+            origin = np.maximum.accumulate(np.where(is_first, np.arange(len(is_first)), 0))
+            held, held_key = column.slice(int(origin[-1]), 1), firsts[origin[-1]]
+            data, offsets = buffers(column)
+            starts, ends, rows = words(data, offsets)
+            n = len(starts)
+            sums = np.zeros(n + 1, U)
+            np.cumsum(mix(word_hashes(LOWER[data], starts, ends)) * powers(BASE, n), out=sums[1:])
+            inverse, bounds = powers(INVERSE, n + 1), row_bounds(rows, len(column))
+            plain = np.cumsum(np.concatenate([[0], (data & 0xC0) != 0x80]))
+            marks = batch.column("marks")
+            row = 1 + np.repeat(np.arange(batch.num_rows), marks.value_lengths().fill_null(0).to_numpy())
+            flat = marks.flatten()
+            x = {k: flat.field(k).to_numpy().astype(np.int64) for k in MARK}
+            lead = origin[row]
+            a, b = bounds[row] + x["at"], bounds[lead] + x["first_at"]
+            ea, eb = a + x["n_words"], b + x["first_words"]
+            good = (ea <= bounds[row + 1]) & (eb <= bounds[lead + 1])
+            # Of rows that share a doc_id, only those whose text has the paragraph there.
+            good[good] &= (plain[starts[a[good]]] - plain[offsets[row[good]]] == x["start"][good]) & (plain[starts[b[good]]] - plain[offsets[lead[good]]] == x["first_start"][good])
+            good = np.flatnonzero(good)
+            row, lead, a, b, ea, eb = (v[good] for v in (row, lead, a, b, ea, eb))
+            left, fa = reached(sums, inverse, a, b, a - bounds[row], b - bounds[lead], ea - a, eb - b, True)
+            right, fb = reached(sums, inverse, ea, eb, bounds[row + 1] - ea, bounds[lead + 1] - eb, ea - a, eb - b, False)
+            out = [batch.column("doc_id").take(pa.array(row - 1)), batch.column("key").take(pa.array(row - 1)), batch.column("first_key").take(pa.array(row - 1))]
+            base, lead_base = plain[offsets[row]], plain[offsets[lead]]
+            if len(good):
+                places = [plain[starts[a - left]] - base, plain[ends[ea + right - 1]] - base, plain[starts[np.minimum(fa, b)]] - lead_base, plain[ends[np.maximum(fb, eb) - 1]] - lead_base]
+                out += [pa.array(v.astype(np.int32)) for v in (x["start"][good], *places)]
+                yield pa.RecordBatch.from_arrays([*out, pa.array(x["cluster"][good])], ["doc_id", "key", "first_key", "was", "start", "end", "first_from", "first_to", "cluster"])
+
+    more = written(both.mapInArrow(run, "doc_id long, key long, first_key long, was int, start int, end int, first_from int, first_to int, cluster long"), "extended")
+    wide = more.groupBy("key", "was", "cluster").agg(F.min("start").alias("from"), F.max("end").alias("to"))
+    kept = more.groupBy("cluster", F.col("first_key").alias("key")).agg(F.min("first_from").alias("from"), F.max("first_to").alias("to"))
+    kept = kept.join(first.select("cluster", F.col("o.start").alias("was")), "cluster").select("key", "was", "cluster", "from", "to")
+    every = found.withColumnRenamed("start", "was").join(wide.unionByName(kept), ["key", "was", "cluster"], "left")
+    return every.select("doc_id", "key", F.least("was", "from").alias("start"), F.greatest("end", "to").alias("end"), "n_words", "cluster", "removed")
 
 
 def spans(found: DataFrame) -> DataFrame:
@@ -154,4 +266,4 @@ def spans(found: DataFrame) -> DataFrame:
 
 
 def op9(docs: DataFrame) -> DataFrame:
-    return spans(clustered(docs))
+    return spans(extended(docs, clustered(docs)))

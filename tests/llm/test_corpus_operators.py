@@ -180,3 +180,22 @@ def test_line_chunks(spark):
     assert sum(r["n_removed_lines"] for r in got if r["doc_id"] in (701, 702)) > 30
     assert line_dedup.stage(df).schema == df.schema
     assert line_dedup.op8(frame(spark, [])).count() == 0
+
+
+def test_whole_passages_are_covered(spark):
+    """Passages of 51 words and more at any place of unlike texts: all their words are removed in every later document."""
+    rnd = random.Random(12)
+    rows, spots = [], []
+    for i in range(120):
+        size = rnd.choice([51, 52, 55, 60, 70, 90, 150])
+        passage = " ".join(f"p{rnd.randrange(10**6)}" for _ in range(size))
+        for c in range(2):
+            before, after = (" ".join(f"é{rnd.randrange(10**6)}" for _ in range(rnd.randrange(0, 90))) for _ in range(2))
+            text = f"{before} {passage} {after}"
+            rows.append((2 * i + c, text))
+            spots.append((len(before) + 1, len(before) + 1 + len(passage)))
+    found = substring_dedup.op9(frame(spark, rows)).collect()
+    for d, (start, end) in enumerate(spots):
+        own = [(r["start"], r["end"]) for r in found if r["doc_id"] == d and r["removed"] == bool(d % 2)]
+        # Up to 4 words of a window at a text's end may differ at 0.8.
+        assert len(own) == 1 and start - 36 <= own[0][0] <= start and end <= own[0][1] <= end + 36, d
