@@ -4,9 +4,8 @@ Line breaks do not show where a passage was pasted, so paragraphs are content-de
 the start and up to the end of each text. Anchors are chosen by winnowing: of any CHOICE places in a row at which a paragraph
 may start, the one whose pair of words has the least hash is one. They depend on nothing else, so whatever passage of
 WORDS + CHOICE - 1 = 51 words two texts have in common, they have a paragraph in common. Every paragraph gets bands of one
-MinHash value over its 5-word shingles, with the hash of its first word, so that paragraphs that merely overlap do not
-collide; there are as many bands as paragraphs of Jaccard similarity 0.8 need to collide with probability `recall`. Colliding
-paragraphs are compared exactly (see linking) and clustered by connected components. The first paragraph of a cluster, by
+MinHash value over its 5-word shingles and nothing else, as many as paragraphs of Jaccard similarity 0.8 need to collide with
+probability `recall`. Colliding paragraphs are compared exactly (see linking) and clustered by connected components. The first paragraph of a cluster, by
 document, stays; the others are removals. Each removal is extended to both sides as long as its words agree with those
 beside the first paragraph, so it reaches to the ends of the passage or to an edit. Paragraphs of a document that overlap
 are put together into spans.
@@ -108,7 +107,7 @@ class Paragraphs:
             out[usual] = least_near(every, WORDS - SHINGLE + 1)[self.first[usual]]
         for i in np.flatnonzero(~usual):
             out[i] = every[self.first[i] : self.first[i] + self.size[i] - SHINGLE + 1].min()
-        return mix(out + U(number) + mix(self.hashes[self.first])) if len(out) else out
+        return mix(out + U(number)) if len(out) else out
 
 
 def paragraphs(docs: DataFrame, bands: int) -> DataFrame:

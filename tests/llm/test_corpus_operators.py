@@ -199,3 +199,20 @@ def test_whole_passages_are_covered(spark):
         own = [(r["start"], r["end"]) for r in found if r["doc_id"] == d and r["removed"] == bool(d % 2)]
         # Up to 4 words of a window at a text's end may differ at 0.8.
         assert len(own) == 1 and start - 36 <= own[0][0] <= start and end <= own[0][1] <= end + 36, d
+
+
+def test_pairs_with_another_first_word(spark):
+    """Found pairs against brute force at 0.8: texts of one paragraph, with another first word or shifted by one."""
+    rnd = random.Random(14)
+    rows = []
+    for i in range(100):
+        w = [f"q{rnd.randrange(10**6)}" for _ in range(21)]
+        rows += [(2 * i, " ".join(w[:20])), (2 * i + 1, " ".join(w[1:21] if i % 2 else ["other", *w[1:20]]))]
+    sets = {d: shingle_set(t, 5) for d, t in rows}
+    pairs = {(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
+    assert len(pairs) == 100
+    clusters = collections.defaultdict(set)
+    for r in substring_dedup.clustered(frame(spark, rows)).collect():
+        clusters[r["cluster"]].add(r["doc_id"])
+    found = {(a, b) for c in clusters.values() for a in c for b in c if a < b}
+    assert found <= pairs and len(found) >= 95
