@@ -10,7 +10,8 @@ agree. After a failed check the reader looks for the next place at which a membe
 the checks, and goes on from there; what lies between comes out as a gap with its offset, length and the check that failed.
 Files with records as plain text are read alike.
 
-Defined cases: a null html is an empty payload; equal payloads of any length are one group; rows that share the largest
+Defined cases: a null html is an empty payload; control characters of a url are written percent-encoded, and a url may be as
+long as a record; equal payloads of any length are one group; rows that share the largest
 page_id of their group, repeated rows too, are each a response; a null page_id is never referred to unless all of its group
 are null, and then its rows are responses; other columns are ignored; an empty table gives no archives and an empty result.
 """
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -37,6 +39,7 @@ ARCHIVE_BYTES = 64 << 20
 READ_BYTES = 1 << 17
 #: A record that claims more than this is taken as damaged.
 MOST_RECORD = 1 << 30
+CONTROL = re.compile(r"[\x00-\x1f\x7f]")
 VERSION = b"WARC/1.1\r\n"
 MEMBER = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -59,11 +62,16 @@ def page_of(name: str | None) -> int | None:
     return int(body) if body.lstrip("-").isdigit() else None
 
 
+def escaped(uri: str) -> str:
+    """The URI with control characters percent-encoded: a line break would end its header."""
+    return CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", uri)
+
+
 def record(page_id: int | None, uri: str, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
     """A response with its payload, or a revisit whose HTTP header tells the payload's length."""
     digest = sha1_base32(payload)
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + (b"" if revisit else payload)
-    lines = [f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name_of(page_id)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{sha1_base32(block)}", f"Content-Length: {len(block)}"]
+    lines = [f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name_of(page_id)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {escaped(uri)}", "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{sha1_base32(block)}", f"Content-Length: {len(block)}"]
     if revisit:
         lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {name_of(refers_to)}"]
     return VERSION + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -98,9 +106,9 @@ def parsed(data: bytes | memoryview, final: bool) -> tuple[Record, int]:
 
     if not data.startswith(b"WARC/1."):
         raise short("version line") if b"WARC/1.".startswith(data[:7]) else Damaged("version line")
-    head = data.find(b"\r\n\r\n", 0, 1 << 16)
+    head = data.find(b"\r\n\r\n", 0, MOST_RECORD)
     if head < 0:
-        raise Damaged("headers") if len(data) >= 1 << 16 else short("headers")
+        raise Damaged("headers") if len(data) >= MOST_RECORD else short("headers")
     headers = {}
     for line in data[:head].decode("utf-8", "replace").split("\r\n")[1:]:
         key, colon, value = line.partition(":")

@@ -90,3 +90,14 @@ def test_salvage(packed):
     assert sum(n for _, n, _, _ in found) == len(data)
     assert list(warc.salvaged(io.BytesIO(b"").read)) == []
     assert [x[3] for x in warc.salvaged(io.BytesIO(b"not an archive").read)] == ["version line"]
+
+
+def test_any_url_is_read_back(spark):
+    urls = ["http://x/" + "long" * 50000, "http://x/\r\n\r\nWARC/1.1\r\n", "http://x/a\nb\tc\x00", "\r\n", ":", None]
+    df = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    assert sorted(r["page_id"] for r in warc.op6(spark, df).collect()) == list(range(len(urls)))
+    for pack in (warc.member, bytes):
+        data = b"".join(pack(warc.record(i, u or "", b"page", None, False)) for i, u in enumerate(urls))
+        found = list(warc.salvaged(io.BytesIO(data).read))
+        assert [r and warc.page_of(r.headers["warc-record-id"]) for _, _, r, _ in found] == list(range(len(urls)))
+        assert found[0][2].headers["warc-target-uri"] == urls[0] and found[2][2].headers["warc-target-uri"] == "http://x/a%0Ab%09c%00"
