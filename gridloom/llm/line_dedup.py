@@ -3,7 +3,9 @@
 A text's lines are cut into chunks where the content says so: a rolling hash over the hashes of two lines (a rotation and
 an exclusive or) is mixed, and a chunk starts at each line whose value is less than the one before it and no more than the
 one after it. Such a boundary depends on four lines only, so text put in before it does not shift it, and no inner chunk
-has less than two lines. Chunks of at least two lines that are not blank and MIN_CHARS characters are counted over all
+has less than two lines. A repeated block is found where both ends of a chunk are decided by its own lines, which takes six
+lines at least (a cut depends on the two lines before it, its own and the next); in shorter blocks only chunks are found
+whose cuts happen to agree outside of the block too, and no number of lines makes a find certain. Chunks of at least two lines that are not blank and MIN_CHARS characters are counted over all
 documents by their hash; those that come again are compared byte for byte with the first (by document, then by place), and
 equal ones are removed. Chunks of other bytes under the same hash stay.
 
