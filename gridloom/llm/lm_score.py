@@ -26,7 +26,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -382,11 +381,11 @@ def scored(docs: DataFrame, learning: F.Column, order: int = ORDER, size: int =
             block.add(np.fromiter(map(block.tokens.__getitem__, found), np.int32, len(found)), doc_id=doc_id, learns=batch.column("learns")[i].as_py(), text=plain[offsets[i] : offsets[i + 1]], n_words=len(found))
 
     kept = {"doc_id": "long", "learns": "long", "text": "binary", "n_words": "long"}
-    held = written(blocks.build(own, read, kept, "binary", size, ("learns",)), "words")
+    held = written(blocks.build(own, read, kept, size, ("learns",)), "words")
     grams = gram_parts(held, order)
     known = written(trie(grams), "trie")
     score = written(block_scores(held, answered(grams, known, order), order), "scores")
-    counts = written(blocks.gathered(held.mapInArrow(learned, "part int, tokens array<binary>, values binary")), "unigrams")
+    counts = written(blocks.gathered(held.mapInArrow(learned, "part int, tokens binary, values binary")), "unigrams")
     words, kinds = counts.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     ends = own.where("learns = 1").count()
     n, v = words + ends, kinds + (ends > 0)
@@ -406,12 +405,13 @@ def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             rows, codes, counts = blocks.unpack(*(batch.column(k)[i].as_py() for k in ("n", "sizes", "codes", "counts")))
-            lists = batch.column("tokens")[i].values
-            ends = np.cumsum(pa.compute.list_value_length(lists).to_numpy())
+            sizes = batch.column("held")[i].values.to_numpy()
+            ends = np.cumsum(sizes)
             learns = batch.column("learns")[i].values.to_numpy()
             n = np.bincount(codes, counts * learns[rows], ends[-1]).astype(np.int64)
             found = pa.array([blocks.packed(x) for x in np.split(n, ends[:-1])], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(ends), dtype=np.int32)), lists, found], ["part", "tokens", "values"])
+            own = pa.RecordBatch.from_arrays([pa.array(np.arange(len(ends), dtype=np.int32)), batch.column("tokens")[i].values, found], ["part", "tokens", "values"])
+            yield own.filter(pa.array(sizes > 0))
 
 
 def op2(docs: DataFrame) -> DataFrame:

@@ -57,8 +57,11 @@ def frequencies(docs: DataFrame, path: str | None = None, size: int = blocks.BLO
     def read(block: blocks.Block, batch: pa.RecordBatch) -> None:
         import regex
 
-        number = block.tokens.__getitem__
-        kept = Kept(lambda x: np.array([number(t) for t in pretokens(x)], np.int32))
+        def coded(text: str) -> np.ndarray:
+            return np.array([block.tokens[t.encode()] for t in pretokens(text)], np.int32)
+
+        if block.met is None:
+            block.met = Kept(coded)
         marks = specials(path)
         cut = regex.compile("|".join(map(regex.escape, marks))) if marks else None
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")).to_pylist()):
@@ -69,7 +72,7 @@ def frequencies(docs: DataFrame, path: str | None = None, size: int = blocks.BLO
             codes = []
             for part in parts:
                 found = stretches(part)
-                codes += [np.array([number(t) for t in pretokens(part)], np.int32)] if found is None else map(kept.__getitem__, found)
+                codes += [coded(part)] if found is None else map(block.met.__getitem__, found)
             block.add(np.concatenate([np.zeros(0, np.int32), *codes]), doc_id=doc_id, n_bytes=len(text.encode()), special=n)
 
     return blocks.build(docs, read, {"doc_id": "long", "n_bytes": "long", "special": "long"}, size=size)
@@ -82,12 +85,12 @@ def pieces(parts: DataFrame, path: str | None = None) -> DataFrame:
     def value():
         own, kept = library(path), {}
 
-        def count(tokens: list[str]) -> list[int]:
+        def count(tokens: list[bytes]) -> list[int]:
             if fresh := [t for t in tokens if t not in kept]:
                 if len(kept) > MOST_KEPT:
                     kept.clear()
                     fresh = tokens
-                kept.update(zip(fresh, (len(x.ids) for x in own.encode_batch_fast(fresh, add_special_tokens=False))))
+                kept.update(zip(fresh, (len(x.ids) for x in own.encode_batch_fast([t.decode() for t in fresh], add_special_tokens=False))))
             return [kept[t] for t in tokens]
 
         return count
