@@ -5,16 +5,19 @@ an exclusive or) is mixed, and a chunk starts at each line whose value is less t
 one after it. Such a boundary depends on four lines only, so text put in before it does not shift it, and no inner chunk
 has less than two lines. A repeated block is found where both ends of a chunk are decided by its own lines, which takes six
 lines at least (a cut depends on the two lines before it, its own and the next); in shorter blocks only chunks are found
-whose cuts happen to agree outside of the block too, and no number of lines makes a find certain. Chunks of at least two lines that are not blank and MIN_CHARS characters are counted over all
-documents by their hash; those that come again are compared byte for byte with the first (by document, then by place), and
-equal ones are removed. Chunks of other bytes under the same hash stay.
+whose cuts happen to agree outside of the block too, and no number of lines makes a find certain.
 
-Only DataFrame functions run. What is shuffled for all documents is a row of two hashes for each chunk; texts move only for
-documents that hold a repeated chunk, if a count shows that their keys are few enough to broadcast, else for all.
+Chunks of at least two lines that are not blank and MIN_CHARS characters are counted over all documents by their hash. Those
+that come again are compared byte for byte by grouping them on hash and body, so that of the copies in one task one body
+travels, however common the chunk is. The first of a chunk (by document, then by place) stays, the others are removed.
+Chunks of other bytes than the first's under the same hash stay.
+
+Only DataFrame functions run. What is shuffled for all documents is a hash for each chunk. The places of the removed chunks
+are broadcast to the texts if a count shows that they are few enough; else the texts that hold one move, once.
 
 Defined cases: a null or empty text is one blank line and stays empty; a null doc_id comes back as null; repeated rows (the
-same doc_id and text) are one document and come back cleaned alike; of rows that share a doc_id but not the text, chunks
-are compared as if of one document; other columns are ignored; an empty table gives an empty result.
+same doc_id and text) are one document and come back cleaned alike; rows that share a doc_id but not the text are cleaned
+each by its own chunks; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -50,9 +53,9 @@ def starts(values: Column) -> Column:
 
 
 def with_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, key, text and lines. key stands for the document also where doc_id is null."""
-    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64(text)).alias("key"), text.alias("text")).withColumn("lines", F.split("text", "\n", -1))
+    """key, version and lines. key stands for the document also where doc_id is null; version tells texts apart that share it."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("key"), F.xxhash64(text).alias("version"), F.split(text, "\n", -1).alias("lines"))
 
 
 def chunks(own: DataFrame, *keep: str) -> DataFrame:
@@ -68,41 +71,49 @@ def chunks(own: DataFrame, *keep: str) -> DataFrame:
     return cut.select(*keep, F.inline(F.filter(bodies, lambda p: F.length(p["body"]) >= MIN_CHARS)))
 
 
+PLACE = ("key", "version", "first")
+
+
 def repeated(docs: DataFrame) -> DataFrame:
-    """key, first and n_lines of every chunk that equals an earlier one, and the earlier one's key; a written table."""
+    """key, version, first and n_lines of every chunk that equals an earlier one; a written table."""
     own = with_lines(docs)
-    slim = written(chunks(own, "key").select("key", "first", "n_lines", F.xxhash64("body").alias("hash")), "chunks")
-    places = slim.groupBy("hash").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.min("first").alias("top"), F.max("first").alias("low"))
-    again = written(places.where("lo <> hi or top <> low").select("hash", F.col("lo").alias("first_key")), "again")
+    slim = written(chunks(own, "key", "version").select(*PLACE, "n_lines", F.xxhash64("body").alias("hash")), "chunks")
+    again = written(slim.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "again")
     held = written(slim.join(small(again, MOST_KEYS), "hash").distinct(), "candidates")
-    first = held.where("key = first_key").groupBy("hash").agg(F.min("first").alias("first_line"))
+    first = written(held.groupBy("hash").agg(*[F.min(F.struct(*PLACE)).alias("x"), F.count("*").alias("n")]).where("n > 1").select("hash", "x.*"), "firsts")
     keys = written(held.select("key").distinct(), "keys")
     texts = own.join(small(keys, MOST_KEYS), "key", "left_semi")
-    found = chunks(texts, "key").withColumn("hash", F.xxhash64("body"))
-    bodies = written(found.join(small(again.select("hash"), MOST_KEYS), "hash", "left_semi"), "bodies")
-    origin = held.select("hash", "first_key").distinct().join(first, "hash")
-    one = bodies.join(origin, "hash").where("key = first_key and first = first_line").select("hash", "first_key", "first_line", F.col("body").alias("origin")).dropDuplicates(["hash"])
-    same = bodies.join(one, "hash").where("body = origin and not (key = first_key and first = first_line)")
-    return written(same.select("key", "first", "n_lines", "first_key").distinct(), "repeated")
+    bodies = chunks(texts, *PLACE[:2]).withColumn("hash", F.xxhash64("body"))
+    named = small(first.select("hash"), MOST_KEYS)
+    several = bodies.join(named, "hash", "left_semi").groupBy("hash", "body").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    mixed = written(several.select("hash"), "mixed")
+    later = held.join(small(first.select("hash", *[F.col(c).alias(f"{c}_0") for c in PLACE]), MOST_KEYS), "hash").where("not (key = key_0 and version = version_0 and first = first_0)")
+    same = later.join(small(mixed, MOST_KEYS), "hash", "left_anti").select(*PLACE, "n_lines")
+    if not mixed.isEmpty():  # other bytes under one hash: only those of the first's body go
+        body = written(bodies.join(small(mixed, MOST_KEYS), "hash", "left_semi").distinct(), "bodies")
+        one = body.join(first, ["hash", *PLACE]).select("hash", F.col("body").alias("origin"), *[F.col(c).alias(f"{c}_0") for c in PLACE])
+        same = same.union(body.join(one, "hash").where("body = origin and not (key = key_0 and version = version_0 and first = first_0)").select(*PLACE, "n_lines"))
+    return written(same, "repeated")
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed_chunks, n_removed_lines, text without repeated chunks, and the row as it was."""
-    columns = docs.columns
     gone = repeated(docs)
-    keys = written(gone.select("key").distinct(), "keys")
-    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in columns])
-    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64(text)).alias("key"), text.alias("text"), row.alias("row"))
-    n_lines = F.size(F.split("text", "\n", -1))
-    none = F.lit(0)
-    same = own.join(small(keys, MOST_KEYS), "key", "left_anti").select("doc_id", n_lines.alias("n_lines"), none.alias("n_removed_chunks"), none.alias("n_removed_lines"), "text", "row")
-    lists = gone.groupBy("key").agg(F.collect_list(F.struct("first", "n_lines")).alias("gone"))
-    hit = own.join(small(keys, MOST_KEYS), "key", "left_semi").join(lists, "key").withColumn("lines", F.split("text", "\n", -1))
-    out = F.flatten(F.transform("gone", lambda g: F.sequence(g["first"], g["first"] + g["n_lines"] - 1)))
-    hit = hit.withColumn("out", out).withColumn("left", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("out")))
-    kept = F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n")
-    return same.union(hit.select("doc_id", F.size("lines"), F.size("gone"), F.size("out"), kept, "row"))
+    lists = gone.groupBy("key", "version").agg(F.collect_list(F.struct("first", "n_lines")).alias("gone"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns])
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("key"), F.xxhash64(text).alias("version"), row.alias("row"))
+    if gone.count() <= MOST_KEYS:
+        both = own.join(F.broadcast(lists), ["key", "version"], "left")
+    else:  # only texts that lose a chunk move
+        keys = written(lists.select("key", "version"), "keys")
+        both = own.join(keys, ["key", "version"], "left_anti").withColumn("gone", F.lit(None).cast("array<struct<first:int,n_lines:int>>")).union(own.join(keys, ["key", "version"], "left_semi").join(lists, ["key", "version"]).select("key", "version", "row", "gone"))
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    parts = both.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.split(text, "\n", -1).alias("lines"), text.alias("text"), "row", F.coalesce("gone", F.array().cast("array<struct<first:int,n_lines:int>>")).alias("gone"))
+    out = parts.withColumn("out", F.flatten(F.transform("gone", lambda g: F.sequence(g["first"], g["first"] + g["n_lines"] - 1))))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("out"))
+    kept = F.when(F.size("out") == 0, F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
+    return out.select("doc_id", F.size("lines").alias("n_lines"), F.size("gone").alias("n_removed_chunks"), F.size("out").alias("n_removed_lines"), kept.alias("text"), "row")
 
 
 def op8(docs: DataFrame) -> DataFrame:
