@@ -29,9 +29,14 @@ def norm(a) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def bounded(x: Column, low: float = -1.0, high: float = 1.0) -> Column:
+    """Within low and high; null stays null, which greatest and least alone would skip."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
+
+
 def angle(a, b) -> Column:
     """PRJ-ANGLE: great-circle angle in radians; the scalar product is held within [-1, 1], so rounding gives no NaN."""
-    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b))))
+    return F.acos(bounded(dot(a, b)))
 
 
 def wrapped(lon: Column) -> Column:
@@ -104,17 +109,17 @@ class Schmidt:
     def _stretched(self, s: Column, c: float) -> Column:
         """The sine of latitude after stretching by c."""
         a, b = c * c + 1, c * c - 1
-        return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (b + a * s) / (a + b * s)))
+        return bounded((b + a * s) / (a + b * s))
 
     def forward(self, lon: Column, lat: Column) -> tuple[Column, Column]:
         """To the grid's frame: rotated, then drawn away from the pole."""
         p = unit_vector(lon, lat)
         x, y, z = (p[0] * r[0] + p[1] * r[1] + p[2] * r[2] for r in self._rows())
-        return F.degrees(F.atan2(y, x)), F.degrees(F.asin(self._stretched(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), z)), 1 / self.c)))
+        return F.degrees(F.atan2(y, x)), F.degrees(F.asin(self._stretched(bounded(z), 1 / self.c)))
 
     def inverse(self, lon: Column, lat: Column) -> tuple[Column, Column]:
         s = self._stretched(F.sin(F.radians(lat)), self.c)
-        r, a = F.sqrt(F.greatest(F.lit(0.0), 1 - s * s)), F.radians(lon)
+        r, a = F.sqrt(bounded(1 - s * s, 0.0)), F.radians(lon)
         p, rows = (r * F.cos(a), r * F.sin(a), s), self._rows()
         x, y, z = (p[0] * rows[0][i] + p[1] * rows[1][i] + p[2] * rows[2][i] for i in range(3))
-        return F.degrees(F.atan2(y, x)), F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), z))))
+        return F.degrees(F.atan2(y, x)), F.degrees(F.asin(bounded(z)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fields import DESERT, LAKE, SEA
+
 CLASSES = 256
 
 
@@ -63,17 +65,13 @@ def top_two(shares: list[Column]) -> tuple[Column, Column]:
     return tuple(F.coalesce(F.get(order, m)["k"], F.lit(0)) for m in (0, 1))
 
 
-#: Numbers of the classes sea, lake and desert among five vegetation types.
-SEA, DESERT, LAKE = 1, 3, 5
-
-
 def dominant(shares: list[Column], land: Column, sea: int = SEA, desert: int = DESERT, lake: int = LAKE) -> Column:
     """PRJ-DOMVEG: the dominant class; off land the sea unless it is the lake, on land the second class (or desert) instead of sea or lake."""
     first, second = top_two(shares)
     wet = (first == sea) | (first == lake)
     off = F.when(first == lake, first).otherwise(F.lit(sea))
     on = F.when(wet, F.when(second == 0, F.lit(desert)).otherwise(second)).otherwise(first)
-    return F.when(land > 0.5, on).otherwise(off)
+    return F.when(land >= 0.5, on).otherwise(off)
 
 
 def one_hot(kind: Column, n: int = 5) -> list[Column]:

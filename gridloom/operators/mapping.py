@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import angle, unit_vector
+from ..functions.geometry import angle, bounded, unit_vector
 from ..plans.grids import Grid
 
 CORNERS = ("sw", "se", "nw", "ne")
@@ -36,7 +36,7 @@ def _row_table(df: DataFrame, grid: Grid, bounds: list[tuple[float, float, int]]
         b = last if hi == math.inf else math.floor(hi / height)
         out += [(bucket, float(lo), float(hi), number) for bucket in range(a, b + 1)]
     table = spark.createDataFrame(out, "_bucket long, _lo double, _hi double, _row int")
-    bucket = F.greatest(F.lit(first), F.least(F.lit(last), F.floor(F.col("_y") / height)))
+    bucket = bounded(F.floor(F.col("_y") / height), first, last)
     return df.withColumn("_bucket", bucket).join(F.broadcast(table), "_bucket", "left")
 
 
@@ -50,7 +50,7 @@ def _geometry(df: DataFrame, grid: Grid, j: str, prefix: str) -> DataFrame:
 
 
 def cell_of(df: DataFrame, grid: Grid, lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """JN-CELL: df with iglo2, j2, i2 of the nearest cell of the grid; null where a regional grid has none (see in_domain).
+    """JN-CELL: df with iglo2, j2, i2 of the nearest cell of the grid; null where a regional grid has none (see in_domain) or a coordinate is null.
 
     Rows: the nearest, ties to the higher number; first and last reach half a cell out, or to the pole if the grid is global.
     Columns: the nearest, around the globe if the grid is global."""
@@ -58,7 +58,7 @@ def cell_of(df: DataFrame, grid: Grid, lon: str = "lon", lat: str = "lat") -> Da
     df = df.withColumns({"_x": x, "_y": y})
     if (line := grid.linear) is not None:
         at = F.floor((F.col("_y") - line[0]) / line[1] + 0.5)
-        j = F.greatest(F.lit(0), F.least(F.lit(grid.ny - 1), at)) if grid.is_global else F.when(at.between(0, grid.ny - 1), at)
+        j = bounded(at, 0, grid.ny - 1) if grid.is_global else F.when(at.between(0, grid.ny - 1), at)
         df = df.withColumn("j2", j.cast("int"))
         keep = []
     else:
@@ -94,9 +94,8 @@ def brackets(df: DataFrame, grid: Grid, lon: str = "lon", lat: str = "lat") -> D
     x, y = grid.xy(F.col(lon), F.col(lat))
     df = df.withColumns({"_x": x, "_y": y})
     if (line := grid.linear) is not None:
-        low, high = (0, grid.ny - 1)
         at = F.floor((F.col("_y") - line[0]) / line[1])
-        return df.withColumn("_top", F.greatest(F.lit(low - 1), F.least(F.lit(high), at)).cast("int"))
+        return df.withColumn("_top", bounded(at, -1, grid.ny - 1).cast("int"))
     sign = -1 if grid.y[0] > grid.y[-1] else 1
     edges = [-sign * math.inf, *grid.y, sign * math.inf]
     bounds = [(min(a, b), max(a, b), k - 1) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
@@ -171,11 +170,15 @@ def weighted(df: DataFrame, resolution: Column, lon: str = "lon", lat: str = "la
 
 
 def resolution(grid: Grid, j: Column, i: Column) -> Column:
-    """Angle between a point of a uniform grid and its neighbour before it on the row, after it for the first."""
-    x = lambda k: grid.xmin[0] + k * grid.dx[0]
-    y = grid.linear[0] + j * grid.linear[1]
+    """Angle between a point of any grid and its neighbour before it on the row, after it for the first."""
+
+    def of(values: tuple[float, ...]) -> Column:
+        return F.lit(values[0]) if len({*values}) == 1 else F.get(F.expr(f"array({', '.join(f'{float(v)!r}D' for v in values)})"), j)
+
+    xmin, dx, line = of(grid.xmin), of(grid.dx), grid.linear
+    y = line[0] + j * line[1] if line else of(grid.y)
     other = F.when(i > 0, i - 1).otherwise(i + 1)
-    return angle(unit_vector(*grid.lonlat(x(i), y)), unit_vector(*grid.lonlat(x(other), y)))
+    return angle(unit_vector(*grid.lonlat(xmin + i * dx, y)), unit_vector(*grid.lonlat(xmin + other * dx, y)))
 
 
 def mapping4(targets: DataFrame, source: Grid, resolution: Column, edge: str = "first") -> DataFrame:

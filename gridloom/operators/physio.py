@@ -32,6 +32,8 @@ def terrain_tensor(source: DataFrame, grid: Grid, target: Grid, height: str = "z
 def obstacles(source: DataFrame, grid: Grid, means: DataFrame, target: Grid, height: str = "zs") -> DataFrame:
     """Slopes and half heights of obstacles above each cell's interpolated mean: iglo2, aos_ and ho2_ with ip, im, jp, jm.
 
+    Half heights are half the rise to the east and north, and half the fall to the west and south.
+
     means: iglo and avg of the target. Differences of the source from the mean surface, then their half differences, are
     averaged over the cells."""
     mapping = mapping4(source.select("iglo", "j", "i", "lon", "lat"), target, resolution(grid, F.col("j"), F.col("i")))
@@ -41,6 +43,6 @@ def obstacles(source: DataFrame, grid: Grid, means: DataFrame, target: Grid, hei
     out = []
     for name, side in (("ip", "xp"), ("im", "xm"), ("jp", "yp"), ("jm", "ym")):
         rise, away = F.col(f"diff_{side}"), F.col(f"d{side}") * EARTH_RADIUS
-        out += [fx.positive_slope(rise, away).alias(f"aos_{name}"), fx.half_height(rise).alias(f"ho2_{name}")]
+        out += [fx.positive_slope(rise, away).alias(f"aos_{name}"), fx.half_height(rise, falls=name in ("im", "jm")).alias(f"ho2_{name}")]
     cells = to_cells(half.select("iglo", "lon", "lat", *out), target)
     return regrid(cells, dict.fromkeys([f"{k}_{n}" for k in ("aos", "ho2") for n in ("ip", "im", "jp", "jm")], "avg"))

@@ -84,12 +84,21 @@ def statistics(df: DataFrame, fields: list[str]) -> DataFrame:
     return one.select(F.inline(each))
 
 
+def filled_with_means(df: DataFrame, fractions: dict[str, str | None]) -> DataFrame:
+    """AG-MASKAVG, AG-FILLAVG: missing values of each field become the mean of its present ones, both only where its fraction is over 0 if it has one.
+
+    One aggregate serves all fields, so the plan holds the input twice, however many they are."""
+    if not fractions:
+        return df
+    inside = {f: F.col(m) > 0 if m else F.lit(True) for f, m in fractions.items()}
+    means = df.agg(*[F.avg(F.when(w, F.col(f))).alias(f"_mean_{f}") for f, w in inside.items()])
+    out = df.crossJoin(F.broadcast(means))  # one row
+    filled = {f: F.when(F.col(f).isNull() & w, F.col(f"_mean_{f}")).otherwise(F.col(f)) for f, w in inside.items()}
+    return out.withColumns(filled).drop(*[f"_mean_{f}" for f in fractions])
+
+
 def filled_with_mean(df: DataFrame, field: str, fraction: str | None = None) -> DataFrame:
-    """AG-MASKAVG, AG-FILLAVG: missing values become the mean of the present ones, both only where the fraction is over 0 if one is given."""
-    inside = F.col(fraction) > 0 if fraction else F.lit(True)
-    mean = df.agg(F.avg(F.when(inside, F.col(field))).alias("_mean"))
-    out = df.crossJoin(F.broadcast(mean))  # one row
-    return out.withColumn(field, F.when(F.col(field).isNull() & inside, F.col("_mean")).otherwise(F.col(field))).drop("_mean")
+    return filled_with_means(df, {field: fraction})
 
 
 def count_differences(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Neighbour operators on grids: gradients, half differences, high-order derivatives, rotation of vectors.
 
-On uniform grids rows and columns are windows. On reduced grids the neighbours of a point are computed keys, and their values
-come by one equi-join and one aggregate, which works on any grid.
+On uniform grids rows and columns are windows: a point's neighbours come by two shuffles of a row for each point. On reduced
+grids they are computed keys, and their values come by one equi-join and one aggregate, which works on any grid.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import wrapped
 from ..plans.grids import Grid
 from .mapping import _geometry
 
@@ -40,11 +41,40 @@ def high_gradient(df: DataFrame, field: str, nx: int, ny: int, order: int = 4, p
     return df
 
 
+def windowed_neighbours(df: DataFrame, grid: Grid, fields: list[str]) -> DataFrame:
+    """neighbours() of a uniform grid, where nw is the point straight above and ne has its values too. Rows may have gaps."""
+    row, column = Window.partitionBy("j").orderBy("i"), Window.partitionBy("i").orderBy("j")
+    whole = Window.partitionBy("j").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    n = grid.nx[0]
+    kept = ["i", "j", "x", "y", *fields]
+    point = F.struct(*kept)
+    first = {"_w": F.lag(point).over(row), "_e": F.lead(point).over(row)}
+    if grid.is_global:
+        first |= {"_first": F.first(point).over(whole), "_last": F.last(point).over(whole)}
+    out = df.withColumns(first).withColumns({"_n": F.lag(point).over(column), "_s": F.lead(point).over(column)})
+    at = {
+        "w": F.when(F.col("_w.i") == F.col("i") - 1, F.col("_w")),
+        "e": F.when(F.col("_e.i") == F.col("i") + 1, F.col("_e")),
+        "n": F.when(F.col("_n.j") == F.col("j") - 1, F.col("_n")),
+        "s": F.when(F.col("_s.j") == F.col("j") + 1, F.col("_s")),
+    }
+    if grid.is_global:
+        at["w"] = F.when(F.col("i") == 0, F.when(F.col("_last.i") == n - 1, F.col("_last"))).otherwise(at["w"])
+        at["e"] = F.when(F.col("i") == n - 1, F.when(F.col("_first.i") == 0, F.col("_first"))).otherwise(at["e"])
+    found = {f"{c}_{side}": at[side][c] for side in "we" for c in fields} | {f"x{side}": at[side]["x"] for side in "we"}
+    for r in "ns":
+        found |= {f"{c}_{r}{side}": at[r][c] for side in "we" for c in fields} | {f"y{r}": at[r]["y"]}
+        found |= {f"x{r}w": at[r]["x"], f"x{r}e": at[r]["x"] + grid.dx[0]}
+    return out.withColumns(found).drop("_w", "_e", "_n", "_s", "_first", "_last")
+
+
 def neighbours(df: DataFrame, grid: Grid, fields: list[str]) -> DataFrame:
     """df with, for each field, its values at w, e, nw, ne, sw and se, and with xw, xe, xnw and so on, yn and ys.
 
     n is the row before and s the row after; nw and ne are the points of that row on either side of x. A neighbour outside
-    the grid is null. Keys are computed, values come by one join and one aggregate."""
+    the grid is null. On uniform grids they are windows; else keys are computed, and values come by one join and one aggregate."""
+    if grid.linear is not None:
+        return windowed_neighbours(df, grid, fields)
     g = _geometry(df, grid, "j", "_0")
     g = g.withColumn("_jn", F.when(F.col("j") > 0, F.col("j") - 1)).withColumn("_js", F.when(F.col("j") < grid.ny - 1, F.col("j") + 1))
     g = _geometry(_geometry(g, grid, "_jn", "_n"), grid, "_js", "_s")
@@ -145,16 +175,18 @@ def half_differences(df: DataFrame, grid: Grid, fields: list[str]) -> DataFrame:
 
 
 def jacobian(grid: Grid) -> tuple[Column, Column, Column, Column]:
-    """Unit vectors of the grid's x and y axes in local east and north: (east of x, north of x, east of y, north of y)."""
+    """Unit vectors of the grid's x and y axes in local east and north: (east of x, north of x, east of y, north of y).
+
+    Both maps are conformal, so the axes are turned by one angle: on a cone by its share of the longitude from its centre, on
+    a rotated sphere by the bearing of its pole."""
     if grid.projection == "lonlat":
         return F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)
     if grid.projection == "lambert":
-        turn = F.radians(F.col("lon") - grid.map.lon0) * grid.map.n
-        return F.cos(turn), F.sin(turn), -F.sin(turn), F.cos(turn)
-    # The direction of the rotated pole as seen from the point.
+        turn = F.radians(wrapped(F.col("lon") - grid.map.lon0)) * grid.map.n
+        return F.cos(turn), -F.sin(turn), F.sin(turn), F.cos(turn)
     lon, lat, lon0, lat0 = F.radians("lon"), F.radians("lat"), grid.map.lon, grid.map.lat
-    turn = -F.atan2(math.cos(lat0) * F.sin(lon0 - lon), F.cos(lat) * math.sin(lat0) - F.sin(lat) * math.cos(lat0) * F.cos(lon0 - lon))
-    return F.cos(turn), F.sin(turn), -F.sin(turn), F.cos(turn)
+    turn = F.atan2(math.cos(lat0) * F.sin(lon0 - lon), F.cos(lat) * math.sin(lat0) - F.sin(lat) * math.cos(lat0) * F.cos(lon0 - lon))
+    return F.cos(turn), -F.sin(turn), F.sin(turn), F.cos(turn)
 
 
 def rotate(df: DataFrame, pairs: list[tuple[str, str]], source: Grid | None = None, target: Grid | None = None) -> DataFrame:

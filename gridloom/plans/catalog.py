@@ -153,9 +153,9 @@ def ag_cover_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("iglo2", *[F.round(c, 9).alias(c) for c in out.columns[1:]])
 
 
-@query(f"WITH {SRC}, {CELL} SELECT DISTINCT cover FROM cell WHERE iglo2 < 20")
+@query(f"WITH {SRC}, {CELL} SELECT DISTINCT cover FROM cell")
 def ag_nonempty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return covers.nonempty(covers.fractions(cells(spark, sf_dir).where("iglo2 < 20")))
+    return covers.nonempty(covers.fractions(cells(spark, sf_dir)))
 
 
 @query(f"WITH {COVER}, {CLASSES} SELECT iglo2, {', '.join(f'round(sum(frac * {p}) / nullif(sum(frac), 0), 6) AS {p}' for p in ('sea', 'nature', 'water', 'town'))} FROM frac JOIN classes USING (cover) GROUP BY iglo2")
@@ -220,10 +220,12 @@ def ag_countdiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regrid.count_differences(source_points(spark, sf_dir).withColumn("w", other), "zs", "w")
 
 
-MATCH = [("a", "f1"), ("b", "f2"), ("c", None)]
+_PAIRS = [(f, m) for f in "abc" for m in ("f1", "f2")]
+MATCH = f"""m AS (SELECT cover % 2 AS f1, CASE WHEN cover % 3 <> 0 THEN 0.5 ELSE 0.0 END AS f2, clay, sand, cover FROM src), v AS (SELECT f1, f2, CASE WHEN f1 > 0 THEN clay END AS a, CASE WHEN f2 > 0 THEN sand END AS b, CASE WHEN cover = 7 THEN sand END AS c FROM m),
+  n AS ({' UNION ALL '.join(f"SELECT '{f}' AS field, '{m}' AS mask, {k} AS k, count_if(({m} > 0) <> ({f} IS NOT NULL)) AS off FROM v" for k, (f, m) in enumerate(_PAIRS))})"""
 
 
-@query("SELECT * FROM (VALUES ('a', 'f1'), ('b', 'f2'), ('c', NULL)) AS t(field, mask)")
+@query(f"WITH {SRC}, {MATCH} SELECT field, arg_min(mask, k) FILTER (off = 0) AS mask FROM n GROUP BY field")
 def jn_maskmatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = source_points(spark, sf_dir)
     f1, f2 = F.col("cover") % 2, F.when(F.col("cover") % 3 != 0, 0.5).otherwise(0.0)
@@ -231,19 +233,26 @@ def jn_maskmatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regrid.matching_masks(made, ["a", "b", "c"], ["f1", "f2"])
 
 
-HIGH_SQL = {a: " + ".join(f"({c!r}) * (lead{k}{a} - lag{k}{a})" for k, c in enumerate(stencil.HIGH[2], 1)) for a in "ij"}
+def _high_sql() -> str:
+    """Central differences of order 2, 4, 6 and 8 around both ends, from arrays of each row and column; coefficients from Taylor's series."""
+    out, parts = [], []
+    for a, n, other in (("i", TX, "j"), ("j", TY, "i")):
+        parts.append(f"l{a} AS (SELECT {other}, list(v ORDER BY {a}) AS l FROM field GROUP BY {other})")
+        for order in range(1, 5):
+            terms = []
+            for k in range(1, order + 1):
+                c = (-1) ** (k + 1) * math.factorial(order) ** 2 / (k * math.factorial(order - k) * math.factorial(order + k))
+                terms.append(f"({c!r}) * (l{a}.l[(s.{a} + {k}) % {n} + 1] - l{a}.l[(s.{a} + {n} - {k}) % {n} + 1])")
+            out.append(f"round({' + '.join(terms)}, 5) AS v_d{a}{order}")
+    return f"WITH {SRC}, {CELL}, {FIELD}, {', '.join(parts)} SELECT s.iglo, {', '.join(out)} FROM field s JOIN li ON li.j = s.j JOIN lj ON lj.i = s.i"
 
 
-def _periodic(a: str) -> str:
-    n, other = (TX, "j") if a == "i" else (TY, "i")
-    at = (lambda e: f"p.j = s.j AND p.i = ({e}) % {n}") if a == "i" else (lambda e: f"p.i = s.i AND p.j = ({e}) % {n}")
-    return ", ".join(f"(SELECT v FROM field p WHERE {at(f's.{a} + {n} + {sign}{k}')}) AS {name}{k}{a}" for k in (1, 2) for name, sign in (("lead", ""), ("lag", "-")))
-
-
-@query(f"WITH {SRC}, {CELL}, {FIELD}, t AS (SELECT iglo, {_periodic('i')}, {_periodic('j')} FROM field s) SELECT iglo, round({HIGH_SQL['i']}, 5) AS v_di, round({HIGH_SQL['j']}, 5) AS v_dj FROM t")
+@query(_high_sql())
 def st_high(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = stencil.high_gradient(field(spark, sf_dir), "v", TX, TY, order=2, periodic=True)
-    return out.select("iglo", F.round("v_di", 5).alias("v_di"), F.round("v_dj", 5).alias("v_dj"))
+    out = field(spark, sf_dir)
+    for order in range(1, 5):
+        out = stencil.high_gradient(out, "v", TX, TY, order=order, periodic=True).withColumnsRenamed({f"v_d{a}": f"v_d{a}{order}" for a in "ij"})
+    return out.select("iglo", *[F.round(f"v_d{a}{order}", 5).alias(f"v_d{a}{order}") for a in "ij" for order in range(1, 5)])
 
 
 ARMS = f"""{SRC}, {CELL}, {FIELD}, arms AS (SELECT s.*, e.v AS ve, w.v AS vw, CASE WHEN s.j = 0 THEN s.v ELSE n.v END AS vn, CASE WHEN s.j = {TY - 1} THEN s.v ELSE o.v END AS vs,
@@ -268,7 +277,8 @@ def st_half(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("iglo", *[r6(f"v_{n}").alias(f"v_{n}") for n in ("xp", "xm", "yp", "ym")], *[F.round(f"d{n}", 9).alias(f"d{n}") for n in ("xp", "xm", "yp", "ym")])
 
 
-def _weights_sql() -> str:
+def _weights_sql(pt: str) -> str:
+    """4-point values of the field at points (iglo, plon, plat, qlon); qlon: longitude of the point's neighbour on its row."""
     xyz = lambda p: f"cos(radians({p}lat)) * cos(radians({p}lon)) AS {p}x, cos(radians({p}lat)) * sin(radians({p}lon)) AS {p}y, sin(radians({p}lat)) AS {p}z"
     ang = lambda a, b: f"acos(greatest(-1.0, least(1.0, {a}x * {b}x + {a}y * {b}y + {a}z * {b}z)))"
     c = ("c0", "c1", "c2", "c3")
@@ -281,37 +291,51 @@ def _weights_sql() -> str:
     plain = ", ".join(f"1.0 / greatest(1e-30, {after[k]} * {after[mapping.PREV[k]]})" for k in range(4))
     values = ", ".join(f"f{k}.v AS v{k}" for k in range(4))
     joins = " ".join(f"JOIN field f{k} ON f{k}.iglo = t.c{k}" for k in range(4))
-    pt = f"SELECT iglo, 2.3 + 7.2 * (iglo % 50) AS plon, 80.1 + (-6.7) * (iglo // 50) AS plat FROM (SELECT unnest(range(0, 1250)) AS iglo)"
     res = "acos(greatest(-1.0, least(1.0, cos(radians(plat)) * cos(radians(plon)) * cos(radians(plat)) * cos(radians(qlon)) + cos(radians(plat)) * sin(radians(plon)) * cos(radians(plat)) * sin(radians(qlon)) + sin(radians(plat)) * sin(radians(plat)))))"
     top = " + ".join(f"CASE WHEN v{k} IS NULL OR w[{k + 1}] = 0 THEN 0 ELSE w[{k + 1}] * v{k} END" for k in range(4))
     low = " + ".join(f"CASE WHEN v{k} IS NULL THEN 0 ELSE w[{k + 1}] END" for k in range(4))
-    return f"""WITH {SRC}, {CELL}, {FIELD}, p AS ({pt}), q AS (SELECT *, CAST(floor((plat - 85.0) / -10.0) AS BIGINT) AS jn, CAST(((floor((plon - 5.0) / 10.0) + {TX}) % {TX}) AS BIGINT) AS iw, CASE WHEN iglo % 50 > 0 THEN plon - 7.2 ELSE plon + 7.2 END AS qlon FROM p),
+    return f"""WITH {SRC}, {CELL}, {FIELD}, p AS ({pt}), q AS (SELECT *, CAST(floor((plat - 85.0) / -10.0) AS BIGINT) AS jn, CAST(((floor((plon - 5.0) / 10.0) + {TX}) % {TX}) AS BIGINT) AS iw FROM p),
   g AS (SELECT *, {keys}, {res} AS r FROM q), h AS (SELECT *, {xyz('p')}, {', '.join(xyz(x) for x in c)} FROM g), t AS (SELECT *, {dist} FROM h),
   u AS (SELECT t.iglo, {values}, CASE {near} ELSE [{plain}] END AS w FROM t {joins}) SELECT iglo AS iglo2, round(CASE WHEN ({low}) > 0 THEN ({top}) / ({low}) END, 5) AS v FROM u"""
 
 
-@query(_weights_sql())
+FINE_POINTS = "SELECT *, CASE WHEN iglo % 50 > 0 THEN plon - 7.2 ELSE plon + 7.2 END AS qlon FROM (SELECT iglo, 2.3 + 7.2 * (iglo % 50) AS plon, 80.1 + (-6.7) * (iglo // 50) AS plat FROM (SELECT unnest(range(0, 1250)) AS iglo))"
+
+
+def _gauss_points() -> str:
+    off, rows = 0, []
+    for lat, n in zip(GAUSS.y, GAUSS.nx):
+        rows.append(f"({off}, {lat!r}::DOUBLE, {n}, {360.0 / n!r}::DOUBLE)")
+        off += n
+    return f"SELECT off + i AS iglo, i * dx AS plon, lat AS plat, CASE WHEN i > 0 THEN (i - 1) * dx ELSE (i + 1) * dx END AS qlon FROM (SELECT *, unnest(range(0, nx)) AS i FROM (VALUES {', '.join(rows)}) AS r(off, lat, nx, dx))"
+
+
+@query(_weights_sql(FINE_POINTS))
 def st_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-CORNER, ST-WGT, ST-APPLY: 4-point values with gaps in the source."""
     m = mapping.mapping4(FINE.points(spark), TARGET, mapping.resolution(FINE, F.col("j"), F.col("i")))
     return regrid.interpolate4(m, field(spark, sf_dir), ["v"]).select("iglo2", F.round("v", 5).alias("v"))
 
 
-@query("WITH t AS (SELECT iglo, radians(15.0 + 10.0 * (iglo % 36) - 15.0) AS a FROM (SELECT unnest(range(0, 648)) AS iglo)) SELECT iglo, round(1.0 * iglo, 6) AS u, round(2.0 + iglo, 6) AS v FROM t")
+_TURN = "CASE WHEN lon - {0} > 180 THEN lon - {0} - 360 ELSE lon - {0} END * radians(1.0) * sin(radians(46.2))"
+
+
+@query(f"""WITH t AS (SELECT iglo, 5.0 + 10.0 * (iglo % 36) AS lon, 1.0 * iglo AS u, 2.0 + iglo AS v FROM (SELECT unnest(range(0, {TX * TY})) AS iglo)), g AS (SELECT iglo, u, v, {_TURN.format(2.0)} AS a, {_TURN.format(30.0)} AS b FROM t),
+  e AS (SELECT *, u * cos(a) + v * sin(a) AS east, v * cos(a) - u * sin(a) AS north FROM g) SELECT iglo, round(east, 6) AS east, round(north, 6) AS north, round(east * cos(b) - north * sin(b), 6) AS u, round(east * sin(b) + north * cos(b), 6) AS v FROM e""")
 def st_rot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST-ROT: from one Lambert grid's axes to another's and back again."""
+    """ST-ROT: from one Lambert grid's axes to east and north, and to another's axes."""
     a, b = (grids.lambert(8, 8, 5e4, 5e4, 8, 8, 46.2, 46.2, 46.2, lon) for lon in (2.0, 30.0))
-    p = TARGET.points(spark).withColumns({"u": 1.0 * F.col("iglo"), "v": 2.0 + F.col("iglo")})
-    back = stencil.rotate(stencil.rotate(p, [("u", "v")], a, b), [("u", "v")], b, a)
-    return back.select("iglo", F.round("u", 6).alias("u"), F.round("v", 6).alias("v"))
+    p = TARGET.points(spark).withColumns({"u": 1.0 * F.col("iglo"), "v": 2.0 + F.col("iglo"), "east": 1.0 * F.col("iglo"), "north": 2.0 + F.col("iglo")})
+    out = stencil.rotate(stencil.rotate(p, [("east", "north")], a), [("u", "v")], a, b)
+    return out.select("iglo", *[r6(c).alias(c) for c in ("east", "north", "u", "v")])
 
 
-@query(f"WITH {SRC}, {CELL} SELECT iglo1, row_number() OVER (ORDER BY iglo2, iglo1) AS place FROM cell WHERE iglo2 < 40")
+@query(f"WITH {SRC}, {CELL} SELECT iglo1, row_number() OVER (ORDER BY iglo2, iglo1) AS place FROM cell")
 def so_reord(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SO-REORD, SO-KEYS, SO-OMP: places in the order of target and source; sorted within each target, offset by the targets before."""
     from pyspark.sql import Window
 
-    c = cells(spark, sf_dir).where("iglo2 < 40")
+    c = cells(spark, sf_dir)
     own = F.row_number().over(Window.partitionBy("iglo2").orderBy("iglo1"))
     return c.withColumn("_n", own).join(regrid.counts(c).drop("cnt"), "iglo2").select("iglo1", (F.col("off") + F.col("_n")).alias("place"))
 
@@ -319,19 +343,19 @@ def so_reord(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {ARMS}, g AS (SELECT iglo, x, y, v, ({_slope('ve', 'vw', 'x + 10.0', 'x - 10.0', 'x', 'bx')}) / {geo.EARTH_RADIUS} AS gx, ({_slope('vn', 'vs', 'yn', 'ys', 'y', 'by_')}) / {geo.EARTH_RADIUS} AS gy FROM arms),"
        " c AS (SELECT CAST(greatest(0, least(8, floor((y - 80.0) / -20.0 + 0.5))) * 18 + floor((x - 10.0) / 20.0 + 0.5) % 18 AS BIGINT) AS iglo2, avg(gx * gx) AS xx, avg(gy * gy) AS yy, avg(gx * gy) AS xy, avg(v * v) AS sq, avg(v) AS av"
        " FROM (SELECT *, x + 0.000001 AS x_ FROM g) GROUP BY 1), k AS (SELECT *, 0.5 * (xx + yy) AS k, 0.5 * (xx - yy) AS l, sqrt(0.25 * (xx - yy) * (xx - yy) + xy * xy) AS r FROM c)"
-       " SELECT iglo2, CASE WHEN av IS NOT NULL THEN round(sqrt(k + r), 9) END AS slope, CASE WHEN av IS NOT NULL THEN round(CASE WHEN k + r > 0 THEN sqrt(greatest(k - r, 0.0) / (k + r)) ELSE 1.0 END, 5) END AS anis, CASE WHEN av IS NOT NULL THEN round(sqrt(greatest(sq - av * av, 0.0)), 3) END AS stdev FROM k")
+       " SELECT iglo2, CASE WHEN av IS NOT NULL THEN round(atan2(xy, l) * 90 / pi(), 4) END AS dir, CASE WHEN av IS NOT NULL THEN round(sqrt(k + r), 9) END AS slope, CASE WHEN av IS NOT NULL THEN round(CASE WHEN k + r > 0 THEN sqrt(greatest(k - r, 0.0) / (k + r)) ELSE 1.0 END, 5) END AS anis, CASE WHEN av IS NOT NULL THEN round(sqrt(greatest(sq - av * av, 0.0)), 3) END AS stdev FROM k")
 def prj_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ-PROD, PRJ-TENSOR: subgrid relief of 20-degree cells."""
     out = physio.terrain_tensor(field(spark, sf_dir).withColumnRenamed("v", "zs"), TARGET, grids.shifted_lonlat(18, 9))
-    return out.select("iglo2", F.round("slope", 9).alias("slope"), F.round("anis", 5).alias("anis"), F.round("stdev", 3).alias("stdev"))
+    return out.select("iglo2", F.round("dir", 4).alias("dir"), F.round("slope", 9).alias("slope"), F.round("anis", 5).alias("anis"), F.round("stdev", 3).alias("stdev"))
 
 
-@query(f"WITH {SRC}, t AS (SELECT iglo1, CASE WHEN cover = 1 THEN NULL ELSE zs END AS zs, cover FROM src) SELECT iglo1, zs AS masked, coalesce(zs, 0.0) AS zero, coalesce(zs, CAST(cover AS DOUBLE)) AS mixed, zs - cover AS diff, round(CASE WHEN zs IS NOT NULL THEN greatest(0.0, (zs - 40000) / 10) END, 6) AS rise, CASE WHEN zs > 40000 THEN (zs - 40000) * 0.5 END AS half, zs + 10.0 AS envelope FROM t")
+@query(f"WITH {SRC}, t AS (SELECT iglo1, CASE WHEN cover = 1 THEN NULL ELSE zs END AS zs, cover FROM src) SELECT iglo1, zs AS masked, coalesce(zs, 0.0) AS zero, coalesce(zs, CAST(cover AS DOUBLE)) AS mixed, zs - cover AS diff, round(CASE WHEN zs IS NOT NULL THEN greatest(0.0, (zs - 40000) / 10) END, 6) AS rise, CASE WHEN zs > 40000 THEN (zs - 40000) * 0.5 END AS half, CASE WHEN zs < 40000 THEN (40000 - zs) * 0.5 END AS half_fall, zs + 10.0 AS envelope FROM t")
 def prj_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ-MASKSET, PRJ-NVL0, PRJ-COALESCE, PRJ-DIFF, PRJ-CLAMPPOS, PRJ-HALFHT, PRJ-ENVELOPE."""
     z = F.col("zs")
     p = source_points(spark, sf_dir).withColumn("zs", fx.masked(z, F.col("cover") == 1))
-    return p.select("iglo1", z.alias("masked"), fx.or_zero(z).alias("zero"), fx.mixed(z, F.col("cover").cast("double")).alias("mixed"), fx.difference(z, F.col("cover")).alias("diff"), r6(fx.positive_slope(z - 40000, F.lit(10))).alias("rise"), fx.half_height(z - 40000).alias("half"), fx.envelope(z, F.lit(10.0)).alias("envelope"))
+    return p.select("iglo1", z.alias("masked"), fx.or_zero(z).alias("zero"), fx.mixed(z, F.col("cover").cast("double")).alias("mixed"), fx.difference(z, F.col("cover")).alias("diff"), r6(fx.positive_slope(z - 40000, F.lit(10))).alias("rise"), fx.half_height(z - 40000).alias("half"), fx.half_height(z - 40000, falls=True).alias("half_fall"), fx.envelope(z, F.lit(10.0)).alias("envelope"))
 
 
 @query(f"WITH {SRC} SELECT iglo1, CASE WHEN clay > 0.05 THEN -300.0 END AS bathy, CASE WHEN sand > 0.02 THEN 0.5 END AS runoff, CASE WHEN sand > 0.02 THEN 0.0 END AS wdrain, CASE WHEN clay * 10 > 0.5 OR sand * 10 > 0.5 THEN 0.0 ELSE 1.0 END AS land FROM src")
@@ -351,31 +375,82 @@ def prj_z0rel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_points(spark, sf_dir).select("iglo1", F.round(z, 9).alias("z0"))
 
 
-@query(f"""WITH {SRC}, t AS (SELECT iglo1, greatest(3.0, least(100.0, sand * 1200)) AS s, greatest(3.0, least(100.0, clay * 900)) AS c, CASE WHEN greatest(0.0, least(1.0, clay * 8)) < 0.02 THEN 0.0 ELSE greatest(0.0, least(1.0, clay * 8)) END AS v, zs, cover FROM src)
-  SELECT iglo1, CASE WHEN cover % 2 = 1 THEN round(s / greatest(1.0, (s + c) / 100), 6) END AS sand, CASE WHEN cover % 2 = 1 THEN round(c / greatest(1.0, (s + c) / 100), 6) END AS clay, round(v * CASE WHEN zs IS NOT NULL THEN least(zs, 30000.0) END + (1 - v) * 30000.0, 5) AS depth, round(v, 9) AS veg FROM t""")
+def _both(a: str, b: str) -> str:
+    return f"CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN least({a}, {b}) END"
+
+
+def _within(x: str, low: float, high: float) -> str:
+    return f"CASE WHEN {x} IS NOT NULL THEN greatest({low!r}, least({high!r}, {x})) END"
+
+
+def _by_class(water: str, ice: str, else_: str) -> str:
+    return f"CASE WHEN kind IN (1, 5) THEN {water} WHEN kind = 2 THEN {ice} ELSE {else_} END"
+
+
+_DEEP = _both("depth_max_", "depth_")
+SOIL = f"""t AS (SELECT iglo1, cover % 5 + 1 AS kind, sand * 1200 AS sand0, clay * 900 AS clay0, sand * 12 AS albedo0, 0.85 + clay * 2 AS emis0, zs / 8000 AS deepest0, zs / 9000 AS dpr, clay * 8 AS vgx, sand * 10 AS land, sand * 9 AS urban0 FROM src),
+  v AS (SELECT *, CASE WHEN {_within('vgx', 0.0, 1.0)} < 0.02 THEN 0.0 ELSE {_within('vgx', 0.0, 1.0)} END AS veg FROM t),
+  d AS (SELECT *, veg * {_both('dpr', 'deepest0')} + (1 - veg) * deepest0 AS depth_, {_within('clay0', 3.0, 58.0)} AS c, {_within('sand0', 6.0, 92.0)} AS s, {_within('deepest0', 0.1, 8.0)} AS depth_max_, veg * land AS veg_max_ FROM v)"""
+
+
+@query(f"""WITH {SRC}, {SOIL} SELECT iglo1, round(depth_, 6) AS depth_before, round(veg, 9) AS veg, round({_by_class('0.07', '0.75', _within('albedo0', 0.05, 0.8))}, 9) AS albedo, round({_by_class('0.96', '0.98', _within('emis0', 0.9, 1.0))}, 9) AS emis,
+  round({_by_class('8.0', '0.1', 'depth_max_')}, 6) AS depth_max, round({_by_class('3.0', '3.0', 'c / (greatest(100.0, c + s) / 100)')}, 6) AS clay, round({_by_class('6.0', '6.0', 's / (greatest(100.0, c + s) / 100)')}, 6) AS sand, round({_by_class('0.0', '0.0', 'veg_max_')}, 9) AS veg_max,
+  round({_by_class('8.0', '0.1', f'CASE WHEN {_DEEP} IS NOT NULL THEN greatest(0.1, {_DEEP}) END')}, 6) AS depth, round({_by_class('0.0', '0.0', _both('1 - veg_max_', 'urban0'))}, 9) AS urban FROM d""")
 def prj_soil(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ-SOILFIX, PRJ-SOILDEPTH."""
-    s, c = fx.soil_shares(F.col("sand") * 1200, F.col("clay") * 900, (F.col("cover") % 2).cast("double"))
-    depth, veg = fx.soil_depth(F.col("clay") * 8, F.col("zs"), F.lit(30000.0))
-    return source_points(spark, sf_dir).select("iglo1", r6(s).alias("sand"), r6(c).alias("clay"), F.round(depth, 5).alias("depth"), F.round(veg, 9).alias("veg"))
+    """PRJ-SOILFIX, PRJ-SOILDEPTH, with every column."""
+    p = source_points(spark, sf_dir)
+    sand, clay, zs = F.col("sand"), F.col("clay"), F.col("zs")
+    before, veg = fx.soil_depth(clay * 8, zs / 9000, zs / 8000)
+    soil = {"sand": sand * 1200, "clay": clay * 900, "albedo": sand * 12, "emis": 0.85 + clay * 2, "depth_max": zs / 8000, "depth": before, "veg_max": veg, "urban": sand * 9}
+    out = fx.soil_final(F.col("cover") % 5 + 1, sand * 10, soil)
+    return p.select("iglo1", r6(before).alias("depth_before"), F.round(veg, 9).alias("veg"), *[(r6(c) if n in ("depth_max", "clay", "sand", "depth") else F.round(c, 9)).alias(n) for n, c in out.items()])
+
 
+VEG = """t AS (SELECT iglo1, cover % 5 + 1 AS kind, CASE WHEN cover % 11 = 0 THEN NULL ELSE clay END AS z0v, CASE WHEN cover % 7 = 0 THEN NULL ELSE cover / 50.0 END AS lai0, zs / 1000 AS rsm0, sand * 14 AS share, sand * 8 AS green0, 0.3 + clay * 6 AS land, clay * 3 AS urban, clay * 20 AS z00, sand * 9 AS alb0, clay * 7 AS alv, 0.02 AS z0m, 0.07 AS albm FROM src),
+  b AS (SELECT *, CASE WHEN share < 0.02 OR z0v < 1e-10 OR z0v IS NULL THEN NULL ELSE ln(nullif(z0v, 0)) END AS log_z0, CASE WHEN share < 0.02 OR lai0 IS NULL OR rsm0 < 1e-10 THEN NULL ELSE lai0 END AS lai, CASE WHEN share < 0.02 OR lai0 IS NULL OR rsm0 < 1e-10 THEN NULL ELSE coalesce(lai0 / rsm0, 0.0) END AS ratio FROM t),
+  c AS (SELECT *, greatest(0.0, least(1.0, share)) AS vi, kind = 2 OR share < 0.02 AS bare FROM b),
+  w AS (SELECT *, CASE WHEN bare THEN 0.0 ELSE least(green0, vi * land) END AS zv, CASE WHEN bare THEN 0.001 ELSE exp(coalesce(log_z0, -100.0)) END AS rough, CASE WHEN bare THEN 0.05 ELSE greatest(0.05, least(0.8, alv)) END AS za, CASE WHEN bare THEN 0.0 ELSE coalesce(lai, 0.0) END AS zl,
+    CASE WHEN bare THEN 5000.0 ELSE greatest(1.0, least(5000.0, coalesce(coalesce(lai, 0.0) / greatest(ratio, 1e-10), 0.0))) END AS zr FROM c),
+  z AS (SELECT *, 9.80665 * (zv * rough + urban * 2.5 + (1 - urban - zv) * 0.001) AS zz, kind IN (1, 5) AS water FROM w)"""
 
-@query(f"""WITH {SRC} SELECT iglo1, CASE WHEN clay > 0 THEN round(ln(clay), 9) END AS log_z0, CASE WHEN sand > 0 THEN round(cover * sand, 6) END AS lai, CASE WHEN sand > 0 AND zs <> 0 THEN round(cover * sand / zs, 12) END AS conductance,
-  CASE WHEN cover % 7 IN (0, 3) THEN 0.0 ELSE round(greatest(0.0, least(1.0, sand * 15)), 9) END AS veg, CASE WHEN sand > 0 AND cover % 7 NOT IN (0, 3) THEN round(cover / (sand * 15), 6) ELSE 0.0 END AS lai_after FROM src""")
+
+@query(f"""WITH {SRC}, {VEG} SELECT iglo1, round(log_z0, 9) AS log_z0, round(lai, 6) AS lai_before, round(ratio, 9) AS conductance, round(CASE WHEN water THEN 0.0 ELSE zv END, 9) AS veg, round(CASE WHEN water THEN z0m ELSE sqrt(z00 * z00 + zz * zz) END, 6) AS z0,
+  round(CASE WHEN water THEN albm ELSE greatest(0.05, least(0.8, (1 - zv) * alb0 + zv * za)) END, 9) AS albedo, round(CASE WHEN water THEN 0.0 ELSE zl END, 6) AS lai, round(CASE WHEN water THEN 5000.0 ELSE zr END, 6) AS rsmin, round(CASE WHEN water THEN z00 ELSE zz * 0.1 END, 6) AS z0_therm,
+  round(CASE WHEN water THEN 0.0 ELSE zz END, 6) AS z0_veg, round(CASE WHEN water THEN 0.05 ELSE za END, 9) AS albedo_veg FROM z""")
 def prj_veg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ-VEGPREP, PRJ-VEGPOST."""
-    a, b, c = fx.vegetation_before(F.col("clay"), F.col("cover").cast("double"), F.col("zs"), F.col("sand"))
-    after = fx.vegetation_after(F.col("clay"), F.col("cover").cast("double"), F.col("zs"), F.col("sand") * 15, F.col("cover") % 7, [0, 3])
-    return source_points(spark, sf_dir).select("iglo1", F.round(a, 9).alias("log_z0"), r6(b).alias("lai"), F.round(c, 12).alias("conductance"), F.round(after["veg"], 9).alias("veg"), r6(after["lai"]).alias("lai_after"))
+    """PRJ-VEGPREP, PRJ-VEGPOST, with every column."""
+    p = source_points(spark, sf_dir)
+    sand, clay, cover = F.col("sand"), F.col("clay"), F.col("cover")
+    a, b, c = fx.vegetation_before(F.when(cover % 11 != 0, clay), F.when(cover % 7 != 0, cover / 50.0), F.col("zs") / 1000, sand * 14)
+    base = {"veg": sand * 8, "land": 0.3 + clay * 6, "urban": clay * 3, "z0": clay * 20, "albedo": sand * 9}
+    after = fx.vegetation_after(a, clay * 7, b, c, sand * 14, cover % 5 + 1, base, {"z0": F.lit(0.02), "albedo": F.lit(0.07)})
+    digits = {"z0": 6, "lai": 6, "rsmin": 6, "z0_therm": 6, "z0_veg": 6}
+    nudged = lambda n, x: r6(x) if digits.get(n) == 6 else F.round(x, digits.get(n, 9))
+    return p.select("iglo1", F.round(a, 9).alias("log_z0"), r6(b).alias("lai_before"), F.round(c, 9).alias("conductance"), *[nudged(n, x).alias(n) for n, x in after.items()])
+
+
+def _pressure_sql(t: str) -> str:
+    water, ice = (f"exp({a!r} - {b!r} / ({t}) - {c!r} * ln({t}))" for a, b, c in (fx.OVER_WATER, fx.OVER_ICE))
+    return f"CASE WHEN {t} <= 273.16 THEN {ice} ELSE {water} END"
 
 
-@query(f"""WITH {SRC}, t AS (SELECT iglo1, 250.0 + clay * 500 AS t, 245.0 + clay * 500 AS td, zs, sand FROM src) SELECT iglo1, round(t + zs * 0.0065, 6) AS sea_level, round(t - zs * 0.0065, 6) AS surface, round(acos(1 - 2 * greatest(0.0, least(1.0, sand * 10))) / pi(), 9) AS wetness,
-  round(greatest(0.0, least(1.0, exp((td - 273.15) * 17.67 / (td - 29.65)) * 611.2 / (exp((t - 273.15) * 17.67 / (t - 29.65)) * 611.2))), 9) AS humidity, CASE WHEN t < 271.23 THEN 0.65 ELSE 0.07 END AS albedo, round(ln(greatest(0.01, least(0.08, sand)) / 0.01) / {math.log(0.08 / 0.01)!r}, 9) AS scaled FROM t""")
+CLIMATE = f"""t AS (SELECT iglo1, 250.0 + clay * 500 AS t, 240.0 + sand * 600 AS td, zs, clay, sand, cover % 5 + 1 AS kind FROM src), h AS (SELECT *, greatest(0.0, least(1.0, ({_pressure_sql('least(td, t)')}) / ({_pressure_sql('t')}))) AS hum FROM t),
+  w AS (SELECT *, acos(1 - 2 * hum) / pi() AS wet FROM h), x AS (SELECT *, greatest(0.0, least(1.0, sand / greatest(1e-10, clay))) AS x, greatest(0.0, least(1.0, 0.04 * wet * (273.16 - t))) AS y FROM w),
+  s AS (SELECT *, greatest(0.0, 10 * x / (1.0001 - x) + 1000 * (1 - cos(pi() * y)) / 2) AS snow FROM x)"""
+
+
+@query(f"""WITH {SRC}, {CLIMATE} SELECT iglo1, round(t + zs * 0.0065, 6) AS sea_level, round(t - zs * 0.0065, 6) AS surface, round(hum, 9) AS humidity, round(wet, 7) AS wetness, round(snow, 3) AS snow, round(CASE WHEN kind = 2 THEN 10000.0 ELSE least(1000.0, snow) END, 3) AS snow_limited,
+  CASE WHEN kind IN (1, 5) THEN CASE WHEN t <= 271.23 THEN 0.65 ELSE 0.07 END ELSE clay END AS albedo, CASE WHEN kind IN (1, 5) THEN CASE WHEN t <= 271.23 THEN 0.97 ELSE 0.96 END ELSE sand END AS emis, round(CASE WHEN kind IN (1, 5) THEN 0.001 * 9.80665 ELSE zs END, 6) AS z0,
+  round(ln(greatest(0.01, least(0.08, sand)) / 0.01) / {math.log(0.08 / 0.01)!r}, 9) AS scaled FROM s""")
 def prj_climate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ-TLAPSE, PRJ-SNOW/HUM, PRJ-WATERSFC, PRJ-LOGSCALE."""
-    t, td, zs = F.col("t"), F.col("t") - 5, F.col("zs")
-    p = source_points(spark, sf_dir).withColumn("t", 250.0 + F.col("clay") * 500)
-    return p.select("iglo1", r6(fx.lapse_corrected(t, zs, 0.0065)).alias("sea_level"), r6(fx.lapse_corrected(t, zs, 0.0065, False)).alias("surface"), F.round(fx.soil_wetness(F.col("sand") * 10), 9).alias("wetness"), F.round(fx.relative_humidity(t, td), 9).alias("humidity"), fx.water_surface(t)["albedo"].alias("albedo"), F.round(fx.log_scaled(F.col("sand"), 0.01, 0.08), 9).alias("scaled"))
+    """PRJ-TLAPSE, PRJ-SNOW/HUM, PRJ-WATERSFC, PRJ-LOGSCALE, with every column."""
+    p = source_points(spark, sf_dir).withColumns({"t": 250.0 + F.col("clay") * 500, "td": 240.0 + F.col("sand") * 600, "kind": F.col("cover") % 5 + 1})
+    t, zs, kind = F.col("t"), F.col("zs"), F.col("kind")
+    humid = fx.relative_humidity(t, F.col("td"))
+    wet = fx.soil_wetness(humid)
+    snow = fx.snow_reserve(t, wet, F.col("sand"), F.col("clay"))
+    water = fx.water_surface(t, kind, {"albedo": F.col("clay"), "emis": F.col("sand"), "z0": zs})
+    return p.select("iglo1", r6(fx.lapse_corrected(t, zs, 0.0065)).alias("sea_level"), r6(fx.lapse_corrected(t, zs, 0.0065, False)).alias("surface"), F.round(humid, 9).alias("humidity"), F.round(wet, 7).alias("wetness"), F.round(snow, 3).alias("snow"), F.round(fx.snow_limited(snow, kind), 3).alias("snow_limited"), water["albedo"].alias("albedo"), water["emis"].alias("emis"), r6(water["z0"]).alias("z0"), F.round(fx.log_scaled(F.col("sand"), 0.01, 0.08), 9).alias("scaled"))
 
 
 _XYZ = "cos(radians(lat)) * cos(radians(lon)) AS px, cos(radians(lat)) * sin(radians(lon)) AS py, sin(radians(lat)) AS pz"
@@ -412,7 +487,7 @@ def pg_pgd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("iglo", *[F.round(c, 4).alias(c) for c in out.columns if c not in ("iglo", "j", "i")])
 
 
-@query()
+@query(_weights_sql(_gauss_points()).replace("SELECT iglo AS iglo2,", "SELECT iglo,"))
 def pg_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PG-INT onto a reduced Gaussian grid's region of rows."""
-    return pipelines.field_to_field(field(spark, sf_dir), TARGET, FINE, ["v"]).withColumn("v", F.round("v", 5))
+    """PG-INT onto a reduced Gaussian grid."""
+    return pipelines.field_to_field(field(spark, sf_dir), TARGET, GAUSS, ["v"]).withColumn("v", F.round("v", 5))

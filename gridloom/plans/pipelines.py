@@ -9,7 +9,7 @@ from ..functions import fields as fx
 from ..functions.geometry import elliptical_mountain
 from ..operators import covers, physio
 from ..operators.mapping import mapping4, resolution
-from ..operators.regrid import filled_with_mean, interpolate4, matching_masks, regrid
+from ..operators.regrid import filled_with_means, interpolate4, matching_masks, regrid
 from .grids import Grid
 
 
@@ -47,11 +47,8 @@ def initial_state(state: DataFrame, source: Grid, target: Grid, fields: list[str
     out = points.select("iglo").join(cells, "iglo", "left").join(four, "iglo", "left").join(target_fractions, "iglo", "left")
     out = out.withColumns({f: fx.mixed(F.col(f), F.col(f"{f}_4")) for f in fields})
     masks = {r["field"]: r["mask"] for r in matching_masks(state, fields, fractions).collect()}  # a row for each field
-    for f in fields:
-        mask = masks[f]
-        out = out.withColumn(f, F.when(F.col(mask) > 0, F.col(f)).otherwise(None)) if mask else out
-        out = filled_with_mean(out, f, mask)
-    return out.select("iglo", *fields)
+    out = out.withColumns({f: F.when(F.col(m) > 0, F.col(f)) for f, m in masks.items() if m})
+    return filled_with_means(out, masks).select("iglo", *fields)
 
 
 def field_to_field(source_field: DataFrame, source: Grid, target: Grid, fields: list[str]) -> DataFrame:
