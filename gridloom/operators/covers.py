@@ -45,16 +45,33 @@ def parameter_means(fractions: DataFrame, table: DataFrame, names: list[str], ke
     return joined.groupBy(key).agg(*[F.try_divide(F.sum(share * F.col(p)), F.sum(share)).alias(p) for p in names])
 
 
+#: Fixed value: the vegetation type of rock.
+ROCK = 2
+
+
 def resolved(table: DataFrame, garden: bool = True, water: bool = True, town: bool = True) -> DataFrame:
-    """PRJ-RESOL: shares of a class that are not to be resolved move: water to nature, town to nature as rock, gardens of towns to nature."""
-    nature, moved = F.col("nature"), {}
-    if garden and "garden" in table.columns:
-        share = F.col("town") * F.col("garden")
-        nature, moved["town"] = nature + share, F.col("town") * (1 - F.col("garden"))
+    """PRJ-RESOL: shares of a class that are not to be resolved move: water mixed with land to nature, town to nature as rock, gardens of towns to nature.
+
+    Where the table has types (an array of structs with type and share), a town adds its share to rock."""
+    nature, sealed, moved = F.col("nature"), F.col("town"), {}
+    has_garden = "garden" in table.columns
+    green = F.coalesce("garden", F.lit(0.0)) if has_garden else F.lit(0.0)
+    if has_garden and (garden or not town):
+        nature, sealed = nature + green * F.col("town"), F.col("town") * (1 - green)
+        moved |= {"town": sealed, "garden": F.lit(0.0)}
     if not water:
-        nature, moved["water"] = nature + F.col("water"), F.lit(0.0)
+        mixed = (F.col("water") > 0) & (F.col("water") < 1)
+        nature, moved["water"] = F.when(mixed, nature + F.col("water")).otherwise(nature), F.when(mixed, 0.0).otherwise(F.col("water"))
     if not town:
-        nature, moved["town"] = nature + moved.get("town", F.col("town")), F.lit(0.0)
+        if "types" in table.columns:
+            built = (F.col("town") > 0) | (green > 0)
+            whole = nature + sealed
+            known = F.coalesce("types", F.array().cast(table.schema["types"].dataType))
+            shared = F.transform(known, lambda x: x.withField("share", x["share"] * nature / whole + F.when(x["type"] == ROCK, sealed / whole).otherwise(0.0)))
+            fields = table.schema["types"].dataType.elementType
+            rock = F.struct(*[(F.lit(ROCK).cast(f.dataType) if f.name == "type" else sealed / whole if f.name == "share" else F.lit(None).cast(f.dataType)).alias(f.name) for f in fields])
+            moved["types"] = F.when(built, F.when(F.exists(known, lambda x: x["type"] == ROCK), shared).otherwise(F.concat(shared, F.array(rock)))).otherwise(F.col("types"))
+        nature, moved["town"] = nature + sealed, F.lit(0.0)
     return table.withColumns({**moved, "nature": nature})
 
 

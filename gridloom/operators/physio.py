@@ -10,7 +10,7 @@ from ..functions.geometry import EARTH_RADIUS
 from ..plans.grids import Grid
 from .mapping import cell_of, in_domain, mapping4, resolution
 from .regrid import interpolate4, regrid
-from .stencil import gradient, half_differences
+from .stencil import gradient, half_differences, rotate
 
 
 def to_cells(source: DataFrame, target: Grid) -> DataFrame:
@@ -18,9 +18,13 @@ def to_cells(source: DataFrame, target: Grid) -> DataFrame:
     return in_domain(cell_of(source.withColumnRenamed("iglo", "iglo1"), target))
 
 
-def terrain_tensor(source: DataFrame, grid: Grid, target: Grid, height: str = "zs") -> DataFrame:
-    """Subgrid relief of each target cell: iglo2, dir, slope, anis, stdev, avg, from slopes of the source's heights in metres per metre."""
+def terrain_tensor(source: DataFrame, grid: Grid, target: Grid, height: str = "zs", turned: bool = False) -> DataFrame:
+    """Subgrid relief of each target cell: iglo2, dir, slope, anis, stdev, avg, from slopes of the source's heights in metres per metre.
+
+    turned: slopes along the target's axes instead of the source's."""
     slopes = gradient(source, grid, [height])
+    if turned:
+        slopes = rotate(slopes, [(f"{height}_dx", f"{height}_dy")], grid, target)
     dx, dy, h = F.col(f"{height}_dx") / EARTH_RADIUS, F.col(f"{height}_dy") / EARTH_RADIUS, F.col(height)
     products = to_cells(slopes, target).select("iglo2", (dx * dx).alias("dxdx"), (dy * dy).alias("dydy"), (dx * dy).alias("dxdy"), (h * h).alias("square"), h.alias("avg"))
     means = regrid(products, dict.fromkeys(("dxdx", "dydy", "dxdy", "square", "avg"), "avg"))

@@ -60,10 +60,12 @@ def lists(mapped: DataFrame, fields: list[str], key: str = "iglo2", order: str =
     return mapped.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *fields))).alias("values"))
 
 
-def interpolate4(mapping: DataFrame, source: DataFrame, fields: list[str], undef: bool = True) -> DataFrame:
-    """ST-APPLY: weighted mean of each field over the corners; with undef, over those that have a value, null if their weights are 0."""
-    values = source.select(F.col("iglo").alias("iglo1"), *fields)
-    joined = mapping.join(values, "iglo1", "left")
+def interpolate4(mapping: DataFrame, source: DataFrame, fields: list[str], undef: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
+    """ST-APPLY: weighted mean of each field over the corners; with undef, over those that have a value, null if their weights are 0.
+
+    by: columns of the source, such as a month, for each of whose values there is a mean."""
+    values = source.select(F.col("iglo").alias("iglo1"), *by, *fields)
+    joined = mapping.join(values, "iglo1", "inner" if by else "left")
     out = []
     for f in fields:
         # A weight of 0 times a missing value counts as nothing.
@@ -74,7 +76,7 @@ def interpolate4(mapping: DataFrame, source: DataFrame, fields: list[str], undef
         else:
             gaps = F.count_if((F.col("w") != 0) & F.col(f).isNull())
             out.append(F.when(gaps == 0, top).alias(f))
-    return joined.groupBy("iglo2").agg(*out)
+    return joined.groupBy("iglo2", *by).agg(*out)
 
 
 def statistics(df: DataFrame, fields: list[str]) -> DataFrame:

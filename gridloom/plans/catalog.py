@@ -277,8 +277,8 @@ def st_half(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("iglo", *[r6(f"v_{n}").alias(f"v_{n}") for n in ("xp", "xm", "yp", "ym")], *[F.round(f"d{n}", 9).alias(f"d{n}") for n in ("xp", "xm", "yp", "ym")])
 
 
-def _weights_sql(pt: str) -> str:
-    """4-point values of the field at points (iglo, plon, plat, qlon); qlon: longitude of the point's neighbour on its row."""
+def mapping_sql(pt: str) -> str:
+    """CTE w4 (iglo2, iglo1, w): the 4-point mapping from the target grid's points to points (iglo, plon, plat, qlon); qlon: longitude of the point's neighbour on its row."""
     xyz = lambda p: f"cos(radians({p}lat)) * cos(radians({p}lon)) AS {p}x, cos(radians({p}lat)) * sin(radians({p}lon)) AS {p}y, sin(radians({p}lat)) AS {p}z"
     ang = lambda a, b: f"acos(greatest(-1.0, least(1.0, {a}x * {b}x + {a}y * {b}y + {a}z * {b}z)))"
     c = ("c0", "c1", "c2", "c3")
@@ -289,20 +289,25 @@ def _weights_sql(pt: str) -> str:
     after = [f"(d{k} + d{mapping.NEXT[k]} - e{k})" for k in range(4)]
     near = " ".join(f"WHEN {after[k]} < r / 1000 THEN [{', '.join(f'1.0 - d{k} / e{k}' if m == k else f'd{k} / e{k}' if m == mapping.NEXT[k] else '0.0' for m in range(4))}]" for k in range(4))
     plain = ", ".join(f"1.0 / greatest(1e-30, {after[k]} * {after[mapping.PREV[k]]})" for k in range(4))
-    values = ", ".join(f"f{k}.v AS v{k}" for k in range(4))
-    joins = " ".join(f"JOIN field f{k} ON f{k}.iglo = t.c{k}" for k in range(4))
     res = "acos(greatest(-1.0, least(1.0, cos(radians(plat)) * cos(radians(plon)) * cos(radians(plat)) * cos(radians(qlon)) + cos(radians(plat)) * sin(radians(plon)) * cos(radians(plat)) * sin(radians(qlon)) + sin(radians(plat)) * sin(radians(plat)))))"
-    top = " + ".join(f"CASE WHEN v{k} IS NULL OR w[{k + 1}] = 0 THEN 0 ELSE w[{k + 1}] * v{k} END" for k in range(4))
-    low = " + ".join(f"CASE WHEN v{k} IS NULL THEN 0 ELSE w[{k + 1}] END" for k in range(4))
-    return f"""WITH {SRC}, {CELL}, {FIELD}, p AS ({pt}), q AS (SELECT *, CAST(floor((plat - 85.0) / -10.0) AS BIGINT) AS jn, CAST(((floor((plon - 5.0) / 10.0) + {TX}) % {TX}) AS BIGINT) AS iw FROM p),
-  g AS (SELECT *, {keys}, {res} AS r FROM q), h AS (SELECT *, {xyz('p')}, {', '.join(xyz(x) for x in c)} FROM g), t AS (SELECT *, {dist} FROM h),
-  u AS (SELECT t.iglo, {values}, CASE {near} ELSE [{plain}] END AS w FROM t {joins}) SELECT iglo AS iglo2, round(CASE WHEN ({low}) > 0 THEN ({top}) / ({low}) END, 5) AS v FROM u"""
+    return f"""p4 AS ({pt}), q4 AS (SELECT *, CAST(floor((plat - 85.0) / -10.0) AS BIGINT) AS jn, CAST(((floor((plon - 5.0) / 10.0) + {TX}) % {TX}) AS BIGINT) AS iw FROM p4),
+  g4 AS (SELECT *, {keys}, {res} AS r FROM q4), h4 AS (SELECT *, {xyz('p')}, {', '.join(xyz(x) for x in c)} FROM g4), t4 AS (SELECT *, {dist} FROM h4),
+  u4 AS (SELECT iglo, [c0, c1, c2, c3] AS corners, CASE {near} ELSE [{plain}] END AS ws FROM t4), w4 AS (SELECT iglo AS iglo2, unnest(corners) AS iglo1, unnest(list_transform(ws, lambda x: x / list_sum(ws))) AS w FROM u4)"""
+
+
+def mean4_sql(field: str) -> str:
+    """The weighted mean of a field over the corners that have it."""
+    return f"CASE WHEN sum(CASE WHEN {field} IS NOT NULL THEN w END) > 0 THEN sum(CASE WHEN w <> 0 THEN w * {field} END) / sum(CASE WHEN {field} IS NOT NULL THEN w END) END"
+
+
+def _weights_sql(pt: str) -> str:
+    return f"WITH {SRC}, {CELL}, {FIELD}, {mapping_sql(pt)} SELECT iglo2, round({mean4_sql('v')}, 5) AS v FROM w4 JOIN field ON field.iglo = w4.iglo1 GROUP BY iglo2"
 
 
 FINE_POINTS = "SELECT *, CASE WHEN iglo % 50 > 0 THEN plon - 7.2 ELSE plon + 7.2 END AS qlon FROM (SELECT iglo, 2.3 + 7.2 * (iglo % 50) AS plon, 80.1 + (-6.7) * (iglo // 50) AS plat FROM (SELECT unnest(range(0, 1250)) AS iglo))"
 
 
-def _gauss_points() -> str:
+def gauss_points() -> str:
     off, rows = 0, []
     for lat, n in zip(GAUSS.y, GAUSS.nx):
         rows.append(f"({off}, {lat!r}::DOUBLE, {n}, {360.0 / n!r}::DOUBLE)")
@@ -487,7 +492,7 @@ def pg_pgd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("iglo", *[F.round(c, 4).alias(c) for c in out.columns if c not in ("iglo", "j", "i")])
 
 
-@query(_weights_sql(_gauss_points()).replace("SELECT iglo AS iglo2,", "SELECT iglo,"))
+@query(_weights_sql(gauss_points()).replace("SELECT iglo2, round", "SELECT iglo2 AS iglo, round"))
 def pg_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PG-INT onto a reduced Gaussian grid."""
     return pipelines.field_to_field(field(spark, sf_dir), TARGET, GAUSS, ["v"]).withColumn("v", F.round("v", 5))

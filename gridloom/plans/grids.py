@@ -92,6 +92,12 @@ class Grid:
     def lonlat(self, x: Column, y: Column) -> tuple[Column, Column]:
         return (x, y) if self.map is None else self.map.inverse(x, y)
 
+    def box(self, spark: SparkSession) -> tuple[float, float, float, float] | None:
+        """SRC-BBOX: west, east, south and north of a regional grid's points; None for a global one, which needs all of a source."""
+        if self.is_global:
+            return None
+        return tuple(self.points(spark).agg(F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).first())
+
     def like(self, other: Grid) -> bool:
         """PRED-GEOM: same rows and sizes, and first, middle and last points within 1e-5 of the extent of a row."""
         if (self.ny, self.nx, self.projection) != (other.ny, other.nx, other.projection):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from ..functions import fields as fx
 from ..functions.geometry import elliptical_mountain
 from ..operators import covers, physio
 from ..operators.mapping import mapping4, resolution
-from ..operators.regrid import filled_with_means, interpolate4, matching_masks, regrid
+from ..operators.regrid import OPTIONS, filled_with_means, interpolate4, matching_masks, regrid
 from .grids import Grid
 
 
@@ -78,16 +81,49 @@ def lagged_cycle(monthly: DataFrame, field: str, share: float = 0.5, key: str =
     return monthly.withColumn(f"{field}_lagged", share * F.col(field) + (1 - share) * last)
 
 
+def name_key(name: str) -> tuple[str, str, int]:
+    """SO-FLD: prefix, suffix and level of a field name: a letter and digits are a level type and its number, else the prefix is four letters without level."""
+    if m := re.match(r"([SHP])(\d{3,5})(.+)", name):
+        return m[1], m[3].strip(), int(m[2])
+    return name[:4], name[4:].strip(), 0
+
+
 def recoded(df: DataFrame, include: list[str] | None = None, skip: list[str] | None = None, mask: Column | None = None, digits: int | None = None, prefix: str = "") -> DataFrame:
-    """TL-CONV: fields chosen by name (FLT-NAME), sorted (SO-FLD), masked, rounded and renamed (PRJ-RENAME)."""
-    names = sorted(c for c in df.columns if c != "iglo" and (include is None or c in include) and c not in (skip or ()))
+    """TL-CONV: fields chosen by name (FLT-NAME), sorted by prefix, suffix and level (SO-FLD), masked, rounded and renamed (PRJ-RENAME)."""
+    names = sorted((c for c in df.columns if c != "iglo" and (include is None or c in include) and c not in (skip or ())), key=name_key)
     out = []
     for c in names:
-        v = F.when(mask, F.col(c)) if mask is not None else F.col(c)
+        v = F.when(mask, F.col(f"`{c}`")) if mask is not None else F.col(f"`{c}`")
         out.append((F.round(v, digits) if digits is not None else v).alias(prefix + c))
     return df.select("iglo", *out)
 
 
+def point_cells(source: DataFrame, points: DataFrame, dx: float, dy: float, fields: dict[str, str]) -> DataFrame:
+    """PG-PTS: point and the aggregates of the source points in a box of dx by dy degrees around each point, for any number of points.
+
+    A box touches at most two buckets of its own size in x and y, so the search is an equi-join on buckets. points: point, lon, lat."""
+    width = 360 / max(1, math.floor(360 / dx))  # a whole number of buckets around the globe
+    bucket = lambda lon, lat: (F.floor(F.pmod(lon, F.lit(360.0)) / width).alias("bx"), F.floor((lat + 90) / dy).alias("by"))
+    around = points.select("point", F.col("lon").alias("lon0"), F.col("lat").alias("lat0"))
+    for axis, half in (("lon0", dx / 2), ("lat0", dy / 2)):
+        around = around.withColumn(f"_{axis}", F.explode(F.array(F.col(axis) - half, F.col(axis) + half)))
+    asked = around.select("point", "lon0", "lat0", *bucket(F.col("_lon0"), F.col("_lat0"))).distinct()
+    own = source.select("lon", "lat", *fields, *bucket(F.col("lon"), F.col("lat")))
+    away = F.pmod(F.col("lon") - F.col("lon0") + dx / 2, F.lit(360.0))
+    inside = (away >= 0) & (away < dx) & (F.col("lat") > F.col("lat0") - dy / 2) & (F.col("lat") <= F.col("lat0") + dy / 2)
+    met = own.join(asked, ["bx", "by"]).where(inside)
+    return met.groupBy("point").agg(*[OPTIONS[o](F.col(f)).alias(f) for f, o in fields.items()], F.count("*").alias("n"))
+
+
+def same_geometry(grids: dict[str, Grid]) -> Grid:
+    """PRED-GEOM: the one grid of several sources; an error that names those that differ from the first."""
+    names = list(grids)
+    off = [n for n in names[1:] if not grids[names[0]].like(grids[n])]
+    if off:
+        raise ValueError(f"geometry mismatch: {', '.join(off)} against {names[0]}")
+    return grids[names[0]]
+
+
 def single_points(points: DataFrame, source: DataFrame, target_of, each) -> DataFrame:
     """PG-PTS: independent small grids around points, one element of each kept, as one table.
 

@@ -175,7 +175,9 @@ def soil_and_vegetation(spark: SparkSession, path: str, nodata: float = -9999.0)
             for name, data in zip(batch["field"], batch["content"]):
                 v = np.frombuffer(next(_records(data)), ">f8").astype(float)
                 nx, at = int(round(np.sqrt(2 * len(v)))), np.arange(len(v))
-                yield pd.DataFrame({"field": name, "j": at // nx, "i": at % nx, "value": pd.Series(v.astype(object)).where(v != nodata, None)})
+                value = pd.Series(pd.array(np.where(v == nodata, 0.0, v), "Float64"))
+                value[v == nodata] = pd.NA
+                yield pd.DataFrame({"field": name, "j": at // nx, "i": at % nx, "value": value})
 
     files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("field"), "content")
     return files.mapInPandas(decode, "field string, j int, i int, value double")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +26,34 @@ def write_months(df: DataFrame, path: str, month: str = "month") -> None:
     df.write.mode("overwrite").partitionBy(month).parquet(path)
 
 
+def write_month_fields(df: DataFrame, path: str, fields: list[str], month: str = "month", key: str = "iglo") -> None:
+    """SNK-MONTH in long form: a folder for each month and field; fields that a month has no value of are not there."""
+    each = F.explode(F.filter(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("value")) for f in fields]), lambda x: x["value"].isNotNull()))
+    df.select(month, key, each.alias("x")).select(month, key, "x.*").write.mode("overwrite").partitionBy(month, "field").parquet(path)
+
+
+def write_record(df: DataFrame, path: str, field: str, nodata: float = -9999.0, key: str = "iglo") -> DataFrame:
+    """SNK-SOILVEG: one sequential record of big-endian doubles in the order of the key, missing values as the sentinel; path and n_values.
+
+    The format is one record in one file, so one task writes it, a batch at a time."""
+    count = df.count()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, place = fs.FileSystem.from_uri(path if ":" in path else "file://" + path)
+        mark = np.array([8 * count], ">i4").tobytes()
+        with system.open_output_stream(place, compression=None) as out:
+            out.write(mark)
+            for batch in batches:
+                out.write(batch["value"].fillna(nodata).to_numpy(float).astype(">f8").tobytes())
+            out.write(mark)
+        yield pd.DataFrame({"path": [path], "n_values": [count]})
+
+    one = df.select(key, F.col(field).cast("double").alias("value")).repartition(1).sortWithinPartitions(key)
+    return one.mapInPandas(run, "path string, n_values long")
+
+
 def with_sentinel(df: DataFrame, fields: list[str], undef: float) -> DataFrame:
     """Nulls as the sentinel of a format that has no other way."""
     return df.fillna(undef, fields)
