@@ -45,12 +45,15 @@ def write_record(df: DataFrame, path: str, field: str, nodata: float = -9999.0,
         mark = np.array([8 * count], ">i4").tobytes()
         with system.open_output_stream(place, compression=None) as out:
             out.write(mark)
-            for batch in batches:
+            for batch in batches if count else ():
                 out.write(batch["value"].fillna(nodata).to_numpy(float).astype(">f8").tobytes())
             out.write(mark)
         yield pd.DataFrame({"path": [path], "n_values": [count]})
 
-    one = df.select(key, F.col(field).cast("double").alias("value")).repartition(1).sortWithinPartitions(key)
+    rows = df.select(F.col(key).cast("long").alias(key), F.col(field).cast("double").alias("value"))
+    if not count:  # a task runs only where there is a row
+        rows = df.sparkSession.range(1).select(F.col("id").alias(key), F.lit(None).cast("double").alias("value"))
+    one = rows.repartition(1).sortWithinPartitions(key)
     return one.mapInPandas(run, "path string, n_values long")
 
 
