@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker turns into NumPy arrays at a time.
 SLICE_BYTES = 2 << 20
+#: While a table is written: bytes in an Arrow batch, which stand in memory on both sides of a Python worker.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,7 +32,12 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut, lost executors cost nothing that was written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(BATCH, None)
+    spark.conf.set(BATCH, BATCH_BYTES)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(BATCH) if before is None else spark.conf.set(BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,6 +59,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def given_back() -> None:
+    """Returns freed memory to the system: idle Python workers stay, and so would what they once held."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds about `most` bytes of text, or a single longer row."""
     for batch in batches:
@@ -62,6 +78,7 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    given_back()
 
 
 def only(df: DataFrame, **columns: str) -> DataFrame:

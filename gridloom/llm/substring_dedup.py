@@ -152,7 +152,7 @@ def clustered(docs: DataFrame, num: int = 80, den: int = 100, recall: float = RE
         texts = having(keyed(docs).select("key", "text"), chosen, "key").join(chosen, "key")
         return texts.mapInArrow(run, "node long, items binary").dropDuplicates(["node"])
 
-    labels = linked(members, sets, num, den)
+    labels = linked(members, sets, lambda found: [np.frombuffer(x, U) for x in found], num, den)
     places = met.select("nameless", "key", "start", "end", "at", "n_words", "node").distinct()
     own = written(places.join(labels, "node", "left").select("nameless", "key", "start", "end", "at", "n_words", F.coalesce("component", "node").alias("cluster")), "places")
     first = own.groupBy("cluster").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key")).where("first_key <> last_key")
