@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 SHINGLE, SHARE = 5, 0.8
-#: Rows of sketches or items that may be broadcast; a row has some tens of bytes.
-MOST_ROWS = 500_000
+#: Rows of sketches or items that may be broadcast, and bytes of text in them.
+MOST_ROWS, MOST_BYTES = 500_000, 32 << 20
 #: Documents named in a broadcast set of keys.
 MOST_KEYS = 2_000_000
 
@@ -88,9 +88,10 @@ def documents_of(docs: DataFrame) -> DataFrame:
     return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64(text)).alias("key"), text.alias("text"))
 
 
-def small(df: DataFrame, most: int) -> DataFrame:
-    """df, a written table, marked for broadcast if its count allows."""
-    return F.broadcast(df) if df.count() <= most else df
+def small(df: DataFrame, most: int, text: str | None = None) -> DataFrame:
+    """df, a written table, marked for broadcast if its count, and the bytes of its text column if it has one, allow."""
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)) if text else F.lit(0)).first()
+    return F.broadcast(df) if rows <= most and size <= MOST_BYTES else df
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, k: int = SHINGLE) -> DataFrame:
@@ -117,7 +118,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, k:
     parts = F.flatten(F.array(*[long_shingle_texts(F.col("words"), length) for length in lengths]))  # of other lengths: all different
     shown = chosen.select("doc_id", "key", F.xxhash64("text").alias("version"), words.alias("words")).select("doc_id", "key", "version", F.explode(parts).alias("shingle"))
     known = items.select("item", "item_id", "n", "shingle")
-    matched = shown.join(small(known, MOST_ROWS), "shingle").join(candidates, ["key", "item"], "left_semi")
+    matched = shown.join(small(known, MOST_ROWS, "shingle"), "shingle").join(candidates, ["key", "item"], "left_semi")
     counts = matched.groupBy("doc_id", "key", "version", "item", "item_id", "n").agg(F.count("*").alias("n_found"))
     contained = F.col("n_found") / F.col("n")
     return counts.where(contained >= share - 1e-12).select("doc_id", "key", "item_id", F.col("n").cast("long").alias("n_shingles"), "n_found", contained.alias("containment")).distinct()

@@ -31,6 +31,10 @@ from .decontaminate import MOST_KEYS, small
 MIN_CHARS = 60
 
 
+def body_hash(body: Column | str) -> Column:
+    return F.xxhash64(body)
+
+
 def rolled(hashes: Column) -> Column:
     """The rolling hash at each line: its hash and the rotated one before it, mixed."""
 
@@ -77,13 +81,13 @@ PLACE = ("key", "version", "first")
 def repeated(docs: DataFrame) -> DataFrame:
     """key, version, first and n_lines of every chunk that equals an earlier one; a written table."""
     own = with_lines(docs)
-    slim = written(chunks(own, "key", "version").select(*PLACE, "n_lines", F.xxhash64("body").alias("hash")), "chunks")
+    slim = written(chunks(own, "key", "version").select(*PLACE, "n_lines", body_hash("body").alias("hash")), "chunks")
     again = written(slim.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "again")
     held = written(slim.join(small(again, MOST_KEYS), "hash").distinct(), "candidates")
     first = written(held.groupBy("hash").agg(*[F.min(F.struct(*PLACE)).alias("x"), F.count("*").alias("n")]).where("n > 1").select("hash", "x.*"), "firsts")
     keys = written(held.select("key").distinct(), "keys")
     texts = own.join(small(keys, MOST_KEYS), "key", "left_semi")
-    bodies = chunks(texts, *PLACE[:2]).withColumn("hash", F.xxhash64("body"))
+    bodies = chunks(texts, *PLACE[:2]).withColumn("hash", body_hash("body"))
     named = small(first.select("hash"), MOST_KEYS)
     several = bodies.join(named, "hash", "left_semi").groupBy("hash", "body").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
     mixed = written(several.select("hash"), "mixed")

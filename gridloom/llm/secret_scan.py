@@ -112,7 +112,8 @@ def located(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES)
     own = addressed(docs).select("doc_id", "blob")
     current = F.create_map(*[x for r in rules for x in (F.lit(r.name), F.lit(r.version))])
     fresh = ledger.where((F.size("findings") > 0) & (F.col("version") == F.try_element_at(current, F.col("rule"))))
-    every = fresh.groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("findings"))
+    # A ledger to which a scan was appended twice holds its rows twice.
+    every = fresh.select("blob", "rule", "findings").distinct().groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("findings"))
     by_start = F.array_sort(F.transform("findings", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
     return own.join(every, "blob", "left").select("doc_id", F.coalesce(by_start, F.array().cast("array<struct<start:int,kind:int,end:int>>")).alias("findings"))
 

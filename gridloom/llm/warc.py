@@ -37,8 +37,8 @@ from .common import shared_dir, sliced, texts, written
 
 ARCHIVE_BYTES = 64 << 20
 READ_BYTES = 1 << 17
-#: A record that claims more than this is taken as damaged.
-MOST_RECORD = 1 << 30
+#: A record that claims more than this is taken as damaged: beyond the longest string that a row can hold.
+MOST_RECORD = (1 << 31) + (1 << 20)
 CONTROL = re.compile(r"[\x00-\x1f\x7f]")
 VERSION = b"WARC/1.1\r\n"
 MEMBER = b"\x1f\x8b\x08"
@@ -97,20 +97,20 @@ class Record:
     block: bytes
 
 
-def parsed(data: bytes | memoryview, final: bool) -> tuple[Record, int]:
-    """The plain record at the start of data and its length. final: no more data will come."""
-    data = bytes(data) if isinstance(data, memoryview) else data
+def parsed(data: bytes, at: int, final: bool) -> tuple[Record, int]:
+    """The plain record at a place of data and its length. final: no more data will come."""
 
     def short(what):
         return Damaged(what) if final else NeedsMore()
 
-    if not data.startswith(b"WARC/1."):
-        raise short("version line") if b"WARC/1.".startswith(data[:7]) else Damaged("version line")
-    head = data.find(b"\r\n\r\n", 0, MOST_RECORD)
+    start = bytes(data[at : at + 7])
+    if start != b"WARC/1.":
+        raise short("version line") if b"WARC/1.".startswith(start) else Damaged("version line")
+    head = data.find(b"\r\n\r\n", at)
     if head < 0:
-        raise Damaged("headers") if len(data) >= MOST_RECORD else short("headers")
+        raise Damaged("headers") if len(data) - at >= MOST_RECORD else short("headers")
     headers = {}
-    for line in data[:head].decode("utf-8", "replace").split("\r\n")[1:]:
+    for line in bytes(data[at:head]).decode("utf-8", "replace").split("\r\n")[1:]:
         key, colon, value = line.partition(":")
         if not colon:
             raise Damaged("headers")
@@ -123,65 +123,70 @@ def parsed(data: bytes | memoryview, final: bool) -> tuple[Record, int]:
         raise short("truncated")
     if data[end : end + 4] != b"\r\n\r\n":
         raise Damaged("record end")
-    block = data[head + 4 : end]
+    block = bytes(data[head + 4 : end])
     digest = headers.get("warc-block-digest", "")
     if digest.startswith("sha1:") and digest[5:] != sha1_base32(block):
         raise Damaged("block digest")
-    return Record(headers, block), end + 4
+    return Record(headers, block), end + 4 - at
 
 
-def unpacked(data: bytes, final: bool) -> tuple[Record, int]:
-    """The record in the gzip member at the start of data and the member's length."""
-    opener = zlib.decompressobj(31)
-    try:
-        plain = opener.decompress(data, MOST_RECORD)
-    except zlib.error as e:
-        raise Damaged(f"gzip: {str(e)[:60]}") from None
+def unpacked(data: bytes, at: int, final: bool) -> tuple[Record, int]:
+    """The record in the gzip member at a place of data and the member's length. Only the member itself is looked at."""
+    opener, plain, feed = zlib.decompressobj(31), bytearray(), at
+    while feed < len(data) and not opener.eof:
+        try:
+            plain += opener.decompress(data[feed : feed + READ_BYTES])
+        except zlib.error as e:
+            raise Damaged(f"gzip: {str(e)[:60]}") from None
+        if len(plain) > 2 * MOST_RECORD:
+            raise Damaged("length")
+        feed += READ_BYTES
     if not opener.eof:
         raise Damaged("truncated") if final else NeedsMore()
-    found, size = parsed(plain, True)
+    found, size = parsed(plain, 0, True)
     if size != len(plain):
         raise Damaged("member holds more than a record")
-    return found, len(data) - len(opener.unused_data)
+    return found, min(feed, len(data)) - len(opener.unused_data) - at
 
 
 def salvaged(read) -> Iterator[tuple[int, int, Record | None, str | None]]:
-    """offset, length and a record, or a gap's reason, over a whole file. read(n) gives the next bytes, none at the end."""
-    window, base, final = b"", 0, False
+    """offset, length and a record, or a gap's reason, over a whole file. read(n) gives the next bytes, none at the end.
+
+    The window is cut only where most of it is behind, so a false length that made it long costs no copy for each candidate."""
+    window, at, base, final = bytearray(), 0, 0, False  # base: the offset of the window's first byte
     gap, reason, want = None, None, READ_BYTES
     while True:
-        while len(window) < want and not final:
-            more = read(max(READ_BYTES, want - len(window)))
+        while len(window) - at < want and not final:
+            more = read(max(READ_BYTES, want - (len(window) - at)))
             final = not more
             window += more
-        if not window:
+        if at >= len(window):
             break
         try:
-            if window.startswith(MEMBER):
-                found, size = unpacked(window, final)
-            else:
-                found, size = parsed(window, final)
+            found, size = unpacked(window, at, final) if window[at : at + 3] == MEMBER else parsed(window, at, final)
         except NeedsMore:
-            want = 2 * len(window) if len(window) < 2 * MOST_RECORD else len(window)
-            if len(window) >= 2 * MOST_RECORD:
+            if len(window) - at >= 2 * MOST_RECORD:
                 raise
+            want = 2 * (len(window) - at)
             continue
         except Damaged as e:
             if gap is None:
-                gap, reason = base, str(e)
-            places = [p for p in (window.find(MEMBER, 1), window.find(b"WARC/1.", 1)) if p > 0]
-            step = min(places) if places else max(1, len(window) - 6)
-            if not places and final:
-                step = len(window)
-            window, base, want = window[step:], base + step, READ_BYTES
-            continue
-        if gap is not None:
-            yield gap, base - gap, None, reason
-            gap = None
-        yield base, size, found, None
-        window, base, want = window[size:], base + size, READ_BYTES
+                gap, reason = base + at, str(e)
+            places = [p for p in (window.find(MEMBER, at + 1), window.find(b"WARC/1.", at + 1)) if p > 0]
+            at = min(places) if places else len(window) if final else max(at + 1, len(window) - 6)
+            want = READ_BYTES
+        else:
+            if gap is not None:
+                yield gap, base + at - gap, None, reason
+                gap = None
+            yield base + at, size, found, None
+            at, want = at + size, READ_BYTES
+        if at > len(window) // 2:
+            base += at
+            del window[:at]
+            at = 0
     if gap is not None:
-        yield gap, base - gap, None, reason
+        yield gap, base + at - gap, None, reason
 
 
 def filesystem(uri: str):
@@ -278,6 +283,11 @@ def read_archives(files: DataFrame, with_payload: bool = True) -> DataFrame:
 
 
 def op6(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    """A row for each page, as read back from its archives; an error if they do not give as many records as were written."""
     folder = f"{shared_dir(spark)}/gridloom/warc-{uuid.uuid4().hex}"
-    found = read_archives(write_archives(pages, folder), with_payload=False).where("kind = 'record'")
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    files = write_archives(pages, folder)
+    found = written(read_archives(files, with_payload=False).where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "records")
+    n, expected = found.count(), files.agg(F.coalesce(F.sum("n_records"), F.lit(0))).first()[0]
+    if n != expected:
+        raise RuntimeError(f"{expected} records were written to {folder}, {n} were read back")
+    return found
