@@ -181,7 +181,7 @@ def five_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(spark, sf_dir).groupBy("iglo2").agg(*counts).withColumn("land", (F.col("iglo2") % 2).cast("double"))
 
 
-@query(f"WITH {SHARES}, {_RANKED} SELECT iglo2, CAST(a AS INTEGER) AS \"first\", CAST(b AS INTEGER) AS \"second\", CAST(CASE WHEN land > 0.5 THEN CASE WHEN a IN ({covers.SEA}, {covers.LAKE}) THEN CASE WHEN b = 0 THEN {covers.DESERT} ELSE b END ELSE a END WHEN a = {covers.LAKE} THEN a ELSE {covers.SEA} END AS INTEGER) AS dominant FROM two")
+@query(f"WITH {SHARES}, {_RANKED} SELECT iglo2, CAST(a AS INTEGER) AS \"first\", CAST(b AS INTEGER) AS \"second\", CAST(CASE WHEN land >= 0.5 THEN CASE WHEN a IN ({covers.SEA}, {covers.LAKE}) THEN CASE WHEN b = 0 THEN {covers.DESERT} ELSE b END ELSE a END WHEN a = {covers.LAKE} THEN a ELSE {covers.SEA} END AS INTEGER) AS dominant FROM two")
 def prj_domveg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ-DOMVEG, TOP-2."""
     shares = [F.col(f"s{k}") for k in range(1, 6)]
@@ -290,9 +290,11 @@ def mapping_sql(pt: str) -> str:
     near = " ".join(f"WHEN {after[k]} < r / 1000 THEN [{', '.join(f'1.0 - d{k} / e{k}' if m == k else f'd{k} / e{k}' if m == mapping.NEXT[k] else '0.0' for m in range(4))}]" for k in range(4))
     plain = ", ".join(f"1.0 / greatest(1e-30, {after[k]} * {after[mapping.PREV[k]]})" for k in range(4))
     res = "acos(greatest(-1.0, least(1.0, cos(radians(plat)) * cos(radians(plon)) * cos(radians(plat)) * cos(radians(qlon)) + cos(radians(plat)) * sin(radians(plon)) * cos(radians(plat)) * sin(radians(qlon)) + sin(radians(plat)) * sin(radians(plat)))))"
+    # Beyond the first or last row the first corner whose next is missing counts alone.
+    edge = f"WHEN jn < 0 THEN [0.0, 1.0, 0.0, 0.0] WHEN jn >= {TY - 1} THEN [0.0, 0.0, 1.0, 0.0]"
     return f"""p4 AS ({pt}), q4 AS (SELECT *, CAST(floor((plat - 85.0) / -10.0) AS BIGINT) AS jn, CAST(((floor((plon - 5.0) / 10.0) + {TX}) % {TX}) AS BIGINT) AS iw FROM p4),
   g4 AS (SELECT *, {keys}, {res} AS r FROM q4), h4 AS (SELECT *, {xyz('p')}, {', '.join(xyz(x) for x in c)} FROM g4), t4 AS (SELECT *, {dist} FROM h4),
-  u4 AS (SELECT iglo, [c0, c1, c2, c3] AS corners, CASE {near} ELSE [{plain}] END AS ws FROM t4), w4 AS (SELECT iglo AS iglo2, unnest(corners) AS iglo1, unnest(list_transform(ws, lambda x: x / list_sum(ws))) AS w FROM u4)"""
+  u4 AS (SELECT iglo, [c0, c1, c2, c3] AS corners, CASE {edge} {near} ELSE [{plain}] END AS ws FROM t4), w4 AS (SELECT iglo AS iglo2, unnest(corners) AS iglo1, unnest(list_transform(ws, lambda x: x / list_sum(ws))) AS w FROM u4)"""
 
 
 def mean4_sql(field: str) -> str:
@@ -483,15 +485,6 @@ def prj_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.lagged_cycle(m, "v").select("iglo", "month", r6("v").alias("v"), r6("v_lagged").alias("v_lagged"))
 
 
-@query()
-def pg_pgd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PG-PGD over the whole chain; each step is checked on its own above."""
-    p = source_points(spark, sf_dir).groupBy("j", "i").agg(F.avg("zs").alias("zs"), F.avg("clay").alias("clay"), F.avg("sand").alias("sand"), F.min("cover").alias("cover"))
-    source = SOURCE.points(spark).join(p, ["j", "i"], "left")
-    out = pipelines.surface(source, SOURCE, TARGET, classes(spark))
-    return out.select("iglo", *[F.round(c, 4).alias(c) for c in out.columns if c not in ("iglo", "j", "i")])
-
-
 @query(_weights_sql(gauss_points()).replace("SELECT iglo2, round", "SELECT iglo2 AS iglo, round"))
 def pg_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PG-INT onto a reduced Gaussian grid."""

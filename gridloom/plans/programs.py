@@ -277,12 +277,71 @@ def pg_prep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("iglo", r6("sst").alias("sst"), r6("tg").alias("tg"), F.round("v", 4).alias("v"))
 
 
-@query()
-def pg_clim_relief(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PG-CLIM, part 1, onto a reduced Gaussian grid; its steps have their own queries."""
+def whole_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = source_points(spark, sf_dir).groupBy("j", "i").agg(F.avg("zs").alias("zs"), F.avg("clay").alias("clay"), F.avg("sand").alias("sand"), F.min("cover").alias("cover"))
-    source = SOURCE.points(spark).join(p, ["j", "i"], "left")
-    out = climatology.relief(source, SOURCE, GAUSS, class_shares(spark))
+    return SOURCE.points(spark).join(p, ["j", "i"], "left")
+
+
+ALL_POINTS = f"SELECT iglo, 0.5 + iglo % {NX} AS plon, 89.5 - iglo // {NX} AS plat, CASE WHEN iglo % {NX} > 0 THEN iglo % {NX} - 0.5 ELSE 1.5 END AS qlon FROM (SELECT unnest(range(0, {NX * NY})) AS iglo)"
+
+
+def _slope(a: str, b: str, pa: str, pb: str, origin: str, scale: str) -> str:
+    core = f"(coalesce({a}, v) - coalesce({b}, v)) / nullif({scale} * ((CASE WHEN {a} IS NULL THEN {origin} ELSE {pa} END) - (CASE WHEN {b} IS NULL THEN {origin} ELSE {pb} END)), 0) / 6371229.0"
+    return f"CASE WHEN v IS NOT NULL THEN coalesce({core}, 0.0) ELSE {core} END"
+
+
+def relief_sql(factor: float, envelope: bool) -> str:
+    """CTE out2: iglo and all of a target cell that surface descriptions use; heights times the factor, obstacles seen from the mean or the envelope."""
+    arms = lambda f: f"""SELECT s.*, e.{f} AS ve, w.{f} AS vw, CASE WHEN s.j = 0 THEN s.{f} ELSE n.{f} END AS vn, CASE WHEN s.j = {NY - 1} THEN s.{f} ELSE o.{f} END AS vs, CASE WHEN s.j = 0 THEN 180.0 - s.y ELSE n.y END AS yn, CASE WHEN s.j = {NY - 1} THEN -180.0 - s.y ELSE o.y END AS ys,
+    cos(radians(s.y)) * radians(1.0) AS bx, radians(1.0) AS b_y FROM {{0}} s JOIN {{0}} e ON e.j = s.j AND e.i = (s.i + 1) % {NX} JOIN {{0}} w ON w.j = s.j AND w.i = (s.i + {NX - 1}) % {NX} LEFT JOIN {{0}} n ON n.j = s.j - 1 AND n.i = s.i LEFT JOIN {{0}} o ON o.j = s.j + 1 AND o.i = s.i"""
+    seen = "zs_avg + stdev" if envelope else "zs_avg"
+    # Turned vectors have both components or none.
+    gone = lambda a, b: f"CASE WHEN {b} IS NOT NULL THEN {a} END" if envelope else a
+    sides = (("ip", "ve", "bx * 1.0"), ("im", "vw", "bx * 1.0"), ("jp", "vn", "b_y * abs(yn - y)"), ("jm", "vs", "b_y * abs(ys - y)"))
+    rise = lambda v: f"coalesce({v} - d, 0.0)"
+    obstacles = ", ".join(f"avg(CASE WHEN d IS NOT NULL THEN greatest(0.0, {rise(v)} / ({away} * 6371229.0)) END) AS aos_{n}, avg(CASE WHEN d IS NOT NULL AND {rise(v)} {'<' if n in ('im', 'jm') else '>'} 0 THEN {'-' if n in ('im', 'jm') else ''}({rise(v)}) * 0.5 END) AS ho2_{n}" for n, v, away in sides)
+    return f"""{SRC}, {CLASSES}, pt AS (SELECT j, i, avg(zs) AS zs, avg(clay) AS clay, avg(sand) AS sand, min(cover) AS cover FROM src GROUP BY j, i),
+  s1 AS (SELECT r.iglo, CAST(r.iglo // {NX} AS BIGINT) AS j, r.iglo % {NX} AS i, 0.5 + r.iglo % {NX} AS x, 89.5 - r.iglo // {NX} AS y, CASE WHEN cover = 1 THEN NULL ELSE zs * {factor!r} END AS v, clay, sand, cover FROM (SELECT unnest(range(0, {NX * NY})) AS iglo) r LEFT JOIN pt ON pt.j = r.iglo // {NX} AND pt.i = r.iglo % {NX}),
+  s2 AS (SELECT *, CAST(greatest(0, least({TY - 1}, floor((y - 85.0) / -10.0 + 0.5))) AS BIGINT) * {TX} + CAST(CASE WHEN x >= 5.0 THEN floor((x - 5.0) / 10.0 + 0.5) ELSE ceil((x - 5.0) / 10.0 - 0.5) END AS BIGINT) % {TX} AS cell2 FROM s1),
+  sa AS ({arms('v').format('s2')}), sg AS (SELECT *, {_slope('ve', 'vw', 'x + 1.0', 'x - 1.0', 'x', 'bx')} AS gx, {_slope('vn', 'vs', 'yn', 'ys', 'y', 'b_y')} AS gy FROM sa),
+  m2 AS (SELECT cell2, avg(v) AS zs_avg, min(v) AS zs_min, max(v) AS zs_max, avg(clay) AS clay, avg(sand) AS sand FROM s2 GROUP BY cell2),
+  t2 AS (SELECT cell2, avg({gone('gx * gx', 'gy')}) AS xx, avg({gone('gy * gy', 'gx')}) AS yy, avg(gx * gy) AS xy, avg(v * v) AS sq, avg(v) AS av FROM sg GROUP BY cell2),
+  k2 AS (SELECT cell2, xy, sq, av, 0.5 * (xx + yy) AS k, 0.5 * (xx - yy) AS l, sqrt(0.25 * (xx - yy) * (xx - yy) + xy * xy) AS r FROM t2),
+  f2 AS (SELECT cell2, CASE WHEN av IS NOT NULL THEN atan2(xy, l) * 90 / pi() END AS dir, CASE WHEN av IS NOT NULL THEN sqrt(k + r) END AS slope, CASE WHEN av IS NOT NULL THEN CASE WHEN k + r > 0 THEN sqrt(greatest(k - r, 0.0) / (k + r)) ELSE 1.0 END END AS anis, CASE WHEN av IS NOT NULL THEN sqrt(greatest(sq - av * av, 0.0)) END AS stdev FROM k2),
+  c2 AS (SELECT cell2, cover, count(*) / CAST(sum(count(*)) OVER (PARTITION BY cell2) AS DOUBLE) AS frac FROM s2 WHERE cover IS NOT NULL GROUP BY cell2, cover),
+  h2 AS (SELECT cell2, max(CASE WHEN cover = 1 THEN frac END) AS first, {', '.join(f'sum(frac * {p}) / nullif(sum(frac), 0) AS {p}' for p in ('sea', 'nature', 'water', 'town'))} FROM c2 JOIN classes USING (cover) GROUP BY cell2),
+  field AS (SELECT cell2 AS iglo, {seen} AS v FROM m2 JOIN f2 USING (cell2)), {mapping_sql(ALL_POINTS)}, sm AS (SELECT iglo2 AS iglo, {mean4_sql('v')} AS smooth FROM w4 JOIN field ON field.iglo = w4.iglo1 GROUP BY iglo2),
+  sd AS (SELECT s2.iglo, j, i, x, y, cell2, v - smooth AS d FROM s2 LEFT JOIN sm USING (iglo)), sh AS ({arms('d').format('sd')}), o2 AS (SELECT cell2, {obstacles} FROM sh GROUP BY cell2),
+  out2 AS (SELECT r.iglo, m2.* EXCLUDE (cell2), f2.* EXCLUDE (cell2), h2.* EXCLUDE (cell2), o2.* EXCLUDE (cell2) FROM (SELECT unnest(range(0, {TX * TY})) AS iglo) r LEFT JOIN m2 ON m2.cell2 = r.iglo LEFT JOIN f2 ON f2.cell2 = r.iglo LEFT JOIN h2 ON h2.cell2 = r.iglo LEFT JOIN o2 ON o2.cell2 = r.iglo)"""
+
+
+SIDES = [f"{k}_{n}" for k in ("aos", "ho2") for n in ("ip", "im", "jp", "jm")]
+
+
+@query(f"""WITH {relief_sql(1.0, False)} SELECT iglo, 5.0 + 10.0 * (iglo % {TX}) AS lon, 85.0 - 10.0 * (iglo // {TX}) AS lat, round(coalesce(zs_avg + stdev, 0.0), 6) AS zs, {', '.join(f'round(coalesce({c}, 0.0), 6) AS {c}' for c in ('zs_avg', 'zs_min', 'zs_max', 'clay', 'sand', 'dir', 'anis', 'stdev'))}, round(coalesce(zs_avg, 0.0), 6) AS sil, round(coalesce(slope, 0.0), 6) AS slope,
+  {', '.join(f'round({c}, 6) AS {c}' for c in ('sea', 'nature', 'water', 'town'))}, {', '.join(f'round(coalesce({c}, 0.0), 6) AS {c}' for c in SIDES)}, CASE WHEN sea > 0 THEN -300.0 END AS bathy, CASE WHEN nature > 0 THEN 0.5 END AS runoff, CASE WHEN nature > 0 THEN 0.0 END AS wdrain FROM out2""")
+def pg_pgd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PG-PGD over the whole chain."""
+    out = pipelines.surface(whole_source(spark, sf_dir), SOURCE, TARGET, class_shares(spark))
+    return out.select("iglo", *[r6(c).alias(c) for c in out.columns if c not in ("iglo", "j", "i", "x", "y")])
+
+
+_A = "(coalesce(aos_ip, 0.0) + coalesce(aos_im, 0.0) + coalesce(aos_jp, 0.0) + coalesce(aos_jm, 0.0)) * 0.25 * 0.8 / (2 * 0.4 * 0.4)"
+_Z0 = f"CASE WHEN zs_avg IS NULL THEN 0.0 WHEN {_A} > 0 THEN greatest(0.25 * (coalesce(ho2_ip, 0.0) + coalesce(ho2_im, 0.0) + coalesce(ho2_jp, 0.0) + coalesce(ho2_jm, 0.0)) * exp(-sqrt(1.0 / nullif({_A}, 0))), 1e-10) ELSE 0.0 END"
+
+
+@query(f"""WITH {relief_sql(fx.GRAVITY, True)} SELECT iglo, round(coalesce(zs_avg + stdev, 0.0), 4) AS geo, round(coalesce(sand, 0.0), 6) AS sand, round(coalesce(clay, 0.0), 6) AS clay, round(coalesce(radians(dir), 0.0), 6) AS dir, round(coalesce(anis * anis, 0.0), 6) AS anis, round(coalesce(stdev, 0.0), 4) AS stdev, round({_Z0}, 4) AS z0_relief, round({_Z0}, 4) AS z0,
+  CASE WHEN coalesce(first > 0.5, false) OR coalesce(water > 0.5, false) THEN 0.0 ELSE 1.0 END AS lsm, round(town, 6) AS urban, round(1 - (sea + water), 6) AS land FROM out2""")
+def pg_clim_relief(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PG-CLIM, part 1: relief in geopotential, roughness from obstacles above the envelope, shares and land-sea mask."""
+    out = climatology.relief(whole_source(spark, sf_dir), SOURCE, TARGET, class_shares(spark))
+    return out.select("iglo", *[F.col(c) if c == "lsm" else (F.round(c, 4) if c in ("geo", "stdev", "z0_relief", "z0") else r6(c)).alias(c) for c in out.columns if c != "iglo"])
+
+
+@query()
+def pg_clim_relief_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PG-CLIM, part 1, onto a reduced Gaussian grid."""
+    out = climatology.relief(whole_source(spark, sf_dir), SOURCE, GAUSS, class_shares(spark))
     return out.select("iglo", *[F.round(c, 4).alias(c) for c in out.columns if c != "iglo"])
 
 
