@@ -21,7 +21,7 @@ QUALITY = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documen
  l AS (SELECT doc_id, line, k, n, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS k, len(lines) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM d))),
  m AS (SELECT *, len(body) - len(replace(body, ' ', '')) + 1 AS words, len(regexp_extract_all(body, '[|»›•·>]')) AS seps, len(regexp_extract_all(body, '[#*$%&|<>]')) AS symbols, len(line) - len(replace(line, ' ', '')) AS spaces FROM l),
  j AS (SELECT *, body <> '' AND (seps * 3 >= words AND words >= 3 OR regexp_matches(lower(body), '{quality_rules.BOILERPLATE.pattern}') OR symbols * 2 > words AND symbols >= 3 OR (len(body) - len(replace(body, '!!', ''))) > words
-   OR NOT (words < 4 OR regexp_matches(body, '[.!?:;…。！？]["'')\]”’»]*$') OR k = n AND contains(body, '. '))) AS bad FROM m),
+   OR NOT (greatest(words, len(body) // {quality_rules.LETTERS}) < 4 OR regexp_matches(body, '[.!?:;…。！？]["'')\]”’»]*$') OR k = n AND contains(body, '. '))) AS bad FROM m),
  t AS (SELECT doc_id, any_value(n) AS n_lines, count_if(bad) AS n_removed_lines, sum(len(line) - spaces) AS chars, coalesce(sum(len(line) - spaces) FILTER (bad), 0) AS gone FROM j GROUP BY doc_id),
  u AS (SELECT doc_id, sum(c - 1) AS n_dup_lines FROM (SELECT doc_id, line, count(*) AS c FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id, line) GROUP BY doc_id),
  a AS (SELECT d.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w.w, lambda x: len(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,

@@ -26,8 +26,15 @@ SYMBOL = re.compile(r"[#*$%&|<>]")
 FINAL = tuple(".!?:;…。！？")
 CLOSING = "\"')]”’»"
 SEPARATOR = re.compile(r"[|»›•·>]")
-#: Phrases that mark a line as boilerplate.
-BOILERPLATE = re.compile(r"licensed under|all rights reserved|spdx-license|copyright \(c\)|©|cookie policy|use of cookies|privacy policy|terms of (?:use|service)|enable javascript|subscribe to our|sign up for our|click here|lorem ipsum|powered by")
+#: Phrases that mark a line as boilerplate, in English, German, French and Spanish.
+BOILERPLATE = re.compile(
+    r"licensed under|all rights reserved|spdx-license|copyright \(c\)|©|cookie policy|use of cookies|privacy policy|terms of (?:use|service)|enable javascript|subscribe to our|sign up for our|click here|lorem ipsum|powered by"
+    r"|lizenziert unter|alle rechte vorbehalten|cookie-richtlinie|datenschutzerklärung|nutzungsbedingungen|javascript aktivieren|newsletter abonnieren|hier klicken"
+    r"|sous licence|tous droits réservés|politique de cookies|politique de confidentialité|conditions d.utilisation|mentions légales|activer javascript|cliquez ici"
+    r"|bajo licencia|todos los derechos reservados|política de cookies|política de privacidad|términos de uso|aviso legal|activar javascript|haga clic aquí"
+)
+#: Letters that count as a word in a line that is not written with blanks.
+LETTERS = 12
 MAX_LOST = 0.5
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines long, n_removed_lines long, lost double, cleaned string"
@@ -45,7 +52,7 @@ def bad_line(line: str, last: bool = False) -> str | None:
         return "boilerplate"
     if len(SYMBOL.findall(body)) * 2 > n and len(SYMBOL.findall(body)) >= 3 or body.count("!!") * 2 > n:
         return "punctuation"
-    if n < 4 or body.rstrip(CLOSING).endswith(FINAL) or last and ". " in body:
+    if max(n, len(body) // LETTERS) < 4 or body.rstrip(CLOSING).endswith(FINAL) or last and ". " in body:
         return None
     return "punctuation"
 

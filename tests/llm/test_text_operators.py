@@ -47,6 +47,13 @@ def test_quality_lines(spark):
     assert row["doc_id"] == 1 and row["text"] == lines
 
 
+def test_lines_of_other_languages():
+    for phrase in ("Alle Rechte vorbehalten", "Tous droits réservés", "Todos los derechos reservados", "Conditions d’utilisation"):
+        assert quality_rules.bad_line(f"Das hier ist: {phrase}.") == "boilerplate"
+    assert quality_rules.bad_line("漢字" * 40) == "punctuation" and quality_rules.bad_line("漢字" * 40 + "。") is None
+    assert quality_rules.bad_line("漢字の題") is None
+
+
 def test_bpe_is_the_library(spark):
     tiktoken = pytest.importorskip("tiktoken")
     import public_tokenizers
