@@ -152,6 +152,33 @@ def named(name: str) -> Grid:
     raise ValueError(f"unknown grid name {name!r}")
 
 
+def from_frame(frame: dict) -> Grid:
+    """SRC-FA-GRID: the grid of a file's frame, of three families.
+
+    kind lonlat: nx, ny and the corners west, south, east, north in radians, rounded to 1e-10 degrees; kind
+    lambert: nx, ny, dx, dy (metres), nux, nuy, lon0 and lat0 (radians); kind gaussian: ny (even), nloen (points of each row,
+    those of the north suffice), stretch, and the pole as sine of latitude and sine and cosine of longitude."""
+    kind = frame["kind"]
+    if kind == "lonlat":
+        west, south, east, north = (round(math.degrees(frame[c]), 10) for c in ("west", "south", "east", "north"))
+        nx, ny = frame["nx"], frame["ny"]
+        step = round((east - west) % 360.0 / (nx - 1), 10)
+        if east < west:
+            west -= 360.0
+        if abs(math.fmod(east + step - west - 360.0, 360.0)) < 1e-6:
+            return uniform(nx, ny, west, 360.0 / nx, north, (south - north) / (ny - 1), True)
+        return regional_lonlat(nx, ny, north, west, south, east)
+    if kind == "lambert":
+        lat = math.degrees(frame["lat0"])
+        return lambert(frame["nx"], frame["ny"], frame["dx"], frame["dy"], frame["nux"], frame["nuy"], lat, lat, lat, math.degrees(frame["lon0"]))
+    if frame["ny"] % 2:
+        raise ValueError("an odd number of Gaussian latitudes")
+    half = [int(n) for n in frame["nloen"][: frame["ny"] // 2]]
+    pole = math.degrees(math.atan2(frame["sin_lon"], frame["cos_lon"])), math.degrees(math.asin(frame["sin_lat"]))
+    turned = frame["stretch"] != 1.0 or pole != (0.0, 90.0)
+    return reduced_gaussian(half + half[::-1], (frame["stretch"], *pole) if turned else None)
+
+
 def from_namelist(text: str) -> Grid:
     """SRC-NML: the grid of a namelist; the group's header may be missing and unknown keys are ignored."""
     found: dict[str, list[str]] = {}

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fields as fx
 from ..operators import covers, mapping, regrid
-from ..sources import classes, rasters, sinks
+from .. import tools
+from ..sources import classes, packing, rasters, sinks
 from . import climatology, grids, pipelines
 from .catalog import CELL, CLASSES, FIELD, GAUSS, NUDGE, NX, NY, REGION, SOURCE, SRC, TARGET, TX, TY, _both, _by_class, _pressure_sql, _within, field, gauss_points, mapping_sql, mean4_sql, r6, source_points
 from .catalog import classes as class_shares
@@ -233,6 +234,46 @@ def tl_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.recoded(p, digits=3).withColumnRenamed("iglo", "iglo1")
 
 
+_STEP = "pow(2.0, ceil(log2((max(v * m) OVER (PARTITION BY f) - min(v * m) OVER (PARTITION BY f)) / (pow(2, bits) - 1)) - 1e-12))"
+
+
+@query(f"""WITH {SRC}, {CELL}, {FIELD}, l AS (SELECT iglo, 'v' AS f, v, 12 AS bits, 1.0 AS m FROM field UNION ALL SELECT iglo, 'w', v / 3, 8, 100.0 FROM field UNION ALL SELECT iglo, 'x', v / 7, 64, 1.0 FROM field),
+  p AS (SELECT iglo, f, v, m, bits, min(v * m) OVER (PARTITION BY f) AS lo, {_STEP} AS step FROM l), c AS (SELECT *, round((v * m - lo) / step) AS code FROM p)
+  SELECT iglo, f AS field, CASE WHEN bits = 64 THEN 0 ELSE CAST(log2(step) AS INTEGER) END AS exponent, CASE WHEN bits = 64 THEN round(v, 6) ELSE code END AS code, round(CASE WHEN bits = 64 THEN v ELSE (lo + code * step) / m END, 6) AS value FROM c WHERE v IS NOT NULL""")
+def snk_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-FA-ENC, SNK-FA-DEC: fields packed into 12 and 8 bits and as IEEE numbers, written, read back and decoded."""
+    f = field(spark, sf_dir).select("iglo", "v", (F.col("v") / 3).alias("w"), (F.col("v") / 7).alias("x"))
+    top = folder(spark, "packed")
+    packing.header(f, {"v": 12, "w": 8, "x": 64}, {"w": 100.0}).write.parquet(f"{top}/headers")
+    headers = spark.read.parquet(f"{top}/headers")
+    packing.packed(f, headers).write.parquet(f"{top}/codes")
+    codes = spark.read.parquet(f"{top}/codes")
+    out = packing.unpacked(codes, headers).join(codes, ["iglo", "field"]).join(F.broadcast(headers.select("field", "exponent", "packing")), "field")
+    return out.select("iglo", "field", "exponent", F.when(F.col("packing") == "ieee", r6("code")).otherwise(F.col("code")).alias("code"), r6("value").alias("value"))
+
+
+FRAME = {"kind": "gaussian", "ny": 8, "nloen": [12, 20, 24, 28], "stretch": 1.0, "sin_lat": 1.0, "sin_lon": 0.0, "cos_lon": 1.0}
+
+
+@query(f"WITH p AS ({gauss_points()}) SELECT iglo, round(plon, 6) AS lon, round(plat, 6) AS lat FROM p")
+def src_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-FA-GRID: the points of a frame's Gaussian grid."""
+    return grids.from_frame(FRAME).points(spark).select("iglo", r6("lon").alias("lon"), r6("lat").alias("lat"))
+
+
+@query(f"WITH {SRC}, {CELL}, {FIELD} SELECT iglo, round(coalesce(CASE WHEN iglo % 5 <> 0 THEN 2 * v END, v), 6) AS SST, CASE WHEN v IS NOT NULL THEN round(ln(greatest(0.001, least(1.0, v / 1e5 + v / 2e5)) / 0.001) / {float(np.log(1.0 / 0.001))!r}, 9) END AS water, (SELECT count_if(iglo % 5 = 0 AND v IS NOT NULL) FROM field) AS only_b FROM field")
+def tl_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TL-MIX, TL-WC, TL-YYY, TL-LFI: one file's field updated from another, water content and mask differences, by the command line's tools."""
+    f = field(spark, sf_dir).select("iglo", F.col("v").alias("SST"), (F.col("v") / 1e5).alias("LIQUID"), (F.col("v") / 2e5).alias("ICE"))
+    top = folder(spark, "tools")
+    f.select("iglo", F.when(F.col("iglo") % 5 != 0, 2 * F.col("SST")).alias("SST")).write.parquet(f"{top}/a")
+    f.write.parquet(f"{top}/b")
+    tools.run(spark, ["mix", "--file-1", f"{top}/a", "--file-2", f"{top}/b", "--out", f"{top}/c", "--field", "SST"])
+    tools.run(spark, ["water-content", "--file", f"{top}/c", "--out", f"{top}/d", "--parts", "LIQUID", "ICE"])
+    gaps = tools.run(spark, ["mask-diff", "--file-1", f"{top}/a", "--file-2", f"{top}/b", "--field", "SST"])
+    return spark.read.parquet(f"{top}/d").crossJoin(F.broadcast(gaps.select("only_b"))).select("iglo", r6("SST").alias("SST"), F.round("`SURFTOT.WATER`", 9).alias("water"), "only_b")  # one row
+
+
 @query(f"WITH {SRC} SELECT iglo1, round(zs / 3, 7) AS v FROM src")
 def fn_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN round 1e-7."""

@@ -122,3 +122,54 @@ def test_geometry_mismatch():
 def test_record_of_an_empty_field(spark, tmp_path):
     out = sinks.write_record(spark.createDataFrame([], "iglo long, v double"), str(tmp_path / "x"), "v").collect()
     assert out[0]["n_values"] == 0 and (tmp_path / "x").read_bytes() == bytes(8)
+
+
+def test_packing_keeps_its_step(spark):
+    from gridloom.sources import packing
+
+    df = spark.range(300).select(F.col("id").alias("iglo"), F.when(F.col("id") % 9 != 0, F.sin("id") * 70).alias("a"), F.lit(3.5).alias("b"), F.lit(None).cast("double").alias("c"))
+    for bits in (1, 8, 16, 24, 64):
+        head = packing.header(df, dict.fromkeys("abc", bits)).cache()
+        codes = packing.packed(df, head)
+        back = {(r["iglo"], r["field"]): r["value"] for r in packing.unpacked(codes, head).collect()}
+        rows = df.collect()
+        assert len(back) == sum(r[f] is not None for r in rows for f in "abc")
+        assert all(abs(back[r["iglo"], "a"] - r["a"]) <= packing.largest_error(140, bits) * (1 + 1e-9) + 1e-12 and back[r["iglo"], "b"] == 3.5 for r in rows if r["a"] is not None)
+        assert bits == 64 or codes.where("field = 'a'").agg(F.max("code")).first()[0] <= 2**bits - 1
+    with pytest.raises(Exception, match="wrong number of values of a"):
+        packing.unpacked(codes.where("iglo > 5"), head).collect()
+
+
+def test_frames(spark):
+    r = math.radians
+    g = grids.from_frame({"kind": "lonlat", "nx": 21, "ny": 11, "west": r(10), "south": r(40), "east": r(50), "north": r(60)})
+    assert g.like(grids.regional_lonlat(21, 11, 60.0, 10.0, 40.0, 50.0))
+    g = grids.from_frame({"kind": "lonlat", "nx": 36, "ny": 19, "west": r(-180), "south": r(-90), "east": r(170), "north": r(90)})
+    assert g.is_global and g.xmin[0] == -180 and g.y[0] == 90
+    g = grids.from_frame({"kind": "lambert", "nx": 9, "ny": 7, "dx": 1e5, "dy": 1e5, "nux": 9, "nuy": 7, "lon0": r(2.0), "lat0": r(46.2)})
+    assert g.like(GRIDS[4])
+    g = grids.from_frame({"kind": "gaussian", "ny": 4, "nloen": [8, 12], "stretch": 2.4, "sin_lat": math.sin(r(46.7)), "sin_lon": math.sin(r(2.0)), "cos_lon": math.cos(r(2.0))})
+    assert g.like(GRIDS[2]) and g.map.c == 2.4 and math.degrees(g.map.lat) == pytest.approx(46.7)
+    with pytest.raises(ValueError, match="odd"):
+        grids.from_frame({"kind": "gaussian", "ny": 3, "nloen": [8], "stretch": 1.0, "sin_lat": 1.0, "sin_lon": 0.0, "cos_lon": 1.0})
+
+
+def test_tools(spark, tmp_path):
+    from gridloom import tools
+
+    df = grids.named("S6x3").points(spark).select("iglo", F.col("lat").alias("SURFB"), F.when(F.col("i") > 2, F.col("lon")).alias("S002A"), F.col("lon").alias("S001A"))
+    df.write.parquet(str(tmp_path / "a"))
+    df.withColumn("SURFB", F.col("SURFB") + 1).drop("S001A").write.parquet(str(tmp_path / "b"))
+    file = lambda n: str(tmp_path / n)
+    assert [tuple(r) for r in tools.run(spark, ["list", "--file", file("a")]).collect()] == [(1, "S001A", 18, 0), (2, "S002A", 18, 9), (3, "SURFB", 18, 0)]
+    assert tools.run(spark, ["size", "--file", file("a")]).first() == (3, 18)
+    assert {r["field"]: (r["differ"], r["largest"]) for r in tools.run(spark, ["diff", "--file-1", file("a"), "--file-2", file("b")]).collect()} == {"SURFB": (18, 1.0), "S002A": (0, 0.0)}
+    tools.run(spark, ["cat", "--file-1", file("b"), "--file-2", file("a"), "--out", file("c")])
+    assert set(spark.read.parquet(file("c")).columns) == set(df.columns)
+    tools.run(spark, ["split", "--file", file("a"), "--out", file("d"), "--each", "2"])
+    tools.run(spark, ["convert", "--file", file("a"), "--out", file("e"), "--bits", "8", "--skip", "SURFB"])
+    assert spark.read.parquet(file("e") + "/codes").count() == 18 + 9
+    with pytest.raises(ValueError, match="size mismatch"):
+        tools.mixed(df.limit(3), df, "SURFB")
+    with pytest.raises(SystemExit):
+        tools.run(spark, ["mix", "--file-1", "x"])
