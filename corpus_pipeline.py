@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; run() writes it as Parquet in the shared folder and rereads it
 as the next stage's docs. All but the last keep the columns of documents; the last gives ids and digests per document.
+
+Defined cases: a null or empty text fails the quality rules and goes there; a null doc_id is kept and stands by its text's
+hash where documents are told apart; of repeated rows, which are copies of each other, the Jaccard stage keeps one; lines are
+removed from texts, and n_chars follows them; other columns travel as they are, whatever their names; an empty documents or
+benchmark table gives an empty result, or one from which nothing was taken out. Texts of any length are processed whole.
 """
 
 from __future__ import annotations
