@@ -59,7 +59,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 #: Bytes of items, as they are stored, that a task decodes at a time.
-PORTION = 1 << 20
+PORTION = 1 << 19
 
 
 def portions(batch: pa.RecordBatch, *columns: str) -> Iterator[pa.RecordBatch]:

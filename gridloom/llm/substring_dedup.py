@@ -3,34 +3,49 @@
 Line breaks do not show where a passage was pasted, so paragraphs are content-defined: WORDS words from each anchor, and from
 the start and up to the end of each text. Anchors are chosen by winnowing: of any CHOICE places in a row at which a paragraph
 may start, the one whose pair of words has the least hash is one. They depend on nothing else, so whatever passage of
-WORDS + CHOICE - 1 = 51 words two texts have in common, they have a paragraph in common. Every paragraph gets bands of one
-MinHash value over its 5-word shingles and nothing else, as many as paragraphs of Jaccard similarity 0.8 need to collide with
-probability `recall`. Colliding paragraphs are compared exactly (see linking) and clustered by connected components. The first paragraph of a cluster, by
-document, stays; the others are removals. Each removal is extended to both sides as long as its words agree with those
-beside the first paragraph, so it reaches to the ends of the passage or to an edit. Paragraphs of a document that overlap
-are put together into spans.
-
-Equal paragraphs are one node, so a passage in a third of all documents costs one comparison.
+WORDS + CHOICE - 1 = 51 words two texts have in common, they have a paragraph in common. Every paragraph gets bands of ROWS
+MinHash values over its 5-word shingles and nothing else, as many as paragraphs of Jaccard similarity 0.8 need to collide with
+probability `recall`. Colliding paragraphs are compared exactly (see linking) and clustered by connected components. The first
+paragraph of a cluster, by document, stays; the others are removals. Each removal is extended to both sides as long as its
+words agree with those beside the first paragraph, so it reaches to the ends of the passage or to an edit. Paragraphs of a
+document that overlap are put together into spans.
+
+Texts stay in blocks, and which of their paragraphs collide is found by meeting, without a row for each. Equal paragraphs are
+one node, and one of them speaks for all, so a passage in a third of all documents costs one comparison. (The one is chosen
+by 16 bits of the node within a band: two other paragraphs that collide and agree in these are not compared in this band.)
+The shingle sets of colliding nodes meet packed, too. Buckets of TOGETHER nodes at most are compared in place, exactly but for
+the width of a shingle's hash (24 bits); only links that join components go on. Nodes of larger buckets go through linking.
+Rows of paragraphs are made for those nodes only that come again or are linked.
 
 Defined cases: a null or empty text has no paragraph; a text of 5 to WORDS - 1 words is one paragraph; a null doc_id comes
-back as null; repeated rows count as one document, and repeats within a document only are none; other columns are ignored; an empty table gives an empty result.
+back as null; repeated rows count as one document, and repeats within a document only are none; other columns are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buffers, sliced, written
+from . import meeting
+from .blocks import deflated, inflated
+from .common import buffers, given_back, sliced, texts, written
 from .jaccard_join import keyed
-from .kernel import BASE, INVERSE, LOWER, U, distinct_shingles, mix, powers, row_bounds, shingles, word_hashes, words
-from .linking import having, linked
+from .kernel import BASE, INVERSE, LOWER, U, mix, powers, row_bounds, shingles, word_hashes, words
+from .linking import components, few, having, linked, portions, shared
 
 WORDS, CHOICE, SHINGLE = 22, 30, 5
+#: MinHash values in a band; bits of a node that tell equal paragraphs in a bucket; nodes of a bucket that are compared in place.
+ROWS, PRINT, TOGETHER = 1, 16, 128
+BLOCK_BYTES = 8 << 20
+#: Shingles of a paragraph, at most; entries with sets that a task holds.
+MOST, SETS = WORDS - SHINGLE + 1, 1 << 18
 #: Words by which two linked paragraphs may be shifted against each other: |shift| <= 2 at 0.8, and some for edits.
 SHIFTS = (0, 1, -1, 2, -2, 3, -3, 4, -4)
 #: Documents that a copy of a first document's text serves.
@@ -99,65 +114,274 @@ class Paragraphs:
         self.end = plain[ends[self.first + self.size - 1]] - base if n else self.first
 
     def band(self, number: int) -> np.ndarray:
-        """The band's hash of each paragraph: its least shingle hash under the band's permutation."""
-        every = mix(shingles(self.hashes, SHINGLE) ^ mix(np.array([number + 1], U)))
-        out = np.zeros(len(self.first), U)
+        """The band's hash of each paragraph: ROWS least shingle hashes, each under a permutation of its own."""
+        out = np.full(len(self.first), U(number + 1))
         usual = self.size == WORDS
-        if usual.any():
-            out[usual] = least_near(every, WORDS - SHINGLE + 1)[self.first[usual]]
-        for i in np.flatnonzero(~usual):
-            out[i] = every[self.first[i] : self.first[i] + self.size[i] - SHINGLE + 1].min()
-        return mix(out + U(number)) if len(out) else out
-
-
-def paragraphs(docs: DataFrame, bands: int) -> DataFrame:
-    """doc_id, key, start and end (code points), at (its first word), n_words, node and bands of each paragraph."""
+        short = np.flatnonzero(~usual)
+        for k in range(number * ROWS, (number + 1) * ROWS):
+            every = mix(shingles(self.hashes, SHINGLE) ^ mix(np.array([k + 1], U)))
+            least = np.zeros(len(out), U)
+            if usual.any():
+                least[usual] = least_near(every, WORDS - SHINGLE + 1)[self.first[usual]]
+            for i in short:
+                least[i] = every[self.first[i] : self.first[i] + self.size[i] - SHINGLE + 1].min()
+            out = mix(out * U(3) + least)
+        return out
+
+
+    def shingle_sets(self, chosen: np.ndarray) -> np.ndarray:
+        """The distinct shingles of some paragraphs, 24 bits each and not 0, a row of MOST for each paragraph, 0 where there are fewer."""
+        every = np.maximum((shingles(self.hashes, SHINGLE) >> U(40)).astype(np.uint32), np.uint32(1))
+        size = self.size[chosen] - SHINGLE + 1
+        place = np.minimum(self.first[chosen][:, None] + np.arange(MOST), max(len(every) - 1, 0))
+        own = np.where(np.arange(MOST) < size[:, None], every[place], np.uint32(0)) if len(chosen) else np.zeros((0, MOST), np.uint32)
+        own.sort(1)
+        own[:, 1:][own[:, 1:] == own[:, :-1]] = 0
+        return own
+
+
+def indexed(docs: DataFrame, bands: int) -> DataFrame:
+    """Blocks: doc_id, key and text of each document, texts compressed in one piece, and the bands of their distinct paragraphs as meeting keeps them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, size = TaskContext.get().partitionId() << 32, 0
+        held, nodes, keys = [], [], []
+
+        def block():
+            node, first = np.unique(np.concatenate(nodes), return_index=True)
+            bands_ = np.concatenate(keys, 1)[:, first]
+            every = (bands_ >> U(PRINT) << U(PRINT)) | (node & U((1 << PRINT) - 1))
+            whole = pa.concat_batches(held)
+            column = texts(whole.column("text"))
+            raw = [deflated(b"".join(t.encode() for t in column.slice(a, 256).to_pylist())) for a in range(0, len(column), 256)]
+            values = [[number], [whole.column("doc_id").to_pylist()], [whole.column("key").to_pylist()], [pc.binary_length(column).to_pylist()], [raw], *[[e] for e in meeting.kept(every.ravel(), np.tile(first, bands), 0)]]
+            kinds = [pa.int64(), *[pa.list_(pa.int64())] * 3, pa.list_(pa.binary()), pa.int32(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds)], ["block", "doc_id", "key", "size", "text", "entries", "keys", "units"])
+
         for batch in sliced(batches, "text"):
             x = Paragraphs(batch)
-            found = np.stack([x.band(i) for i in range(bands)], 1).view(np.int64) if len(x.first) else np.zeros((0, bands), np.int64)
-            at = pa.array(x.row)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * bands), pa.array(found.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("key").take(at), pa.array(x.start.astype(np.int32)), pa.array(x.end.astype(np.int32)), pa.array(x.at.astype(np.int32)), pa.array(x.size.astype(np.int32)), pa.array(x.node.view(np.int64)), lists], ["doc_id", "key", "start", "end", "at", "n_words", "node", "bands"])
+            nodes.append(x.node)
+            keys.append(np.stack([x.band(i) for i in range(bands)]))
+            held.append(batch)
+            size += batch.nbytes
+            if size >= BLOCK_BYTES:
+                yield block()
+                number, size, held, nodes, keys = number + 1, 0, [], [], []
+        if held:
+            yield block()
+
+    return keyed(docs).mapInArrow(run, "block long, doc_id array<long>, key array<long>, size array<long>, text array<binary>, entries int, keys binary, units binary")
+
+
+PLACE = "key long, nameless boolean, start int, end int, at int, n_words int, node long"
+
 
-    return keyed(docs).mapInArrow(run, "doc_id long, key long, start int, end int, at int, n_words int, node long, bands array<long>")
+def block_slices(x: dict) -> Iterator[tuple[int, int, Paragraphs]]:
+    """Of a block's texts, a slice at a time: the documents and the paragraphs before it, and its paragraphs."""
+    size = x["size"].values
+    raw = b"".join(inflated(v) for v in x["text"].as_py())
+    column = pa.StringArray.from_buffers(len(size), pa.py_buffer(np.r_[0, np.cumsum(size.to_numpy())].astype(np.int32)), pa.py_buffer(raw))
+    docs = base = 0
+    for part in sliced(iter([pa.RecordBatch.from_arrays([column], ["text"])]), "text"):
+        p = Paragraphs(part)
+        yield docs, base, p
+        docs, base = docs + part.num_rows, base + len(p.node)
+
+
+def told(x: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The units of a block that have an answer, sorted, and the answers; see meeting.shared_units."""
+    met = x["met"].as_py() or []
+    units, buckets = (np.concatenate([np.zeros(0, U), *[meeting.restored(m[c], m["n"]) for m in met]]) for c in ("units", "buckets"))
+    order = np.argsort(units, kind="stable")
+    return units[order].astype(np.int64), buckets[order]
+
+
+def over_blocks(joined: DataFrame, block: Callable[[dict], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield from block({c: batch.column(c)[k] for c in batch.schema.names})
+        given_back()
+
+    return joined.mapInArrow(run, schema)
+
+
+def colliding_sets(held: DataFrame, answers: DataFrame) -> DataFrame:
+    """part, block, entries, keys, nodes and sets: of each block the entries that speak for a bucket with other nodes, with their sets, by part of the bucket."""
+    parts = meeting.parts_for(held, "entries", 4 * SETS)
+    edges = np.arange(1, parts, dtype=U) << U(64 - PRINT - (parts.bit_length() - 1))
+
+    def block(x: dict) -> Iterator[pa.RecordBatch]:
+        units, answer = told(x)
+        found = []
+        for _, base, p in block_slices(x):
+            lo, hi = np.searchsorted(units, [base, base + len(p.node)])
+            bucket = answer[lo:hi] // U(2)
+            at = units[lo:hi][bucket > 0] - base
+            found.append((bucket[bucket > 0], p.node[at], p.shingle_sets(at)))
+        bucket, nodes, sets = (np.concatenate(v) for v in zip(*found)) if found else (np.zeros(0, U),) * 3
+        order = np.argsort(bucket, kind="stable")
+        bucket, nodes, sets = bucket[order], nodes[order], sets[order]
+        bounds = np.r_[0, np.searchsorted(bucket, edges), len(bucket)]
+        out = [(i, b - a, meeting.planes(np.diff(bucket[a:b], prepend=U(0))), meeting.planes(nodes[a:b]), meeting.planes(sets[a:b].ravel())) for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())) if b > a]
+        if out:
+            part, *rest = zip(*out)
+            columns = [pa.array(part, pa.int32()), pa.array([x["block"].as_py()] * len(out), pa.int64()), *[pa.array(v, t) for v, t in zip(rest, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))]]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "block", "entries", "keys", "nodes", "sets"])
+
+    return over_blocks(held.select("block", "size", "text").join(answers, "block"), block, "part int, block long, entries int, keys binary, nodes binary, sets binary")
+
+
+def places(held: DataFrame, answers: DataFrame, linked_: DataFrame) -> DataFrame:
+    """PLACE: a row for each paragraph whose node comes again, in another block or another document of its own, or is linked. linked_: block and nodes, packed."""
+
+    def block(x: dict) -> Iterator[pa.RecordBatch]:
+        units, answer = told(x)
+        slices = list(block_slices(x))
+        doc_id, key = (x[c].values for c in ("doc_id", "key"))
+        rows = np.concatenate([np.zeros(0, np.int64), *[p.row + docs for docs, _, p in slices]])
+        node = np.concatenate([np.zeros(0, U), *[p.node for _, _, p in slices]])
+        own, of = np.unique(node, return_inverse=True)
+        least, most = np.full(len(own), len(key)), np.full(len(own), -1)
+        np.minimum.at(least, of, rows)
+        np.maximum.at(most, of, rows)
+        wanted = least < most
+        wanted[of[units[answer % U(2) == 1]]] = True
+        for v in x["linked"].as_py() or []:
+            wanted |= np.isin(own, np.frombuffer(v, U))
+        for docs, base, p in slices:
+            chosen = np.flatnonzero(wanted[of[base : base + len(p.node)]])
+            doc = pa.array(p.row[chosen] + docs)
+            columns = [key.take(doc), pc.and_(key.take(doc).is_valid(), doc_id.take(doc).is_null()), *[pa.array(v[chosen].astype(np.int32)) for v in (p.start, p.end, p.at, p.size)], pa.array(p.node[chosen].view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in PLACE.split(", ")])
+
+    lists = linked_.groupBy("block").agg(F.collect_list("nodes").alias("linked"))
+    joined = held.select("block", "doc_id", "key", "size", "text").join(answers, "block", "left").join(lists, "block", "left")
+    return over_blocks(joined, block, PLACE)
+
+
+def linked_pairs(sets: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs of rows of sets are linked."""
+    sizes = np.count_nonzero(sets, 1)
+    out = np.zeros(len(a), bool)
+    for i in range(0, len(a), 1 << 15):
+        x, y = sets[a[i : i + (1 << 15)]], sets[b[i : i + (1 << 15)]]
+        both = np.zeros(len(x), np.int64)
+        for k in range(MOST):
+            both += (x[:, k] != 0) & (y == x[:, k : k + 1]).any(1)
+        out[i : i + len(x)] = den * both >= num * (sizes[a[i : i + len(x)]] + sizes[b[i : i + len(x)]] - both)
+    return out
+
+
+def smallest_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number that each of n reaches over links a, b."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        label = label[label]
+        if np.array_equal(label, before):
+            return label
+
+
+LINKS = "a long, b long, block long, nodes binary, bucket long, items binary"
+
+
+def links_in_place(met: DataFrame, num: int, den: int) -> DataFrame:
+    """LINKS, of three kinds: a and b, links that join all linked nodes of a part's buckets; block and nodes, the linked ones of a block, packed; bucket, a (a node), block and items (its set) of buckets with more than TOGETHER nodes."""
+    names_ = [c.split()[0] for c in LINKS.split(", ")]
+    kinds = {"a": pa.int64(), "b": pa.int64(), "block": pa.int64(), "nodes": pa.binary(), "bucket": pa.int64(), "items": pa.binary()}
+
+    def made(**columns) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kinds.items()], names_)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+
+        def found():
+            bucket, node, sets, block = (np.concatenate(v) for v in zip(*held))
+            order = np.argsort(bucket, kind="stable")
+            bucket, node, sets, block = bucket[order], node[order], sets[order], block[order]
+            _, times = meeting.runs(bucket)
+            large = np.repeat(times > TOGETHER, times)
+            for i in range(0, np.count_nonzero(large), 4096):
+                at = np.flatnonzero(large)[i : i + 4096]
+                yield made(a=node[at].view(np.int64), block=block[at], bucket=bucket[at].view(np.int64), items=[v[v > 0].astype(U).tobytes() for v in sets[at]])
+            bucket, node, sets, block = bucket[~large], node[~large], sets[~large], block[~large]
+            if not len(bucket):
+                return
+            _, times = meeting.runs(bucket)
+            left = np.repeat(np.cumsum(times), times) - np.arange(len(bucket)) - 1  # members of the bucket after each
+            a = np.repeat(np.arange(len(bucket)), left)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(left) - left, left)
+            names, first, of = np.unique(node, return_index=True, return_inverse=True)
+            apart = of[a] != of[b]
+            a, b = a[apart], b[apart]
+            good = linked_pairs(sets, a, b, num, den)
+            a, b = of[a[good]], of[b[good]]
+            label = smallest_reached(len(names), a, b)
+            moved = np.flatnonzero(label != np.arange(len(names)))
+            yield made(a=names[moved].view(np.int64), b=names[label[moved]].view(np.int64))
+            joined = np.unique(np.concatenate([a, b]))
+            where = block[first[joined]]
+            order = np.argsort(where, kind="stable")
+            joined, where = joined[order], where[order]
+            start, size = meeting.runs(where) if len(where) else (where, where)
+            yield made(block=where[start], nodes=[names[joined[i : i + n]].tobytes() for i, n in zip(start.tolist(), size.tolist())])
+
+        for batch in batches:
+            for p, block, n, keys, nodes, sets in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "entries", "keys", "nodes", "sets"))):
+                if p != part:
+                    if held:
+                        yield from found()
+                    part, held = p, []
+                held.append((np.cumsum(meeting.restored(keys, n), dtype=U), meeting.restored(nodes, n), meeting.restored(sets, n * MOST).astype(np.uint32).reshape(n, MOST), np.full(n, block)))
+        if held:
+            yield from found()
+        held = []
+        given_back()
+
+    return met.repartition("part").sortWithinPartitions("part").mapInArrow(run, LINKS)
 
 
 def clustered(docs: DataFrame, num: int = 80, den: int = 100, recall: float = RECALL) -> DataFrame:
     """doc_id, key, start, end, at, n_words, cluster of each paragraph that another document repeats, and removed: not in the first document of its cluster."""
-    bands = tuned(num / den, recall)
-    held = written(paragraphs(docs, bands), "paragraphs")
-    each = held.select(F.explode("bands").alias("bucket"), "node", (F.col("key").isNotNull() & F.col("doc_id").isNull()).alias("nameless"), "key", "start", "end", "at", "n_words")
-    several = held.select(F.explode("bands").alias("bucket"), "key").groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("bucket", "n")
-    met = written(each.join(several, "bucket"), "collisions")
-    mixed = met.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
-    members = written(met.join(mixed, "bucket", "left_semi").select("bucket", "node", "n").distinct(), "members")
-
-    def sets(nodes: DataFrame) -> DataFrame:
-        """The shingle sets of the nodes, made anew from one document of each."""
-        wanted = written(nodes.distinct(), "nodes")
-        one = having(met.select("node", "key"), wanted, "node").groupBy("node").agg(F.min("key").alias("key"))
-        chosen = written(one.groupBy("key").agg(F.collect_list("node").alias("nodes")), "chosen")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in sliced(batches, "text"):
-                x = Paragraphs(batch)
-                every = x.node.view(np.int64)
-                place = np.flatnonzero(np.isin(every, batch.column("nodes").flatten().to_numpy()))
-                node, at = np.unique(every[place], return_index=True)
-                own = [distinct_shingles(x.hashes[x.first[i] : x.first[i] + x.size[i]], np.array([0, x.size[i]]), SHINGLE)[0].tobytes() for i in place[at]]
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(own, pa.binary())], ["node", "items"])
-
-        texts = having(keyed(docs).select("key", "text"), chosen, "key").join(chosen, "key")
-        return texts.mapInArrow(run, "node long, items binary").dropDuplicates(["node"])
-
-    labels = linked(members, sets, lambda found: [np.frombuffer(x, U) for x in found], num, den)
-    places = met.select("nameless", "key", "start", "end", "at", "n_words", "node").distinct()
-    own = written(places.join(labels, "node", "left").select("nameless", "key", "start", "end", "at", "n_words", F.coalesce("component", "node").alias("cluster")), "places")
-    first = own.groupBy("cluster").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key")).where("first_key <> last_key")
-    found = own.join(first, "cluster")
-    return found.select(F.when(~F.col("nameless"), F.col("key")).alias("doc_id"), "key", "start", "end", "at", "n_words", "cluster", (F.col("key") != F.col("first_key")).alias("removed"))
+    bands = tuned(num / den, recall, ROWS)
+    held = written(indexed(docs, bands), "paragraphs")
+    answers = written(meeting.shared_units(held, PRINT).groupBy("block").agg(F.collect_list(F.struct(F.col("n"), "units", "buckets")).alias("met")), "answers")
+    links = written(links_in_place(colliding_sets(held, answers), num, den), "links")
+    edges = links.where("b is not null").select("a", "b")
+    found = links.where("nodes is not null").select("block", "nodes")
+    large = links.where("bucket is not null").select("bucket", F.col("a").alias("node"), "block", "items")
+    members = shared(large.select("bucket", "node").distinct())
+    if not members.isEmpty():
+        sets = lambda nodes: having(large.select("node", "items"), written(nodes.distinct(), "nodes"), "node").dropDuplicates(["node"])
+        more = written(linked(members, sets, lambda found: [np.frombuffer(x, U) for x in found], num, den), "large")
+        edges = edges.union(more.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        there = large.select("node", "block").distinct().join(more.select("node"), "node")
+        found = found.union(in_bytes(there))
+    labels = components(edges)
+    met = written(places(held, answers, found), "places")
+    # Clusters are settled on nodes; the paragraphs move once, if the nodes of real clusters are too many to broadcast.
+    nodes = met.groupBy("node").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).join(labels, "node", "left").withColumn("cluster", F.coalesce("component", "node"))
+    nodes = written(nodes.select("node", "cluster", "lo", "hi"), "nodes")
+    several = written(nodes.groupBy("cluster").agg(F.min("lo").alias("first_key"), F.max("hi").alias("last_key")).where("first_key <> last_key").select("cluster", "first_key"), "clusters")
+    named = written(nodes.select("node", "cluster").join(few(several), "cluster"), "named")
+    out = met.join(few(named), "node")
+    return out.select(F.when(~F.col("nameless"), F.col("key")).alias("doc_id"), "key", "start", "end", "at", "n_words", "cluster", (F.col("key") != F.col("first_key")).alias("removed"))
+
+
+def in_bytes(rows: DataFrame) -> DataFrame:
+    """block and nodes, as little-endian bytes, of rows block and node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array([v.tobytes() for v in batch.column("node").to_numpy(zero_copy_only=False).astype("<i8")], pa.binary())], ["block", "nodes"])
+
+    return rows.select("block", "node").mapInArrow(run, "block long, nodes binary")
 
 
 def agreeing(sums: np.ndarray, inverse: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray, back: bool) -> np.ndarray:
@@ -190,30 +414,52 @@ def reached(sums, inverse, a, b, a_most, b_most, a_inside, b_inside, back: bool)
     return gain, edge
 
 
+def compressed(rows: DataFrame) -> DataFrame:
+    """key and text, the text compressed: what moves twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([deflated(t.encode()) for t in texts(batch.column("text")).to_pylist()], pa.binary())], ["key", "text"])
+
+    return rows.mapInArrow(run, "key long, text binary")
+
+
+def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches whose text is compressed, with the text as it was, a portion at a time."""
+    for whole in batches:
+        for part in portions(whole, "text"):
+            at = part.schema.get_field_index("text")
+            yield part.set_column(at, "text", pa.array([inflated(t).decode() for t in part.column("text").to_pylist()], pa.string()))
+
+
 MARK = ("start", "end", "at", "n_words", "cluster", "first_start", "first_at", "first_words")
 
 
 def extended(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """found with every removed paragraph, and the first one that it repeats, extended by the words that agree beside them.
+    """found, each row a paragraph, and rows that are none: for every removed paragraph, and for the first one that it repeats, what reaches as far as the words beside them agree.
 
     The text of a first document travels to the documents that repeat it, a copy for every SHARE of them."""
     found = written(found, "found")
-    first = found.where("not removed").groupBy("cluster").agg(F.min(F.struct("key", "start", "at", "n_words")).alias("o"))
-    names = found.where("removed").join(first, "cluster").select("doc_id", "key", F.col("o.key").alias("first_key"), "start", "end", "at", "n_words", "cluster", F.col("o.start").alias("first_start"), F.col("o.at").alias("first_at"), F.col("o.n_words").alias("first_words"))
-    pairs = written(names.groupBy("first_key", "key").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct(*MARK)).alias("marks")), "pairs")
+    first = written(found.where("not removed").groupBy("cluster").agg(F.min(F.struct("key", "start", "at", "n_words")).alias("o")), "firsts")
+    names = found.where("removed").join(few(first), "cluster").select("doc_id", "key", F.col("o.key").alias("first_key"), "start", "end", "at", "n_words", "cluster", F.col("o.start").alias("first_start"), F.col("o.at").alias("first_at"), F.col("o.n_words").alias("first_words"))
+    pairs = written(names.groupBy("first_key", "key").agg(F.first("doc_id").alias("doc_id"), F.collect_set(F.struct(*MARK)).alias("marks")), "pairs")
     copies = written(pairs.groupBy("first_key").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("copies")), "copies")
-    texts = keyed(docs).select("key", "text").where("key is not null").distinct()
+
+    def stored(keys: DataFrame) -> DataFrame:
+        """key and compressed text of the documents asked for, dealt by key once, for what is distinct and for joins."""
+        return compressed(having(keyed(docs).select("key", "text").where("key is not null"), keys, "key")).repartition("key").distinct()
+
     dealt = pairs.join(copies, "first_key").withColumn("copy", F.pmod(F.xxhash64("key"), "copies").cast("int")).drop("copies")
-    own = dealt.join(having(texts, pairs.select("key"), "key"), "key").select("first_key", "copy", "key", "doc_id", "text", "marks")
+    own = dealt.join(stored(pairs.select("key")), "key").select("first_key", "copy", "key", "doc_id", "text", "marks")
     kind = own.schema["marks"].dataType
-    lead = having(texts, copies.select(F.col("first_key").alias("key")), "key").join(copies.withColumnRenamed("first_key", "key"), "key")
+    lead = stored(copies.select(F.col("first_key").alias("key"))).join(copies.withColumnRenamed("first_key", "key"), "key")
     lead = lead.select(F.col("key").alias("first_key"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast(kind).alias("marks"))
     both = lead.union(own).repartition("first_key", "copy").sortWithinPartitions("first_key", "copy", F.col("key").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_key = pa.array([None], pa.string()), None
-        for batch in sliced(batches, "text"):
-            column = pa.concat_arrays([held, batch.column("text").cast(pa.string())])
+        for batch in sliced(restored(batches), "text"):
+            column = pa.concat_arrays([held, batch.column("text")])
             is_first = np.r_[True, batch.column("key").is_null().to_numpy(zero_copy_only=False)]
             firsts = [held_key, *batch.column("first_key").to_pylist()]
             origin = np.maximum.accumulate(np.where(is_first, np.arange(len(is_first)), 0))
@@ -245,22 +491,23 @@ def extended(docs: DataFrame, found: DataFrame) -> DataFrame:
                 places = [plain[starts[a - left]] - base, plain[ends[ea + right - 1]] - base, plain[starts[np.minimum(fa, b)]] - lead_base, plain[ends[np.maximum(fb, eb) - 1]] - lead_base]
                 out += [pa.array(v.astype(np.int32)) for v in (x["start"][good], *places)]
                 yield pa.RecordBatch.from_arrays([*out, pa.array(x["cluster"][good])], ["doc_id", "key", "first_key", "was", "start", "end", "first_from", "first_to", "cluster"])
+        given_back()
 
     more = written(both.mapInArrow(run, "doc_id long, key long, first_key long, was int, start int, end int, first_from int, first_to int, cluster long"), "extended")
-    wide = more.groupBy("key", "was", "cluster").agg(F.min("start").alias("from"), F.max("end").alias("to"))
-    kept = more.groupBy("cluster", F.col("first_key").alias("key")).agg(F.min("first_from").alias("from"), F.max("first_to").alias("to"))
-    kept = kept.join(first.select("cluster", F.col("o.start").alias("was")), "cluster").select("key", "was", "cluster", "from", "to")
-    every = found.withColumnRenamed("start", "was").join(wide.unionByName(kept), ["key", "was", "cluster"], "left")
-    return every.select("doc_id", "key", F.least("was", "from").alias("start"), F.greatest("end", "to").alias("end"), "n_words", "cluster", "removed")
+    wide = more.select("doc_id", "key", "start", "end", "cluster", F.lit(True).alias("removed"))
+    kept = more.groupBy("cluster", "first_key").agg(F.min("first_from").alias("start"), F.max("first_to").alias("end"))
+    kept = kept.select(F.lit(None).cast("long").alias("doc_id"), F.col("first_key").alias("key"), "start", "end", "cluster", F.lit(False).alias("removed"))
+    return found.select(*wide.columns, F.lit(True).alias("paragraph")).unionByName(wide.unionByName(kept).withColumn("paragraph", F.lit(False)))
 
 
 def spans(found: DataFrame) -> DataFrame:
-    """Spans of a document whose paragraphs overlap and are alike kept or removed: doc_id, start, end, n_paragraphs, the first cluster, removed."""
-    by = Window.partitionBy("key", "removed").orderBy("start", "end", "cluster")
+    """Spans of a document whose rows overlap and are alike kept or removed: doc_id, start, end, n_paragraphs, the first cluster, removed. Rows that come twice, from repeated documents, count once."""
+    by = Window.partitionBy("key", "removed").orderBy("start", "end", "cluster", "paragraph")
     before = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    marked = found.withColumn("new", F.coalesce(F.col("start") > before, F.lit(True)).cast("int"))
+    same = F.lag(F.struct("start", "end", "cluster", "paragraph")).over(by)
+    marked = found.withColumns({"new": F.coalesce(F.col("start") > before, F.lit(True)).cast("int"), "counts": F.col("paragraph") & ~F.coalesce(same == F.struct("start", "end", "cluster", "paragraph"), F.lit(False))})
     numbered = marked.withColumn("span", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    out = numbered.groupBy("key", "removed", "span").agg(F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_paragraphs"), F.min("cluster").alias("cluster"))
+    out = numbered.groupBy("key", "removed", "span").agg(F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.count_if("counts").alias("n_paragraphs"), F.min("cluster").alias("cluster"))
     return out.select("doc_id", "start", "end", "n_paragraphs", "cluster", "removed")
 
 
