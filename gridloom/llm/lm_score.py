@@ -6,10 +6,10 @@ task counts its own byte strings with NumPy, Spark adds the counts up. Escape pr
 the longer context has shown are left out of the shorter one. A text is followed by an end symbol that UTF-8 never holds
 and preceded by ORDER of them as context. Bytes that no context has shown share what is left evenly.
 
-Every node of the trie counts, however rare. The trie is a table dealt into PARTS parts by a hash of the NEAR newest symbols
-of a context: nodes with contexts of NEAR symbols or more, and the contexts they escape to down to that length, lie in one
-part. Only the nodes of shorter contexts are sent to all tasks, at most 256^NEAR of the longest. The distinct strings of each
-block of documents go to the parts, get their probabilities there and come back to the block.
+Every node of the trie counts, however rare. The trie is a table dealt into parts, the more the more text there is, by a
+hash of the NEAR newest symbols of a context: nodes with contexts of NEAR symbols or more, and the contexts they escape to
+down to that length, lie in one part. Only the nodes of shorter contexts are sent to all tasks, at most 256^NEAR of the
+longest. The distinct strings of each block of documents go to the parts, get their probabilities there and come back.
 
 Beside it stands a word-unigram base with add-one counts; see op2.
 
@@ -20,6 +20,7 @@ documents every byte has the same probability.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -35,7 +36,8 @@ from .kernel import LOWER, mix
 
 ORDER = 5
 MOST_NODES = 1 << 22
-PARTS = 256
+#: Parts of the trie, at least, and blocks of texts for which so many do: twice the blocks have twice the parts.
+PARTS, PART_BLOCKS = 256, 256
 NEAR = 2
 #: Grams in a row of the trie's table, at most.
 ROW_GRAMS = 1 << 20
@@ -185,11 +187,21 @@ def fitted(counts: DataFrame, order: int = ORDER, most_nodes: int = MOST_NODES)
     return Model(grams)
 
 
-PART = (mix(np.arange(1 << 8 * NEAR, dtype=U)) % U(PARTS)).astype(np.int64)
+def parts_for(blocks: int) -> int:
+    """Parts that keep what a task holds of the trie at about one size, at most one for each string of NEAR symbols."""
+    parts = PARTS
+    while parts * PART_BLOCKS < blocks * PARTS and parts < 1 << 8 * NEAR:
+        parts *= 2
+    return parts
 
 
-def part_of(grams: np.ndarray) -> np.ndarray:
-    return PART[(grams >> U(8)) & U(len(PART) - 1)]
+@functools.cache
+def part_table(parts: int) -> np.ndarray:
+    return (mix(np.arange(1 << 8 * NEAR, dtype=U)) % U(parts)).astype(np.int64)
+
+
+def part_of(grams: np.ndarray, parts: int) -> np.ndarray:
+    return part_table(parts)[(grams >> U(8)) & U((1 << 8 * NEAR) - 1)]
 
 
 def squeezed(values: np.ndarray) -> bytes:
@@ -229,17 +241,17 @@ def dictionary(column: pa.Array, learns: np.ndarray, order: int) -> tuple[np.nda
     return tally(np.concatenate(found), np.concatenate(counts))
 
 
-def gram_parts(held: DataFrame, order: int) -> DataFrame:
+def gram_parts(held: DataFrame, order: int, parts: int) -> DataFrame:
     """block, part, size, grams and counts: the distinct grams of each block by part, with their counts in learning documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 grams, counts = dictionary(batch.column("text")[i].values, batch.column("learns")[i].values.to_numpy(), order)
-                part = part_of(grams)
+                part = part_of(grams, parts)
                 by = np.argsort(part, kind="stable")
                 grams, counts = grams[by], counts[by]
-                ends = np.cumsum(np.bincount(part, minlength=PARTS))
+                ends = np.cumsum(np.bincount(part, minlength=parts))
                 own = [(p, b - a, stepped(grams[a:b]), squeezed(counts[a:b])) for p, (a, b) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())) if b > a]
                 p, size, g, n = zip(*own) if own else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column("block")[i].as_py()] * len(own), pa.int64()), pa.array(p, pa.int32()), pa.array(size, pa.int32()), pa.array(g, pa.binary()), pa.array(n, pa.binary())], ["block", "part", "size", "grams", "counts"])
@@ -347,7 +359,7 @@ def scores(value: Callable[[np.ndarray], np.ndarray], data: np.ndarray, offsets:
     return np.bincount(rows, each, len(offsets) - 1)
 
 
-def block_scores(held: DataFrame, values: DataFrame, order: int) -> DataFrame:
+def block_scores(held: DataFrame, values: DataFrame, order: int, parts: int) -> DataFrame:
     """block and score, the log10 probability of each of its documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,9 +367,9 @@ def block_scores(held: DataFrame, values: DataFrame, order: int) -> DataFrame:
             for i in range(batch.num_rows):
                 column = batch.column("text")[i].values
                 grams, _ = dictionary(column, np.zeros(len(column), np.int64), order)
-                part = part_of(grams)
+                part = part_of(grams, parts)
                 by = np.argsort(part, kind="stable")
-                bounds = np.r_[0, np.cumsum(np.bincount(part, minlength=PARTS))]
+                bounds = np.r_[0, np.cumsum(np.bincount(part, minlength=parts))]
                 value = np.full(len(grams), np.nan)
                 for x in batch.column("at")[i].as_py() or []:
                     own = by[bounds[x["part"]] : bounds[x["part"] + 1]]
@@ -382,9 +394,10 @@ def scored(docs: DataFrame, learning: F.Column, order: int = ORDER, size: int =
 
     kept = {"doc_id": "long", "learns": "long", "text": "binary", "n_words": "long"}
     held = written(blocks.build(own, read, kept, size, ("learns",)), "words")
-    grams = gram_parts(held, order)
+    parts = parts_for(held.count())
+    grams = gram_parts(held, order, parts)
     known = written(trie(grams), "trie")
-    score = written(block_scores(held, answered(grams, known, order), order), "scores")
+    score = written(block_scores(held, answered(grams, known, order), order, parts), "scores")
     counts = written(blocks.gathered(held.mapInArrow(learned, "part int, tokens binary, values binary")), "unigrams")
     words, kinds = counts.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     ends = own.where("learns = 1").count()

@@ -156,3 +156,11 @@ def test_rare_nodes_count_beyond_the_bound(spark):
     assert len(got) == len(rows)
     for i, t in [rows[0], *rare]:
         assert got[i] == pytest.approx(ppm(counts, t, lm_score.ORDER), abs=1e-5)
+
+
+def test_more_blocks_have_more_parts(spark, monkeypatch):
+    assert [lm_score.parts_for(n) for n in (0, 256, 257, 1024, 10**9)] == [256, 256, 512, 1024, 65536]
+    docs = frame(spark, [r for r in documents() if r[0] != 306])
+    few = plain((r["doc_id"], round(r["score"], 6)) for r in lm_score.op2(docs).collect())
+    monkeypatch.setattr(lm_score, "parts_for", lambda n: 4096)
+    assert plain((r["doc_id"], round(r["score"], 6)) for r in lm_score.op2(docs).collect()) == few
