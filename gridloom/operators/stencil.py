@@ -42,30 +42,30 @@ def high_gradient(df: DataFrame, field: str, nx: int, ny: int, order: int = 4, p
 
 
 def windowed_neighbours(df: DataFrame, grid: Grid, fields: list[str]) -> DataFrame:
-    """neighbours() of a uniform grid, where nw is the point straight above and ne has its values too. Rows may have gaps."""
+    """neighbours() of a uniform grid, where nw is the point straight above and ne has its values too. Rows may have gaps: a neighbour counts if its number is the next one."""
     row, column = Window.partitionBy("j").orderBy("i"), Window.partitionBy("i").orderBy("j")
-    whole = Window.partitionBy("j").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    n = grid.nx[0]
-    kept = ["i", "j", "x", "y", *fields]
-    point = F.struct(*kept)
-    first = {"_w": F.lag(point).over(row), "_e": F.lead(point).over(row)}
+    whole = row.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    n, dx, dy = grid.nx[0], grid.dx[0], grid.linear[1]
+    seen = {}
+    for side, number, window, find in (("w", "i", row, F.lag), ("e", "i", row, F.lead), ("n", "j", column, F.lag), ("s", "j", column, F.lead)):
+        seen |= {f"_{side}_{c}": find(c).over(window) for c in (number, *fields)}
     if grid.is_global:
-        first |= {"_first": F.first(point).over(whole), "_last": F.last(point).over(whole)}
-    out = df.withColumns(first).withColumns({"_n": F.lag(point).over(column), "_s": F.lead(point).over(column)})
-    at = {
-        "w": F.when(F.col("_w.i") == F.col("i") - 1, F.col("_w")),
-        "e": F.when(F.col("_e.i") == F.col("i") + 1, F.col("_e")),
-        "n": F.when(F.col("_n.j") == F.col("j") - 1, F.col("_n")),
-        "s": F.when(F.col("_s.j") == F.col("j") + 1, F.col("_s")),
-    }
-    if grid.is_global:
-        at["w"] = F.when(F.col("i") == 0, F.when(F.col("_last.i") == n - 1, F.col("_last"))).otherwise(at["w"])
-        at["e"] = F.when(F.col("i") == n - 1, F.when(F.col("_first.i") == 0, F.col("_first"))).otherwise(at["e"])
-    found = {f"{c}_{side}": at[side][c] for side in "we" for c in fields} | {f"x{side}": at[side]["x"] for side in "we"}
-    for r in "ns":
-        found |= {f"{c}_{r}{side}": at[r][c] for side in "we" for c in fields} | {f"y{r}": at[r]["y"]}
-        found |= {f"x{r}w": at[r]["x"], f"x{r}e": at[r]["x"] + grid.dx[0]}
-    return out.withColumns(found).drop("_w", "_e", "_n", "_s", "_first", "_last")
+        seen |= {f"_first_{c}": F.first(c).over(whole) for c in ("i", *fields)} | {f"_last_{c}": F.last(c).over(whole) for c in ("i", *fields)}
+    out = df.withColumns(seen)
+    there = {"w": F.col("_w_i") == F.col("i") - 1, "e": F.col("_e_i") == F.col("i") + 1, "n": F.col("_n_j") == F.col("j") - 1, "s": F.col("_s_j") == F.col("j") + 1}
+    value = lambda side, c: F.when(there[side], F.col(f"_{side}_{c}"))
+    around = {"w": (F.col("i") == 0, "_last_", n - 1), "e": (F.col("i") == n - 1, "_first_", 0)}
+    found = {}
+    for side, by in (("w", -dx), ("e", dx)):
+        first, other, number = around[side]
+        ends = grid.is_global
+        found |= {f"{c}_{side}": F.when(first, F.when(F.col(f"{other}i") == number, F.col(other + c))).otherwise(value(side, c)) if ends else value(side, c) for c in fields}
+        exists = F.when(first, F.col(f"{other}i") == number).otherwise(there[side]) if ends else there[side]
+        found[f"x{side}"] = F.when(exists, F.col("x") + by)
+    for r, by in (("n", -dy), ("s", dy)):
+        found |= {f"{c}_{r}{side}": value(r, c) for side in "we" for c in fields}
+        found |= {f"y{r}": F.when(there[r], F.col("y") + by), f"x{r}w": F.when(there[r], F.col("x")), f"x{r}e": F.when(there[r], F.col("x") + dx)}
+    return out.withColumns(found).drop(*seen)
 
 
 def neighbours(df: DataFrame, grid: Grid, fields: list[str]) -> DataFrame:
@@ -108,6 +108,10 @@ def _around(x: Column, x0: Column, grid: Grid) -> Column:
 def _arms(df: DataFrame, grid: Grid, f: str) -> tuple[dict[str, Column], dict[str, Column]]:
     """Values and positions of the four arms; those to north and south are interpolated between two points."""
     x0, y0 = F.col("x"), F.col("y")
+    if grid.linear is not None:
+        value = {"e": F.col(f"{f}_e"), "w": F.col(f"{f}_w"), "n": F.col(f"{f}_nw"), "s": F.col(f"{f}_sw")}
+        place = {"e": F.when(F.col("xe").isNotNull(), x0 + grid.dx[0]), "w": F.when(F.col("xw").isNotNull(), x0 - grid.dx[0]), "n": F.col("yn"), "s": F.col("ys")}
+        return _beyond_poles(value, place, grid, f)
     value, place = {"e": F.col(f"{f}_e"), "w": F.col(f"{f}_w")}, {"e": _around(F.col("xe"), x0, grid), "w": _around(F.col("xw"), x0, grid)}
     for r in ("n", "s"):
         a, b = _around(F.col(f"x{r}w"), x0, grid), _around(F.col(f"x{r}e"), x0, grid)
@@ -115,7 +119,13 @@ def _arms(df: DataFrame, grid: Grid, f: str) -> tuple[dict[str, Column], dict[st
         both = share * F.col(f"{f}_{r}w") + (1 - share) * F.col(f"{f}_{r}e")
         value[r] = F.when(share == 1, F.col(f"{f}_{r}w")).when(share == 0, F.col(f"{f}_{r}e")).otherwise(both)
         place[r] = F.col(f"y{r}")
-    if grid.is_global:  # beyond the poles
+    return _beyond_poles(value, place, grid, f)
+
+
+def _beyond_poles(value: dict[str, Column], place: dict[str, Column], grid: Grid, f: str) -> tuple[dict[str, Column], dict[str, Column]]:
+    """The arms with those over the poles of a global grid: the point's own value, mirrored."""
+    y0 = F.col("y")
+    if grid.is_global:
         place["n"] = F.coalesce(place["n"], F.when(F.col("j") == 0, 180.0 - y0))
         place["s"] = F.coalesce(place["s"], F.when(F.col("j") == grid.ny - 1, -180.0 - y0))
         for r, edge in (("n", 0), ("s", grid.ny - 1)):
@@ -144,6 +154,9 @@ def gradient(df: DataFrame, grid: Grid, fields: list[str]) -> DataFrame:
     bx, by = _scale(grid)
     for f in fields:
         value, place = _arms(near, grid, f)
+        # As columns, since each is used several times.
+        near = near.withColumns({f"_v{s}": c for s, c in value.items()} | {f"_p{s}": c for s, c in place.items()})
+        value, place = ({s: F.col(f"_{k}{s}") for s in "ewns"} for k in "vp")
         x0, y0, v0 = F.col("x"), F.col("y"), F.col(f)
 
         def side(a, b, origin, scale, value=value, place=place, v0=v0):
@@ -154,7 +167,7 @@ def gradient(df: DataFrame, grid: Grid, fields: list[str]) -> DataFrame:
             slope = F.when(apart != 0, (va - vb) / F.when(apart != 0, apart))
             return F.when(v0.isNotNull(), F.coalesce(slope, F.lit(0.0))).otherwise(slope)
 
-        near = near.withColumns({f"{f}_dx": side("e", "w", x0, bx), f"{f}_dy": side("n", "s", y0, by)})
+        near = near.withColumns({f"{f}_dx": side("e", "w", x0, bx), f"{f}_dy": side("n", "s", y0, by)}).drop(*[f"_{k}{s}" for k in "vp" for s in "ewns"])
     return near.select(*df.columns, *[f"{f}_d{a}" for f in fields for a in "xy"])
 
 
