@@ -34,12 +34,12 @@ def powers(base: int, n: int) -> np.ndarray:
     return held[:n]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and row numbers of all words, in text order."""
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and row numbers of all words, in text order. space: which bytes stand between words."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    inside = ~SPACE[data]
+    inside = ~space[data]
     before = np.empty(len(data), bool)
     before[0], before[1:] = False, inside[:-1]
     before[offsets[:-1][offsets[:-1] < len(data)]] = False

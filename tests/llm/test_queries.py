@@ -21,7 +21,7 @@ def plain(rows):
 @pytest.mark.parametrize("name", list(SQL))
 def test_sql(spark, sf_dir, name):
     db = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         db.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     run = db.execute(SQL[name])
     columns = [d[0] for d in run.description]
@@ -31,7 +31,7 @@ def test_sql(spark, sf_dir, name):
 
 
 def test_every_operator_has_a_query():
-    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14))
 
 
 def test_pipeline(spark, sf_dir):
