@@ -1,7 +1,8 @@
 """Regridding: aggregates over the source points of each target cell, and weighted means over four corners.
 
 Missing values are nulls: sum, avg, min and max skip them and give null for a cell without any, as folds
-with a sentinel do. Aggregates are partial before the shuffle, so at most a row for each cell and task travels.
+with a sentinel do. Aggregates are partial before the shuffle, so at most a row for each cell and task travels. Folds and lists
+in source order are in folds, sums whose bits do not depend on the partitioning in exact.
 """
 
 from __future__ import annotations
@@ -25,13 +26,6 @@ def regrid(mapped: DataFrame, fields: dict[str, str | tuple[str, ...]], key: str
     return mapped.groupBy(key).agg(*out)
 
 
-def folded(mapped: DataFrame, field: str, seed: Column, merge, finish, key: str = "iglo2", order: str = "iglo1") -> DataFrame:
-    """AG-REDUCE: a fold over the values of each target in the order of their source index; the same bits at any parallelism."""
-    values = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(field).alias("v")))), lambda x: x["v"])
-    present = F.filter(values, lambda v: v.isNotNull())
-    return mapped.groupBy(key).agg(F.aggregate(present, seed, merge, finish).alias(field))
-
-
 def counts(mapped: DataFrame, key: str = "iglo2") -> DataFrame:
     """AG-CNT: cnt and off, the number of earlier targets' source points, of each target.
 
@@ -55,11 +49,6 @@ def missing_targets(targets: DataFrame, mapped: DataFrame) -> DataFrame:
     return targets.join(mapped.select(F.col("iglo2").alias("iglo")), "iglo", "left_anti").agg(F.count("*").alias("n_missing"))
 
 
-def lists(mapped: DataFrame, fields: list[str], key: str = "iglo2", order: str = "iglo1") -> DataFrame:
-    """AG-LIST: the source rows of each target as an array of structs sorted by source index."""
-    return mapped.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *fields))).alias("values"))
-
-
 def interpolate4(mapping: DataFrame, source: DataFrame, fields: list[str], undef: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
     """ST-APPLY: weighted mean of each field over the corners; with undef, over those that have a value, null if their weights are 0.
 

@@ -1,7 +1,7 @@
 """Neighbour operators on grids: gradients, half differences, high-order derivatives, rotation of vectors.
 
 On uniform grids rows and columns are windows: a point's neighbours come by two shuffles of a row for each point. On reduced
-grids they are computed keys, and their values come by one equi-join and one aggregate, which works on any grid.
+and Gaussian grids bands of rows with a halo are partitions, and neighbours are positions in them: one shuffle (see bands).
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import wrapped
 from ..plans.grids import Grid
-from .mapping import _geometry
+from . import bands
 
 #: ST-HIGH: fixed coefficients of the central derivative of order 2k.
 HIGH = {1: (1 / 2,), 2: (2 / 3, -1 / 12), 3: (3 / 4, -3 / 20, 1 / 60), 4: (4 / 5, -1 / 5, 4 / 105, -1 / 280)}
@@ -72,32 +72,8 @@ def neighbours(df: DataFrame, grid: Grid, fields: list[str]) -> DataFrame:
     """df with, for each field, its values at w, e, nw, ne, sw and se, and with xw, xe, xnw and so on, yn and ys.
 
     n is the row before and s the row after; nw and ne are the points of that row on either side of x. A neighbour outside
-    the grid is null. On uniform grids they are windows; else keys are computed, and values come by one join and one aggregate."""
-    if grid.linear is not None:
-        return windowed_neighbours(df, grid, fields)
-    g = _geometry(df, grid, "j", "_0")
-    g = g.withColumn("_jn", F.when(F.col("j") > 0, F.col("j") - 1)).withColumn("_js", F.when(F.col("j") < grid.ny - 1, F.col("j") + 1))
-    g = _geometry(_geometry(g, grid, "_jn", "_n"), grid, "_js", "_s")
-
-    def key(row, at):
-        nx, off = F.col(f"_{row}nx"), F.col(f"_{row}off")
-        i = F.pmod(at, nx) if grid.is_global else F.when(at.between(0, nx - 1), at)
-        return off + i
-
-    west = {r: F.floor((F.col("x") - F.col(f"_{r}xmin")) / F.col(f"_{r}dx")) for r in ("n", "s")}
-    places = {"w": key("0", F.col("i") - 1), "e": key("0", F.col("i") + 1)}
-    for r in ("n", "s"):
-        row = F.col(f"_j{r}").isNotNull()
-        places |= {f"{r}w": F.when(row, key(r, west[r])), f"{r}e": F.when(row, key(r, west[r] + 1))}
-    asked = F.array(*[F.struct(F.lit(name).alias("side"), k.alias("other")) for name, k in places.items()])
-    each = g.select("iglo", F.inline(asked)).where("other is not null")
-    values = df.select(F.col("iglo").alias("other"), "x", "y", *fields)
-    found = each.join(values, "other").groupBy("iglo").agg(
-        *[F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}_{s}") for s in places for c in ("x", *fields)],
-        *[F.max(F.when(F.col("side").startswith(r), F.col("y"))).alias(f"y{r}") for r in ("n", "s")],
-    )
-    out = df.join(found, "iglo", "left")
-    return out.withColumnsRenamed({f"x_{s}": f"x{s}" for s in places})
+    the grid is null. On uniform grids they are windows, else bands of rows."""
+    return windowed_neighbours(df, grid, fields) if grid.linear is not None else bands.neighbours(df, grid, fields)
 
 
 def _around(x: Column, x0: Column, grid: Grid) -> Column:

@@ -6,14 +6,16 @@ Source points come from lineitem by integer arithmetic on a 360 by 180 grid of c
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fields as fx
 from ..functions import geometry as geo
-from ..operators import covers, mapping, physio, regrid, stencil
+from ..operators import covers, exact, folds, kept, mapping, physio, regrid, stencil
 from ..sources.rasters import unit_sphere
 from . import grids, pipelines
 
@@ -31,7 +33,7 @@ SRC = f"""src AS (SELECT k AS iglo1, k % {NX} AS i, (k // {NX}) % {NY} AS j, 0.5
 CELL = f"""cell AS (SELECT *, j2 * {TX} + i2 AS iglo2 FROM (SELECT *, CAST(greatest(0, least({TY - 1}, floor((lat - 85.0) / -10.0 + 0.5))) AS BIGINT) AS j2,
   CAST(CASE WHEN lon >= 5.0 THEN floor((lon - 5.0) / 10.0 + 0.5) ELSE ceil((lon - 5.0) / 10.0 - 0.5) END AS BIGINT) % {TX} AS i2 FROM src))"""
 FIELD = f"""field AS (SELECT r.iglo, CAST(r.iglo // {TX} AS INTEGER) AS j, CAST(r.iglo % {TX} AS INTEGER) AS i, 5.0 + 10.0 * (r.iglo % {TX}) AS x, 85.0 - 10.0 * (r.iglo // {TX}) AS y, v
-  FROM (SELECT unnest(range(0, {TX * TY})) AS iglo) r LEFT JOIN (SELECT iglo2, avg(zs) AS v FROM cell WHERE iglo2 % 13 <> 5 GROUP BY iglo2) m ON r.iglo = m.iglo2)"""
+  FROM (SELECT unnest(range(0, {TX * TY})) AS iglo) r LEFT JOIN (SELECT iglo2, CASE WHEN count(zs) % 13 <> 5 THEN avg(zs) END AS v FROM cell GROUP BY iglo2) m ON r.iglo = m.iglo2)"""
 CLASSES = """classes AS (SELECT CAST(c AS INTEGER) AS cover, (c % 5) / 10.0 AS sea, (c % 3) / 10.0 AS water, (c % 2) / 10.0 AS town, 1.0 - (c % 5) / 10.0 - (c % 3) / 10.0 - (c % 2) / 10.0 AS nature FROM (SELECT unnest(range(1, 257)) AS c))"""
 
 
@@ -65,9 +67,14 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.in_domain(mapping.cell_of(source_points(spark, sf_dir), TARGET))
 
 
+def gappy(c: str) -> Column:
+    """The mean of a cell, missing where the number of values leaves 5 when divided by 13."""
+    return F.when(F.count(c) % 13 != 5, F.avg(c))
+
+
 def field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A field with gaps on the target grid: one row for each point."""
-    means = cells(spark, sf_dir).where("iglo2 % 13 <> 5").groupBy(F.col("iglo2").alias("iglo")).agg(F.avg("zs").alias("v"))
+    """A field with gaps on the target grid: one row for each point; cells with some numbers of values have none."""
+    means = cells(spark, sf_dir).groupBy(F.col("iglo2").alias("iglo")).agg(gappy("zs").alias("v"))
     return TARGET.points(spark).join(means, "iglo", "left")
 
 
@@ -120,23 +127,69 @@ def ag_cnt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regrid.counts(cells(spark, sf_dir))
 
 
-@query(f"WITH {SRC}, {CELL}, keep AS (SELECT iglo2 FROM cell WHERE iglo2 % 13 <> 5) SELECT count(*) AS n_missing FROM (SELECT unnest(range(0, {TX * TY})) AS iglo) WHERE iglo NOT IN (SELECT iglo2 FROM keep)")
+@query(f"WITH {SRC} SELECT count(*) AS n_missing FROM (SELECT unnest(range(0, {NX * NY})) AS iglo) WHERE iglo NOT IN (SELECT j * {NX} + i FROM src)")
 def ag_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regrid.missing_targets(TARGET.points(spark), cells(spark, sf_dir).where("iglo2 % 13 <> 5"))
+    """AG-MISS: points of the fine grid that no source point falls on."""
+    found = mapping.in_domain(mapping.cell_of(source_points(spark, sf_dir), SOURCE))
+    return regrid.missing_targets(SOURCE.points(spark), found)
 
 
 @query(f"WITH {SRC}, {CELL} SELECT iglo2, count(*) AS n, string_agg(CAST(iglo1 AS VARCHAR) || '=' || CAST(cover AS VARCHAR), ',' ORDER BY iglo1, cover) AS \"list\" FROM cell GROUP BY iglo2")
 def ag_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG-LIST, SO-KEYS: source values of each target in source order."""
-    found = regrid.lists(cells(spark, sf_dir), ["cover"])
-    return found.select("iglo2", F.size("values").cast("long").alias("n"), F.array_join(F.transform("values", lambda x: F.concat_ws("=", x["iglo1"].cast("string"), x["cover"].cast("string"))), ",").alias("list"))
+    """AG-LIST, SO-KEYS: source values of each target in source order, chunks put end to end as text."""
+    found = folds.lists(cells(spark, sf_dir), ["cover"], span=CHUNK)
+    text = F.array_join(F.transform("values", lambda x: F.concat_ws("=", x["iglo1"].cast("string"), x["cover"].cast("string"))), ",")
+    each = found.groupBy("iglo2").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("chunk", text.alias("text")))).alias("texts"))
+    return each.select("iglo2", "n", F.array_join(F.transform("texts", lambda x: x["text"]), ",").alias("list"))
+
+
+#: Source numbers of a chunk in the queries, so that a target has several.
+CHUNK = 4096
+
+
+@query(f"""WITH {SRC}, {CELL}, c AS (SELECT iglo2, CAST(iglo1 // {CHUNK} AS BIGINT) AS chunk, count(*) AS n, min(iglo1) AS first, sum(iglo1 * cover) AS mark, max(iglo1) AS last FROM cell GROUP BY 1, 2)
+  SELECT iglo2, chunk, n, CAST(sum(n) OVER (PARTITION BY iglo2 ORDER BY chunk) - n AS BIGINT) AS at, first, last, CAST(mark AS BIGINT) AS mark FROM c""")
+def ag_list_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG-LIST as compressed rows: chunks of bounded size with their offset in the target's list."""
+    found = folds.lists(cells(spark, sf_dir), ["cover"], span=CHUNK)
+    first, last = F.element_at("values", 1)["iglo1"], F.element_at("values", -1)["iglo1"]
+    mark = F.aggregate("values", F.lit(0).cast("long"), lambda t, x: t + x["iglo1"] * x["cover"])
+    return found.select("iglo2", "chunk", "n", "at", first.alias("first"), last.alias("last"), mark.alias("mark"))
+
+
+ROOT = folds.Fold(np.add, 0.0, before=np.square, finish=lambda n, total: np.sqrt(total), parted=True)
 
 
 @query(f"WITH {SRC}, {CELL} SELECT iglo2, round(sqrt(sum(zs * zs)), 4) AS zs FROM cell GROUP BY iglo2")
 def ag_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG-REDUCE: a fold of one's own, the root of the sum of squares, in source order."""
-    out = regrid.folded(cells(spark, sf_dir), "zs", F.lit(None).cast("double"), lambda s, v: F.coalesce(s, F.lit(0.0)) + v * v, lambda s: F.sqrt(s))
-    return out.withColumn("zs", F.round("zs", 4))
+    return folds.folded(cells(spark, sf_dir), "zs", ROOT, span=CHUNK).withColumn("zs", F.round("zs", 4))
+
+
+REMAINDER = folds.Fold(np.fmod, 1e9, before=lambda v: np.floor(v * 4 + 0.5))
+
+
+@query(f"WITH {SRC}, {CELL} SELECT iglo2, list_reduce(list_prepend(1e9, list(floor(zs * 4 + 0.5) ORDER BY iglo1, zs)), lambda a, x: a % x) AS zs FROM cell WHERE zs IS NOT NULL GROUP BY iglo2")
+def ag_reduce_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG-REDUCE whose result depends on the order: the remainder of the remainders; the state travels from batch to batch."""
+    return folds.folded(cells(spark, sf_dir), "zs", REMAINDER).where("zs is not null")
+
+
+def _nearest(total: str, n: str, digits: int) -> str:
+    """SQL for the double nearest to a non-negative sum of 2^-digits, divided by n, with ties to even: all in whole numbers."""
+    q, rest = f"(({total}) // ({n}))", f"(({total}) % ({n}))"
+    shift = f"greatest(0, CAST(floor(log2(CAST({q} AS DOUBLE))) AS INTEGER) - 52)"
+    unit = f"(1::HUGEINT << {shift})"
+    low = f"({q} % {unit})"
+    up = f"CASE WHEN 2 * {low} > {unit} OR 2 * {low} = {unit} AND ({rest} > 0 OR ({q} // {unit}) % 2 = 1) THEN 1 ELSE 0 END"
+    return f"CASE WHEN {total} = 0 THEN 0.0 ELSE CAST({q} // {unit} + {up} AS DOUBLE) * pow(2.0, {shift} - {digits}) END"
+
+
+@query(f"""WITH {SRC}, {CELL}, t AS (SELECT iglo2, sum(CAST(zs * pow(2.0, 52) AS HUGEINT)) AS a, count(zs) AS n, sum(CAST(clay * pow(2.0, 62) AS HUGEINT)) AS b, count(clay) AS m FROM cell GROUP BY iglo2)
+  SELECT iglo2, {_nearest('a', '1', 52)} AS zs_sum, {_nearest('a', 'n', 52)} AS zs_avg, n AS zs_cnt, {_nearest('b', '1', 62)} AS clay_sum, {_nearest('b', 'm', 62)} AS clay_avg, m AS clay_cnt FROM t WHERE n > 0""")
+def ag_sum_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG-SUM, AG-AVG with one rounding: the same bits whatever the partitioning, compared without rounding."""
+    return exact.sums(cells(spark, sf_dir), ["zs", "clay"]).where("zs_cnt > 0")
 
 
 COVER = f"{SRC}, {CELL}, n AS (SELECT iglo2, cover, count(*) AS n FROM cell GROUP BY iglo2, cover), frac AS (SELECT iglo2, cover, n, n / CAST(sum(n) OVER (PARTITION BY iglo2) AS DOUBLE) AS frac FROM n)"
@@ -165,9 +218,20 @@ def jn_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("iglo2", *[r6(c).alias(c) for c in names])
 
 
-@query(f"WITH {CLASSES} SELECT cover, round(sea, 6) AS sea, 0.0 AS water, 0.0 AS town, round(nature + water + town, 6) AS nature FROM classes")
+MEASURED = f"""measured AS (SELECT *, 1.0 - sea - water - town AS nature FROM (SELECT c AS cover, coalesce(sea, 0.0) AS sea, coalesce(water, 0.0) AS water, coalesce(town, 0.0) AS town FROM (SELECT CAST(unnest(range(1, 257)) AS INTEGER) AS c) r
+  LEFT JOIN (SELECT cover, avg(clay) AS sea, avg(sand) AS water, max(clay) * max(sand) AS town FROM src GROUP BY cover) m ON m.cover = r.c))"""
+
+
+def measured_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All classes with shares made of the source points that have them."""
+    found = source_points(spark, sf_dir).groupBy("cover").agg(F.avg("clay").alias("sea"), F.avg("sand").alias("water"), (F.max("clay") * F.max("sand")).alias("town"))
+    every = spark.range(1, 257).select(F.col("id").cast("int").alias("cover")).join(found, "cover", "left").fillna(0.0, ["sea", "water", "town"])
+    return every.withColumn("nature", 1.0 - F.col("sea") - F.col("water") - F.col("town"))
+
+
+@query(f"WITH {SRC}, {MEASURED} SELECT cover, round(sea, 6) AS sea, 0.0 AS water, 0.0 AS town, round(nature + water + town, 6) AS nature FROM measured")
 def prj_resol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = covers.resolved(classes(spark), garden=False, water=False, town=False)
+    out = covers.resolved(measured_classes(spark, sf_dir), garden=False, water=False, town=False)
     return out.select("cover", *[r6(c).alias(c) for c in ("sea", "water", "town", "nature")])
 
 
@@ -277,6 +341,58 @@ def st_half(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("iglo", *[r6(f"v_{n}").alias(f"v_{n}") for n in ("xp", "xm", "yp", "ym")], *[F.round(f"d{n}", 9).alias(f"d{n}") for n in ("xp", "xm", "yp", "ym")])
 
 
+def gauss_rows() -> str:
+    """SQL rows (j, y, lo, hi, nx, dx, off) of GAUSS."""
+    y, off, rows = GAUSS.y, 0, []
+    mids = [(a + b) / 2 for a, b in zip(y, y[1:])]
+    for j, n in enumerate(GAUSS.nx):
+        hi, lo = ("1e9" if j == 0 else repr(mids[j - 1])), ("-1e9" if j == len(y) - 1 else repr(mids[j]))
+        rows.append(f"({j}, {y[j]!r}::DOUBLE, {lo}::DOUBLE, {hi}::DOUBLE, {n}, {360.0 / n!r}::DOUBLE, {off})")
+        off += n
+    return ", ".join(rows)
+
+
+def _near(x: str) -> str:
+    """x within half a turn of s.x."""
+    turned = f"(180.0 - ({x} - s.x))"
+    return f"(s.x + (180.0 - CASE WHEN {turned} % 360.0 < 0 THEN ({turned} % 360.0 + 360.0) % 360.0 ELSE {turned} % 360.0 END))"
+
+
+def _between(r: str) -> str:
+    """The value of a row at s.x between two of its points."""
+    a, b = _near(f"{r}w.x"), _near(f"{r}e.x")
+    share = f"(CASE WHEN {a} <> {b} THEN ({b} - s.x) / ({b} - {a}) ELSE 1.0 END)"
+    return f"CASE WHEN {share} = 1 THEN {r}w.v WHEN {share} = 0 THEN {r}e.v ELSE {share} * {r}w.v + (1 - {share}) * {r}e.v END"
+
+
+GARMS = f"""{SRC}, gr(j, y, lo, hi, nx, dx, off) AS (VALUES {gauss_rows()}), gcell AS (SELECT CAST(off + CAST(floor(lon / dx + 0.5) AS BIGINT) % nx AS BIGINT) AS iglo, zs FROM src JOIN gr ON lat > lo AND lat <= hi),
+  gfield AS (SELECT p.*, m.v FROM (SELECT CAST(off + i AS BIGINT) AS iglo, j, i, i * dx AS x, y, nx, dx FROM (SELECT *, unnest(range(0, nx)) AS i FROM gr)) p LEFT JOIN (SELECT iglo, CASE WHEN count(zs) % 13 <> 5 THEN avg(zs) END AS v FROM gcell GROUP BY iglo) m USING (iglo)),
+  arms AS (SELECT s.*, e.v AS ve, w.v AS vw, CASE WHEN s.j = 0 THEN s.v ELSE {_between('n')} END AS vn, CASE WHEN s.j = {GAUSS.ny - 1} THEN s.v ELSE {_between('o')} END AS vs, CASE WHEN s.j = 0 THEN 180.0 - s.y ELSE nr.y END AS yn, CASE WHEN s.j = {GAUSS.ny - 1} THEN -180.0 - s.y ELSE orow.y END AS ys, cos(radians(s.y)) * radians(1.0) AS bx, radians(1.0) AS by_
+  FROM gfield s JOIN gfield e ON e.j = s.j AND e.i = (s.i + 1) % s.nx JOIN gfield w ON w.j = s.j AND w.i = (s.i + s.nx - 1) % s.nx LEFT JOIN gr nr ON nr.j = s.j - 1 LEFT JOIN gr orow ON orow.j = s.j + 1
+  LEFT JOIN gfield nw ON nw.j = nr.j AND nw.i = CAST(floor(s.x / nr.dx) AS BIGINT) % nr.nx LEFT JOIN gfield ne ON ne.j = nr.j AND ne.i = (CAST(floor(s.x / nr.dx) AS BIGINT) + 1) % nr.nx
+  LEFT JOIN gfield ow ON ow.j = orow.j AND ow.i = CAST(floor(s.x / orow.dx) AS BIGINT) % orow.nx LEFT JOIN gfield oe ON oe.j = orow.j AND oe.i = (CAST(floor(s.x / orow.dx) AS BIGINT) + 1) % orow.nx)"""
+
+
+def gauss_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field with gaps on the reduced Gaussian grid."""
+    c = mapping.in_domain(mapping.cell_of(source_points(spark, sf_dir), GAUSS))
+    return GAUSS.points(spark).join(c.groupBy(F.col("iglo2").alias("iglo")).agg(gappy("zs").alias("v")), "iglo", "left")
+
+
+@query(f"WITH {GARMS} SELECT iglo, round({_slope('ve', 'vw', 'x + dx', 'x - dx', 'x', 'bx')}, 4) AS v_dx, round({_slope('vn', 'vs', 'yn', 'ys', 'y', 'by_')}, 4) AS v_dy FROM arms")
+def st_grad_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-GRAD, JN-HALO on rows of unequal size: bands of rows with their halo."""
+    out = stencil.gradient(gauss_field(spark, sf_dir), GAUSS, ["v"])
+    return out.select("iglo", F.round("v_dx", 4).alias("v_dx"), F.round("v_dy", 4).alias("v_dy"))
+
+
+@query(f"WITH {GARMS} SELECT iglo, {', '.join(f'round(CASE WHEN v IS NOT NULL THEN coalesce({a} - v, 0.0) END, 6) AS v_{n}' for n, a in (('xp', 've'), ('xm', 'vw'), ('yp', 'vn'), ('ym', 'vs')))}, round(bx * dx, 9) AS dxp, round(-bx * dx, 9) AS dxm, round(by_ * (yn - y), 9) AS dyp, round(by_ * (ys - y), 9) AS dym FROM arms")
+def st_half_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-HALF on rows of unequal size."""
+    out = stencil.half_differences(gauss_field(spark, sf_dir), GAUSS, ["v"])
+    return out.select("iglo", *[r6(f"v_{n}").alias(f"v_{n}") for n in ("xp", "xm", "yp", "ym")], *[F.round(f"d{n}", 9).alias(f"d{n}") for n in ("xp", "xm", "yp", "ym")])
+
+
 def mapping_sql(pt: str) -> str:
     """CTE w4 (iglo2, iglo1, w): the 4-point mapping from the target grid's points to points (iglo, plon, plat, qlon); qlon: longitude of the point's neighbour on its row."""
     xyz = lambda p: f"cos(radians({p}lat)) * cos(radians({p}lon)) AS {p}x, cos(radians({p}lat)) * sin(radians({p}lon)) AS {p}y, sin(radians({p}lat)) AS {p}z"
@@ -324,15 +440,29 @@ def st_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regrid.interpolate4(m, field(spark, sf_dir), ["v"]).select("iglo2", F.round("v", 5).alias("v"))
 
 
+@query(f"""WITH {SRC}, {CELL}, {FIELD}, {mapping_sql(FINE_POINTS)}, m AS (SELECT iglo, mm, v + 10 * mm AS v FROM field, (SELECT unnest(range(0, 3)) AS mm))
+  SELECT iglo2, CAST(mm AS INTEGER) AS \"month\", round({mean4_sql('v')}, 5) AS v FROM w4 JOIN m ON m.iglo = w4.iglo1 GROUP BY iglo2, mm""")
+def st_apply_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-APPLY of a mapping that is stored once and applied twice: to the field, then to two months at a time."""
+    made = mapping.mapping4(FINE.points(spark), TARGET, mapping.resolution(FINE, F.col("j"), F.col("i")))
+    stored = kept.build(made, f"gridloom_mapping_{uuid.uuid4().hex}", buckets=4, side=128)
+    f = field(spark, sf_dir)
+    year = kept.apply(stored, f, ["v"]).select("iglo2", F.lit(0).alias("month"), "v")
+    each = f.withColumn("month", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("v", F.col("v") + 10 * F.col("month"))
+    months = kept.apply(stored, each, ["v"], by=("month",)).select("iglo2", "month", "v")
+    return year.unionByName(months).withColumn("v", F.round("v", 5))
+
+
 _TURN = "CASE WHEN lon - {0} > 180 THEN lon - {0} - 360 ELSE lon - {0} END * radians(1.0) * sin(radians(46.2))"
 
 
-@query(f"""WITH t AS (SELECT iglo, 5.0 + 10.0 * (iglo % 36) AS lon, 1.0 * iglo AS u, 2.0 + iglo AS v FROM (SELECT unnest(range(0, {TX * TY})) AS iglo)), g AS (SELECT iglo, u, v, {_TURN.format(2.0)} AS a, {_TURN.format(30.0)} AS b FROM t),
+@query(f"""WITH {SRC}, {CELL}, t AS (SELECT iglo2 AS iglo, 5.0 + 10.0 * (iglo2 % {TX}) AS lon, avg(zs) / 1000 AS u, avg(clay) * 100 AS v FROM cell GROUP BY iglo2), g AS (SELECT iglo, u, v, {_TURN.format(2.0)} AS a, {_TURN.format(30.0)} AS b FROM t),
   e AS (SELECT *, u * cos(a) + v * sin(a) AS east, v * cos(a) - u * sin(a) AS north FROM g) SELECT iglo, round(east, 6) AS east, round(north, 6) AS north, round(east * cos(b) - north * sin(b), 6) AS u, round(east * sin(b) + north * cos(b), 6) AS v FROM e""")
 def st_rot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST-ROT: from one Lambert grid's axes to east and north, and to another's axes."""
     a, b = (grids.lambert(8, 8, 5e4, 5e4, 8, 8, 46.2, 46.2, 46.2, lon) for lon in (2.0, 30.0))
-    p = TARGET.points(spark).withColumns({"u": 1.0 * F.col("iglo"), "v": 2.0 + F.col("iglo"), "east": 1.0 * F.col("iglo"), "north": 2.0 + F.col("iglo")})
+    means = cells(spark, sf_dir).groupBy(F.col("iglo2").alias("iglo")).agg((F.avg("zs") / 1000).alias("u"), (F.avg("clay") * 100).alias("v"))
+    p = TARGET.points(spark).join(means, "iglo").withColumns({"east": F.col("u"), "north": F.col("v")})
     out = stencil.rotate(stencil.rotate(p, [("east", "north")], a), [("u", "v")], a, b)
     return out.select("iglo", *[r6(c).alias(c) for c in ("east", "north", "u", "v")])
 
@@ -470,19 +600,30 @@ def prj_xyz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_points(spark, sf_dir).select("iglo1", *[F.round(c, 9).alias(n) for n, c in zip("xyz", p)], F.round(geo.angle(p, e), 7).alias("angle"), F.round(geo.norm(geo.cross(e, p)), 9).alias("cross_norm"))
 
 
-@query(f"WITH t AS (SELECT iglo, 5.0 + 10.0 * (iglo % 36) AS lon, 85.0 - 10.0 * (iglo // 36) AS lat FROM (SELECT unnest(range(0, 648)) AS iglo)) SELECT iglo, round(cos(radians(lat)) * cos(radians(lon)), 9) AS fx, round(-cos(radians(lat)) * sin(radians(lon)) * {math.pi / 180!r}, 9) AS fx_dlon, round(cos(radians(lat)) * {math.pi / 180!r}, 9) AS fz_dlat, round(pow(lon * (360 - lon) * (lat + 90) * (90 - lat), 2) / pow(CAST(64800 AS DOUBLE), 4), 9) AS bump FROM t")
+@query(f"WITH {SRC} SELECT iglo1, round(cos(radians(lat)) * cos(radians(lon)), 9) AS fx, round(-cos(radians(lat)) * sin(radians(lon)) * {math.pi / 180!r}, 9) AS fx_dlon, round(cos(radians(lat)) * {math.pi / 180!r}, 9) AS fz_dlat, round(pow(lon * (360 - lon) * (lat + 90) * (90 - lat), 2) / pow(CAST(64800 AS DOUBLE), 4), 9) AS bump FROM src")
 def src_synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-SYN-XYZ, SRC-SYN-BUMP."""
-    p = unit_sphere(TARGET.points(spark))
-    return p.select("iglo", *[F.round(c, 9).alias(c) for c in ("fx", "fx_dlon", "fz_dlat")], F.round(geo.bump(F.col("lon"), F.col("lat"), 0.0, 360.0, -90.0, 90.0), 9).alias("bump"))
+    """SRC-SYN-XYZ, SRC-SYN-BUMP at the source points."""
+    p = unit_sphere(source_points(spark, sf_dir))
+    return p.select("iglo1", *[F.round(c, 9).alias(c) for c in ("fx", "fx_dlon", "fz_dlat")], F.round(geo.bump(F.col("lon"), F.col("lat"), 0.0, 360.0, -90.0, 90.0), 9).alias("bump"))
+
+
+def lag_sql(lag: float) -> str:
+    """What the month d months before adds, as SQL of d: the year's harmonics damped and turned one by one."""
+    waves = " + ".join(f"2 * exp(-{lag!r} * sqrt({k})) * cos(2 * pi() * {k} * d / 12 - {lag!r} * sqrt({k}))" for k in range(1, 6))
+    return f"(1 + {waves} + exp(-{lag!r} * sqrt(6)) * cos({lag!r} * sqrt(6)) * cos(pi() * d)) / 12"
 
 
-@query("WITH m AS (SELECT user_id % 36 AS iglo, CAST(month(ts) AS INTEGER) AS \"month\", avg(value) AS v FROM events GROUP BY 1, 2) SELECT iglo, \"month\", round(v, 6) AS v, round(0.5 * v + 0.5 * coalesce(lag(v) OVER (PARTITION BY iglo ORDER BY \"month\"), max(CASE WHEN \"month\" = 12 THEN v END) OVER (PARTITION BY iglo)), 6) AS v_lagged FROM m")
+@query(f"""WITH m AS (SELECT o_custkey % 36 AS iglo, CAST(month(o_orderdate) AS INTEGER) AS "month", avg(o_totalprice) AS v FROM orders GROUP BY 1, 2),
+  p AS (SELECT a.iglo, a."month", a.v, b.v AS other, (a."month" - b."month" + 12) % 12 AS d FROM m a JOIN m b ON a.iglo = b.iglo)
+  SELECT iglo, "month", round(any_value(v), 6) AS v, CASE WHEN count(*) = 12 THEN round(sum(other * {lag_sql(pipelines.TEMPERATURE_LAG)}), 5) END AS surface, CASE WHEN count(*) = 12 THEN round(sum(other * {lag_sql(pipelines.MOISTURE_LAG)}), 5) END AS moisture FROM p GROUP BY iglo, "month\"""")
 def prj_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ-LAG on months of the events."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    m = e.groupBy((F.col("user_id") % 36).alias("iglo"), F.month("ts").alias("month")).agg(F.avg("value").alias("v"))
-    return pipelines.lagged_cycle(m, "v").select("iglo", "month", r6("v").alias("v"), r6("v_lagged").alias("v_lagged"))
+    """PRJ-LAG: the months of the orders, later by the lags of temperature and of moisture."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    m = o.groupBy((F.col("o_custkey") % 36).alias("iglo"), F.month("o_orderdate").alias("month")).agg(F.avg("o_totalprice").alias("v"))
+    both = m
+    for name, lag in (("surface", pipelines.TEMPERATURE_LAG), ("moisture", pipelines.MOISTURE_LAG)):
+        both = pipelines.lagged_cycle(both, "v", lag).withColumnRenamed("v_lagged", name)
+    return both.select("iglo", "month", r6("v").alias("v"), F.round("surface", 5).alias("surface"), F.round("moisture", 5).alias("moisture"))
 
 
 @query(_weights_sql(gauss_points()).replace("SELECT iglo2, round", "SELECT iglo2 AS iglo, round"))

@@ -14,7 +14,7 @@ from ..operators import covers, physio
 from ..operators.mapping import mapping4, resolution
 from ..operators.regrid import interpolate4, regrid
 from .grids import Grid
-from .pipelines import lagged_cycle
+from .pipelines import MOISTURE_LAG, TEMPERATURE_LAG, lagged_cycle
 
 #: Fall of temperature with height (K/m) by gravity, and the share from which a point counts as land or sea.
 LAPSE, HALF = 6.5e-3 / fx.GRAVITY, 0.5
@@ -67,12 +67,12 @@ def soil(base: DataFrame, fields: DataFrame, mapping: DataFrame) -> DataFrame:
     return out.withColumns(fx.soil_final(F.col("kind"), F.col("land"), before)).drop(*SOIL_FIELDS, *hot)
 
 
-def temperatures(base: DataFrame, fixed: DataFrame, monthly: DataFrame, mapping: DataFrame) -> DataFrame:
+def temperatures(base: DataFrame, fixed: DataFrame, monthly: DataFrame, mapping: DataFrame, lags: tuple[float, float] = (TEMPERATURE_LAG, MOISTURE_LAG)) -> DataFrame:
     """Part 3: month, iglo, t, t_deep, wet, wet_deep, snow, albedo, emis and z0.
 
     fixed: iglo, lfrac, orog, ifrac; monthly: month, iglo, tg, td, ts, all on one source grid. base: iglo, lsm, geo, kind,
     albedo, emis, z0. Ground and dew-point temperatures are brought to sea level on the source; all come back up on the
-    target. Deep values follow the surface's later, on land only."""
+    target. Deep temperatures and moisture follow the surface's by a lag each, on land only."""
     flat = monthly.join(fixed.select("iglo", "orog"), "iglo")
     flat = flat.withColumns({c: fx.lapse_corrected(F.col(c), F.col("orog"), LAPSE) for c in ("tg", "td")})
     shares = interpolate4(mapping, fixed, ["lfrac", "ifrac"])
@@ -86,8 +86,8 @@ def temperatures(base: DataFrame, fixed: DataFrame, monthly: DataFrame, mapping:
     snow = F.when(land, fx.snow_reserve(F.col("t"), F.col("wet"), F.col("ifrac"), F.col("lfrac"))).otherwise(0.0)
     own = own.withColumn("snow", fx.snow_limited(snow, F.col("kind")))
     own = own.withColumns(fx.water_surface(F.col("t"), F.col("kind"), {n: F.col(n) for n in ("albedo", "emis", "z0")}))
-    for c in ("t", "wet"):
-        own = lagged_cycle(own, c).withColumn(f"{c}_deep", F.when(land, F.col(f"{c}_lagged")).otherwise(F.col(c))).drop(f"{c}_lagged")
+    for c, lag in zip(("t", "wet"), lags):
+        own = lagged_cycle(own, c, lag).withColumn(f"{c}_deep", F.when(land, F.col(f"{c}_lagged")).otherwise(F.col(c))).drop(f"{c}_lagged")
     return own.select("month", "iglo", "t", "t_deep", "wet", "wet_deep", "snow", "albedo", "emis", "z0")
 
 

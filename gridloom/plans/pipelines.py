@@ -1,4 +1,4 @@
-"""Whole programs over the operators: surface description, initial state, monthly climatology, field-to-field regridding."""
+"""Whole programs over the operators: surface description, initial state, field-to-field regridding, conversions."""
 
 from __future__ import annotations
 
@@ -60,25 +60,35 @@ def field_to_field(source_field: DataFrame, source: Grid, target: Grid, fields:
     return interpolate4(mapping, source_field, fields).withColumnRenamed("iglo2", "iglo")
 
 
-def monthly_temperature(monthly: DataFrame, source: Grid, target: Grid, geopotential: DataFrame, rate: float) -> DataFrame:
-    """PG-CLIM, temperature part: month, iglo, t: brought to sea level on the source, regridded, brought back on the target.
+#: The lags of deep temperature and of deep moisture behind the surface's, for the year's first harmonic.
+TEMPERATURE_LAG, MOISTURE_LAG = math.sqrt(1 + 2 * math.pi) / (2 * math.sqrt(365)), 0.1969
+MONTHS = 12
 
-    monthly: month, iglo, t, geo on the source; geopotential: iglo, geo on the target. One join serves all months."""
-    flat = monthly.withColumn("t", fx.lapse_corrected(F.col("t"), F.col("geo"), rate))
-    mapping = mapping4(target.points(monthly.sparkSession), source, resolution(target, F.col("j"), F.col("i")))
-    joined = mapping.join(flat.select(F.col("iglo").alias("iglo1"), "month", "t"), "iglo1")
-    weight = F.sum(F.when(F.col("t").isNotNull(), F.col("w")))
-    means = joined.groupBy("month", F.col("iglo2").alias("iglo")).agg((F.sum(F.col("w") * F.col("t")) / F.when(weight > 0, weight)).alias("t"))
-    return means.join(geopotential.select("iglo", "geo"), "iglo").select("month", "iglo", fx.lapse_corrected(F.col("t"), F.col("geo"), rate, up=False).alias("t"))
 
+def lag_weights(lag: float) -> list[float]:
+    """What the month d months before adds to a lagged month: the k-th harmonic of the year is damped by exp(-lag * sqrt k) and shifted by lag * sqrt k, as a wave is that goes into a uniform ground."""
+    out = []
+    for d in range(MONTHS):
+        total = 1.0
+        for k in range(1, MONTHS // 2 + 1):
+            depth = lag * math.sqrt(k)
+            twice = 1 if 2 * k == MONTHS else 2  # the shortest wave has one phase only
+            angle = math.cos(depth) * math.cos(math.pi * d) if twice == 1 else math.cos(2 * math.pi * k * d / MONTHS - depth)
+            total += twice * math.exp(-depth) * angle
+        out.append(total / MONTHS)
+    return out
 
-def lagged_cycle(monthly: DataFrame, field: str, share: float = 0.5, key: str = "iglo") -> DataFrame:
-    """PRJ-LAG: an annual cycle that follows the given one by less than a month: share of the month's value, the rest of the month before, December before January.
 
-    A plain first-order lag."""
-    before = F.max(F.when(F.col("month") == 12, F.col(field))).over(Window.partitionBy(key))
-    last = F.coalesce(F.lag(field).over(Window.partitionBy(key).orderBy("month")), before)
-    return monthly.withColumn(f"{field}_lagged", share * F.col(field) + (1 - share) * last)
+def lagged_cycle(monthly: DataFrame, field: str, lag: float, key: str = "iglo") -> DataFrame:
+    """PRJ-LAG: df with field_lagged, the annual cycle as it arrives at a depth. A stand-in: the body of the original is not known, its two lags are.
+
+    The year's harmonics are damped and shifted by the lag, all at once as weights of the twelve months, so the mean stays
+    and a lag of 0 changes nothing. A key without all twelve months has none."""
+    whole = Window.partitionBy(key)
+    months = F.collect_list(F.when(F.col(field).isNotNull(), F.struct("month", F.col(field).alias("v")))).over(whole)  # twelve at most
+    weights = F.array(*[F.lit(w) for w in lag_weights(lag)])
+    total = F.aggregate("_year", F.lit(0.0), lambda t, x: t + F.get(weights, F.pmod(F.col("month") - x["month"], F.lit(MONTHS)).cast("int")) * x["v"])
+    return monthly.withColumn("_year", F.array_sort(months)).withColumn(f"{field}_lagged", F.when(F.size("_year") == MONTHS, total)).drop("_year")
 
 
 def name_key(name: str) -> tuple[str, str, int]:
@@ -122,15 +132,3 @@ def same_geometry(grids: dict[str, Grid]) -> Grid:
     if off:
         raise ValueError(f"geometry mismatch: {', '.join(off)} against {names[0]}")
     return grids[names[0]]
-
-
-def single_points(points: DataFrame, source: DataFrame, target_of, each) -> DataFrame:
-    """PG-PTS: independent small grids around points, one element of each kept, as one table.
-
-    points: a driver-side list is not needed; target_of gives a point's grid and each runs a program on it. The grids of a
-    hundred points are a hundred plans, united; for more points use one grid that holds them all."""
-    out = None
-    for row in points.collect():  # a bounded list of places that the caller names
-        one = each(source, target_of(row)).where(F.col("iglo") == row["element"]).withColumn("point", F.lit(row["point"]))
-        out = one if out is None else out.unionByName(one)
-    return out

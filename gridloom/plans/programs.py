@@ -1,10 +1,12 @@
 """Queries for sources, sinks and whole programs, driven by files and fields made of the test tables, with their SQL.
 
-Files go to the folder that driver and executors share (spark.checkpoint.dir); one of our own only where none is set.
+Files go to the folder that driver and executors share (spark.checkpoint.dir); one of our own only where none is set
+and all run in one process.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -18,7 +20,7 @@ from ..operators import covers, mapping, regrid
 from .. import tools
 from ..sources import classes, packing, rasters, sinks
 from . import climatology, grids, pipelines
-from .catalog import CELL, CLASSES, FIELD, GAUSS, NUDGE, NX, NY, REGION, SOURCE, SRC, TARGET, TX, TY, _both, _by_class, _pressure_sql, _within, field, gauss_points, mapping_sql, mean4_sql, r6, source_points
+from .catalog import CELL, CLASSES, FIELD, GAUSS, MEASURED, NUDGE, NX, NY, REGION, SOURCE, SRC, TARGET, TX, TY, _both, _by_class, _pressure_sql, _within, field, gauss_points, gauss_rows, lag_sql, mapping_sql, mean4_sql, measured_classes, r6, source_points
 from .catalog import classes as class_shares
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +40,8 @@ def query(sql: str | None = None):
 def folder(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/gridloom/{name}-{uuid.uuid4().hex}"
@@ -98,6 +102,15 @@ def src_climate_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rasters.climate_blocks(spark, path, TX, TY).withColumn("value", r6("value"))
 
 
+@query(f"WITH {SRC}, {CELL}, {FIELD} SELECT 'Temp_d' AS field, 2 AS \"month\", j, i, round(coalesce(v, 0) + 7, 6) AS value FROM field WHERE j BETWEEN 3 AND 9 AND i < 20")
+def src_climate_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-N108, SRC-CLIP: one field of one month, some rows and columns; the source opens one record and reads these only."""
+    v = np.nan_to_num(dense(spark, sf_dir))
+    path = put(f"{folder(spark, 'blocks')}/n108", b"".join(record(v + k) for k in range(len(BLOCKS))))
+    one = rasters.climate_blocks(spark, path, TX, TY, band=100).where("field = 'Temp_d' and month = 2 and j between 3 and 9 and i < 20")
+    return one.withColumn("value", r6("value"))
+
+
 @query(f"WITH {SRC}, {CELL}, {FIELD} SELECT 'vgx_GL' AS field, j, i, round(v, 6) AS value FROM field")
 def src_soil_and_vegetation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-SOILVEG, SRC-SOILVEG: one record written and read back, with its sentinel."""
@@ -153,14 +166,13 @@ def _class_file(rows: list[tuple[int, float, float, float, float]]) -> bytes:
     return b"".join(out)
 
 
-@query(f"""WITH {CLASSES}, c AS (SELECT cover, town, nature, water, sea, CASE WHEN nature <> 0 THEN (ARRAY[2, 4, 8, 10])[cover % 4 + 1] END AS kind FROM classes),
+@query(f"""WITH {SRC}, {MEASURED}, c AS (SELECT cover, town, nature, water, sea, CASE WHEN nature <> 0 THEN (ARRAY[2, 4, 8, 10])[cover % 4 + 1] END AS kind FROM measured),
   l AS (SELECT *, CASE WHEN kind > 3 THEN cover + kind + 17.5 WHEN kind IS NOT NULL THEN 0.0 END AS lai FROM c)
   SELECT cover, round(town * 0.75, 6) AS town, round(nature + 0.25 * town, 6) AS nature, round(water, 6) AS water, round(sea, 6) AS sea, CASE WHEN town <> 0 THEN 20.0 END AS bld_height, CASE WHEN town <> 0 THEN 15.0 END AS heat, CASE WHEN town <> 0 THEN 30.0 END AS h_industry, CASE WHEN kind IS NOT NULL THEN 0.45 END AS soil_nir,
   kind AS main_type, CASE WHEN kind IS NOT NULL THEN 0.75 END AS main_share, round(lai, 6) AS mean_lai, round(kind / 10.0, 6) AS root_depth, CASE WHEN kind = 4 THEN 8.0 END AS h_tree, CASE WHEN kind = 8 THEN 9 END AS reap_month, CASE WHEN kind = 8 THEN 2.5 END AS irrig FROM l""")
 def src_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-COVERS, PRJ-RESOL: the class table read record by record, gardens moved to nature."""
-    rows = class_shares(spark).select("cover", "town", "nature", "water", "sea").orderBy("cover").collect()  # 256 classes
-    rows = [(r[0], r[1], 0.0 if abs(r[2]) < 1e-9 else r[2], r[3], r[4]) for r in rows]
+    rows = [tuple(r) for r in measured_classes(spark, sf_dir).select("cover", "town", "nature", "water", "sea").orderBy("cover").collect()]  # 256 classes
     table = covers.resolved(classes.class_parameters(spark, _class_file(rows), len(rows)))
     main = F.element_at("types", -1)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
@@ -170,22 +182,24 @@ def src_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAMELIST = "&NAMGRID LATLON=.TRUE., NDLON=21, NDGLG=11, ZLONW=10., ZLONE=50., ZLATS=40., ZLATN=60. /"
 
 
-@query("SELECT iglo, CAST(iglo // 21 AS INTEGER) AS j, CAST(iglo % 21 AS INTEGER) AS i, round(10.0 + 2.0 * (iglo % 21), 6) AS lon, round(60.0 - 2.0 * (iglo // 21), 6) AS lat FROM (SELECT unnest(range(0, 231)) AS iglo)")
+@query(f"""WITH {SRC}, t AS (SELECT zs, floor((lat - 60.0) / -2.0 + 0.5) AS j, floor((lon - 10.0) / 2.0 + 0.5) AS i FROM src WHERE lon > 9.0 AND lon < 51.0)
+  SELECT CAST(j * 21 + i AS BIGINT) AS iglo, round(10.0 + 2.0 * i, 6) AS lon, round(60.0 - 2.0 * j, 6) AS lat, count(*) AS n, round(avg(zs), 6) AS zs FROM t WHERE j BETWEEN 0 AND 10 GROUP BY i, j""")
 def src_namelist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-NML, PRED-GEOM: the points of a namelist's grid, which has the geometry of the region used elsewhere."""
+    """SRC-NML, PRED-GEOM: source points in the cells of a namelist's grid, which has the geometry of the region used elsewhere."""
     grid = pipelines.same_geometry({"namelist": grids.from_namelist(NAMELIST), "region": REGION})
-    return grid.points(spark).select("iglo", "j", "i", r6("lon").alias("lon"), r6("lat").alias("lat"))
+    cells = mapping.in_domain(mapping.cell_of(source_points(spark, sf_dir).drop("i", "j"), grid))
+    means = cells.groupBy(F.col("iglo2").alias("iglo")).agg(F.count("*").alias("n"), F.avg("zs").alias("zs"))
+    return grid.points(spark).join(means, "iglo").select("iglo", r6("lon").alias("lon"), r6("lat").alias("lat"), "n", r6("zs").alias("zs"))
 
 
-@query(f"""WITH t AS (SELECT iglo, 5.0 + 10.0 * (iglo % {TX}) AS lon, 85.0 - 10.0 * (iglo // {TX}) AS lat FROM (SELECT unnest(range(0, {TX * TY})) AS iglo)),
-  u AS (SELECT *, acos(greatest(-1.0, least(1.0, sin(radians(lat)) * sin(radians(45.0)) + cos(radians(lat)) * cos(radians(45.0)) * cos(radians(lon - 10.0))))) * 6371.229 AS d, atan2(cos(radians(lat)) * sin(radians(lon - 10.0)), cos(radians(45.0)) * sin(radians(lat)) - sin(radians(45.0)) * cos(radians(lat)) * cos(radians(lon - 10.0))) AS b FROM t)
-  SELECT iglo, round(3000.0 / sqrt(1 + pow(d * sin(b) / 2000.0, 2) + pow(d * cos(b) / 1000.0, 2)), 4) AS zs FROM u""")
+@query(f"""WITH {SRC}, u AS (SELECT *, acos(greatest(-1.0, least(1.0, sin(radians(lat)) * sin(radians(45.0)) + cos(radians(lat)) * cos(radians(45.0)) * cos(radians(lon - 10.0))))) * 6371.229 AS d, atan2(cos(radians(lat)) * sin(radians(lon - 10.0)), cos(radians(45.0)) * sin(radians(lat)) - sin(radians(45.0)) * cos(radians(lat)) * cos(radians(lon - 10.0))) AS b FROM src)
+  SELECT iglo1, round(3000.0 / sqrt(1 + pow(d * sin(b) / 2000.0, 2) + pow(d * cos(b) / 1000.0, 2)), 4) AS zs FROM u""")
 def src_mountain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-SYN-ELL: an idealised mountain."""
+    """SRC-SYN-ELL: the source points' heights replaced by an idealised mountain."""
     from ..functions.geometry import elliptical_mountain
 
-    p = TARGET.points(spark)
-    return p.select("iglo", F.round(elliptical_mountain(F.col("lon"), F.col("lat"), 10.0, 45.0, 2000.0, 1000.0, 3000.0), 4).alias("zs"))
+    p = source_points(spark, sf_dir)
+    return p.select("iglo1", F.round(elliptical_mountain(F.col("lon"), F.col("lat"), 10.0, 45.0, 2000.0, 1000.0, 3000.0), 4).alias("zs"))
 
 
 @query(f"WITH {SRC}, {CELL}, {FIELD} SELECT iglo, CAST({TY - 1} - j AS INTEGER) AS j, round(coalesce(v, 1e9), 6) AS v, round(coalesce(2 * v, 1e9), 6) AS w, CASE WHEN iglo = 7 THEN 'moved' END AS point FROM field")
@@ -215,15 +229,15 @@ def snk_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("month", "iglo", "field", r6("value").alias("value"))
 
 
-NAMES = ["SURFTEMPERATURE", "S010TEMPERATURE", "S002TEMPERATURE", "PROFTEMPERATURE", "S002HUMI.SPECIFI", "H00010TEMPERATURE", "SURFALBEDO", "P85000GEOPOTENTIE"]
-
-
-@query(f"""WITH n AS (SELECT unnest({NAMES!r}) AS name), p AS (SELECT name, regexp_extract(name, '^([SHP])([0-9]+)(.+)$', 1) AS kind, regexp_extract(name, '^([SHP])([0-9]+)(.+)$', 2) AS level, regexp_extract(name, '^([SHP])([0-9]+)(.+)$', 3) AS rest FROM n),
-  k AS (SELECT name, CASE WHEN kind = '' THEN name[1:4] ELSE kind END AS prefix, CASE WHEN kind = '' THEN name[5:] ELSE rest END AS suffix, coalesce(try_cast(level AS INTEGER), 0) AS lv FROM p) SELECT row_number() OVER (ORDER BY prefix, suffix, lv) AS place, 'SFX.' || name AS name FROM k WHERE name <> 'SURFALBEDO'""")
+@query(r"""WITH n AS (SELECT DISTINCT 'S' || lpad(CAST(p_size AS VARCHAR), 3, '0') || p_type AS name FROM part UNION SELECT DISTINCT p_type || 'HEIGHT' FROM part), p AS (SELECT name, regexp_extract(name, '^([SHP])([0-9]{3,5})(.+)$', 1) AS kind, regexp_extract(name, '^([SHP])([0-9]{3,5})(.+)$', 2) AS level, regexp_extract(name, '^([SHP])([0-9]{3,5})(.+)$', 3) AS rest FROM n),
+  k AS (SELECT name, CASE WHEN kind = '' THEN name[1:4] ELSE kind END AS prefix, CASE WHEN kind = '' THEN name[5:] ELSE rest END AS suffix, coalesce(try_cast(level AS INTEGER), 0) AS lv FROM p) SELECT row_number() OVER (ORDER BY prefix, suffix, lv) AS place, 'SFX.' || name AS name FROM k WHERE name <> 'PROMOHEIGHT'""")
 def tl_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SO-FLD, FLT-NAME, PRJ-RENAME, TL-CONV: names chosen, sorted by prefix, suffix and level, and renamed."""
-    df = spark.range(1).select(F.col("id").alias("iglo"), *[F.lit(1.0).alias(n) for n in NAMES])
-    names = pipelines.recoded(df, skip=["SURFALBEDO"], prefix="SFX.").columns[1:]
+    """SO-FLD, FLT-NAME, PRJ-RENAME, TL-CONV: a field for each size and kind of part, chosen, sorted by prefix, suffix and level, and renamed."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    level = F.concat(F.lit("S"), F.lpad(F.col("p_size").cast("string"), 3, "0"), F.col("p_type"))
+    found = part.select(F.explode(F.array(level, F.concat("p_type", F.lit("HEIGHT")))).alias("name")).distinct().collect()  # names of columns
+    df = spark.range(1).select(F.col("id").alias("iglo"), *[F.lit(1.0).alias(r["name"]) for r in found])
+    names = pipelines.recoded(df, skip=["PROMOHEIGHT"], prefix="SFX.").columns[1:]
     return spark.createDataFrame([(k, n) for k, n in enumerate(names, 1)], "place long, name string")
 
 
@@ -241,24 +255,41 @@ _STEP = "pow(2.0, ceil(log2((max(v * m) OVER (PARTITION BY f) - min(v * m) OVER
   p AS (SELECT iglo, f, v, m, bits, min(v * m) OVER (PARTITION BY f) AS lo, {_STEP} AS step FROM l), c AS (SELECT *, round((v * m - lo) / step) AS code FROM p)
   SELECT iglo, f AS field, CASE WHEN bits = 64 THEN 0 ELSE CAST(log2(step) AS INTEGER) END AS exponent, CASE WHEN bits = 64 THEN round(v, 6) ELSE code END AS code, round(CASE WHEN bits = 64 THEN v ELSE (lo + code * step) / m END, 6) AS value FROM c WHERE v IS NOT NULL""")
 def snk_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-FA-ENC, SNK-FA-DEC: fields packed into 12 and 8 bits and as IEEE numbers, written, read back and decoded."""
+    """SNK-FA-ENC, SNK-FA-DEC: fields packed into streams of 12 and 8 bits a value and of IEEE numbers, written, read back and decoded."""
     f = field(spark, sf_dir).select("iglo", "v", (F.col("v") / 3).alias("w"), (F.col("v") / 7).alias("x"))
     top = folder(spark, "packed")
     packing.header(f, {"v": 12, "w": 8, "x": 64}, {"w": 100.0}).write.parquet(f"{top}/headers")
     headers = spark.read.parquet(f"{top}/headers")
-    packing.packed(f, headers).write.parquet(f"{top}/codes")
-    codes = spark.read.parquet(f"{top}/codes")
+    packing.blocks(packing.packed(f, headers), headers, block=100).write.parquet(f"{top}/blocks")
+    codes = packing.codes(spark.read.parquet(f"{top}/blocks"))
     out = packing.unpacked(codes, headers).join(codes, ["iglo", "field"]).join(F.broadcast(headers.select("field", "exponent", "packing")), "field")
     return out.select("iglo", "field", "exponent", F.when(F.col("packing") == "ieee", r6("code")).otherwise(F.col("code")).alias("code"), r6("value").alias("value"))
 
 
+@query(f"""WITH {SRC}, {CELLS}, l AS (SELECT r.j * {NX} + r.i AS iglo, n.n * 0.25 + sin(radians(r.i)) * 500 AS v FROM r LEFT JOIN n USING (j, i)), p AS (SELECT iglo, v, min(v) OVER () AS lo, pow(2.0, ceil(log2((max(v) OVER () - min(v) OVER ()) / 65535) - 1e-12)) AS step FROM l)
+  SELECT iglo, CAST(round((v - lo) / step) AS BIGINT) AS code, round(lo + round((v - lo) / step) * step, 6) AS v FROM p WHERE v IS NOT NULL""")
+def snk_second_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-FA-ENC, SNK-FA-DEC by second-order packing: 16 bits a value, stored as differences in groups, with a bitmap for the gaps."""
+    n = source_points(spark, sf_dir).groupBy("j", "i").agg(F.count("*").alias("n"))
+    f = SOURCE.points(spark).join(n, ["j", "i"], "left").select("iglo", (F.col("n") * 0.25 + F.sin(F.radians("i")) * 500).alias("v"))
+    top = folder(spark, "second")
+    packing.header(f, {"v": 16}).write.parquet(f"{top}/headers")
+    headers = spark.read.parquet(f"{top}/headers")
+    packing.blocks(packing.packed(f, headers), headers, second=True, block=4096).write.parquet(f"{top}/blocks")
+    codes = packing.codes(spark.read.parquet(f"{top}/blocks"))
+    out = packing.unpacked(codes, headers).join(codes, ["iglo", "field"])
+    return out.select("iglo", F.col("code").cast("long").alias("code"), r6("value").alias("v"))
+
+
 FRAME = {"kind": "gaussian", "ny": 8, "nloen": [12, 20, 24, 28], "stretch": 1.0, "sin_lat": 1.0, "sin_lon": 0.0, "cos_lon": 1.0}
 
 
-@query(f"WITH p AS ({gauss_points()}) SELECT iglo, round(plon, 6) AS lon, round(plat, 6) AS lat FROM p")
+@query(f"WITH {SRC}, p AS ({gauss_points()}), gr(j, y, lo, hi, nx, dx, off) AS (VALUES {gauss_rows()}), c AS (SELECT CAST(off + CAST(floor(lon / dx + 0.5) AS BIGINT) % nx AS BIGINT) AS iglo, count(*) AS n FROM src JOIN gr ON lat > lo AND lat <= hi GROUP BY 1) SELECT c.iglo, round(plon, 6) AS lon, round(plat, 6) AS lat, n FROM c JOIN p ON p.iglo = c.iglo")
 def src_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-FA-GRID: the points of a frame's Gaussian grid."""
-    return grids.from_frame(FRAME).points(spark).select("iglo", r6("lon").alias("lon"), r6("lat").alias("lat"))
+    """SRC-FA-GRID: source points in the cells of a frame's Gaussian grid."""
+    grid = grids.from_frame(FRAME)
+    counts = mapping.in_domain(mapping.cell_of(source_points(spark, sf_dir), grid)).groupBy(F.col("iglo2").alias("iglo")).agg(F.count("*").alias("n"))
+    return grid.points(spark).join(counts, "iglo").select("iglo", r6("lon").alias("lon"), r6("lat").alias("lat"), "n")
 
 
 @query(f"WITH {SRC}, {CELL}, {FIELD} SELECT iglo, round(coalesce(CASE WHEN iglo % 5 <> 0 THEN 2 * v END, v), 6) AS SST, CASE WHEN v IS NOT NULL THEN round(ln(greatest(0.001, least(1.0, v / 1e5 + v / 2e5)) / 0.001) / {float(np.log(1.0 / 0.001))!r}, 9) END AS water, (SELECT count_if(iglo % 5 = 0 AND v IS NOT NULL) FROM field) AS only_b FROM field")
@@ -431,7 +462,8 @@ TEMPS = f"""s4 AS (SELECT iglo2 AS iglo, {mean4_sql('lfrac')} AS lfrac, {mean4_s
   e4 AS (SELECT *, CASE WHEN on_land THEN tg ELSE ts END AS t, CASE WHEN on_land THEN w0 ELSE 1.0 END AS wet, greatest(0.0, least(1.0, ifrac / greatest(1e-10, lfrac))) AS ix, greatest(0.0, least(1.0, 0.04 * w0 * (273.16 - tg))) AS iy FROM c4),
   months AS (SELECT iglo, "month", t, wet, on_land, CASE WHEN kind = 2 THEN 10000.0 WHEN on_land THEN least(1000.0, greatest(0.0, 10 * ix / (1.0001 - ix) + 500 * (1 - cos(pi() * iy)))) ELSE 0.0 END AS snow,
     CASE WHEN kind IN (1, 5) THEN CASE WHEN t <= 271.23 THEN 0.65 ELSE 0.07 END ELSE albedo END AS albedo, CASE WHEN kind IN (1, 5) THEN CASE WHEN t <= 271.23 THEN 0.97 ELSE 0.96 END ELSE emis END AS emis, CASE WHEN kind IN (1, 5) THEN 0.001 * 9.80665 ELSE z0 END AS z0 FROM e4),
-  lags AS (SELECT a.*, CASE WHEN a.on_land THEN 0.5 * a.t + 0.5 * b.t ELSE a.t END AS t_deep, CASE WHEN a.on_land THEN 0.5 * a.wet + 0.5 * b.wet ELSE a.wet END AS wet_deep FROM months a JOIN months b ON a.iglo = b.iglo AND b."month" = (a."month" + 10) % 12 + 1)"""
+  year AS (SELECT a.iglo, a."month", sum(b.t * {lag_sql(pipelines.TEMPERATURE_LAG)}) AS t_later, sum(b.wet * {lag_sql(pipelines.MOISTURE_LAG)}) AS wet_later, count(b.t) = 12 AS t_all, count(b.wet) = 12 AS wet_all FROM (SELECT a.iglo, a."month", b.t, b.wet, (a."month" - b."month" + 12) % 12 AS d FROM months a JOIN months b ON a.iglo = b.iglo) b JOIN months a ON a.iglo = b.iglo AND a."month" = b."month" GROUP BY 1, 2),
+  lags AS (SELECT a.*, CASE WHEN NOT a.on_land THEN a.t WHEN t_all THEN t_later END AS t_deep, CASE WHEN NOT a.on_land THEN a.wet WHEN wet_all THEN wet_later END AS wet_deep FROM months a JOIN year USING (iglo, "month"))"""
 
 
 @query(f'WITH {_START}, {MONTHLY}, {TEMPS} SELECT iglo, CAST("month" AS INTEGER) AS "month", {", ".join(f"round({c}, 6) AS {c}" for c in ("t", "t_deep", "albedo", "emis", "z0"))}, round(wet, 5) AS wet, round(wet_deep, 5) AS wet_deep, round(snow, 2) AS snow FROM lags')

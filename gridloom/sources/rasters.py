@@ -8,11 +8,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..plans.grids import Grid, uniform
+from .records import PUSHDOWN, Limits, PushedReader, clipped, climate_blocks, located, soil_and_vegetation
+
+__all__ = ["climate_blocks", "soil_and_vegetation"]
 
 
 @dataclass(frozen=True)
@@ -60,7 +64,7 @@ def read_header(spark: SparkSession, path: str) -> Header:
 class RowBands(DataSource):
     """SRC-DH: big-endian rasters of 8 or 16 bits, read in bands of rows by seeking; format name gridloom_raster.
 
-    Options: path, rows, cols, bits, nodata, scale, and top, height, left, width for a clip."""
+    Options: path, rows, cols, bits, nodata, scale, bandpoints. Conditions on j and i limit the bands and the bytes that are read."""
 
     @classmethod
     def name(cls) -> str:
@@ -70,7 +74,7 @@ class RowBands(DataSource):
         return "j int, i int, value double"
 
     def reader(self, schema) -> DataSourceReader:
-        return _BandReader(self.options)
+        return _BandReader(self.options, Limits(("j", "i")))
 
 
 @dataclass
@@ -79,42 +83,44 @@ class _Band(InputPartition):
     rows: int
 
 
-class _BandReader(DataSourceReader):
-    def __init__(self, options):
-        self.o = {k.lower(): v for k, v in options.items()}
-
+class _BandReader(PushedReader):
     def number(self, key: str, default: float) -> float:
         return float(self.o.get(key, default))
 
     def partitions(self):
         cols = int(self.number("cols", 0))
-        top, height = int(self.number("top", 0)), int(self.number("height", self.number("rows", 0)))
+        top, end = self.limits.span("j", 0, int(self.number("rows", 0)))
         each = max(1, int(self.number("bandpoints", 4_000_000)) // max(1, cols))
-        return [_Band(j, min(each, top + height - j)) for j in range(top, top + height, each)]
+        return [_Band(j, min(each, end - j)) for j in range(top, end, each)]
 
     def read(self, band):
-        import pyarrow as pa
-        from pyarrow import fs
-
+        if band is None:  # Spark makes one task where a plan has no partition
+            return
         cols, size = int(self.number("cols", 0)), int(self.number("bits", 16)) // 8
-        left, width = int(self.number("left", 0)), int(self.number("width", cols))
+        left, right = self.limits.span("i", 0, cols)
         nodata, scale = self.number("nodata", float("nan")), self.number("scale", 1.0)
-        path = self.o["path"]
-        system, place = fs.FileSystem.from_uri(path if ":" in path else "file://" + path)
+        system, place = located(self.o["path"])
         with system.open_input_file(place) as file:
             for j in range(band.first, band.first + band.rows):
+                if right == left or not self.limits.allows("j", j):
+                    continue
                 file.seek((j * cols + left) * size)
-                raw = np.frombuffer(file.read(width * size), "u1" if size == 1 else ">i2").astype(float)
+                raw = np.frombuffer(file.read((right - left) * size), "u1" if size == 1 else ">i2").astype(float)
+                i = np.arange(left, left + len(raw), dtype=np.int32)
+                if self.limits.among["i"] is not None:
+                    keep = np.isin(i, [*self.limits.among["i"]])
+                    raw, i = raw[keep], i[keep]
                 value = pa.array(raw * scale, mask=raw == nodata)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), j, np.int32)), pa.array(np.arange(left, left + len(raw), dtype=np.int32)), value], ["j", "i", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), j, np.int32)), pa.array(i), value], ["j", "i", "value"])
 
 
-def raster(spark: SparkSession, path: str, head: Header, scale: float = 1.0, box: tuple[float, float, float, float] | None = None) -> DataFrame:
-    """j, i, value of a .dir file; scale applies to what is not missing. box (west, east, south, north) limits what is read at all."""
+def raster(spark: SparkSession, path: str, head: Header, scale: float = 1.0, box: tuple[float, float, float, float] | None = None, band: int = 4_000_000) -> DataFrame:
+    """j, i, value of a .dir file; scale applies to what is not missing. box: west, east, south and north of what is wanted, as conditions that the source takes."""
     spark.dataSource.register(RowBands)
-    top, height, left, width = head.clip(*box) if box else (0, head.rows, 0, head.cols)
-    options = {"path": path, "rows": head.rows, "cols": head.cols, "bits": head.bits, "nodata": head.nodata, "scale": scale, "top": top, "height": height, "left": left, "width": width}
-    return spark.read.format("gridloom_raster").options(**{k: str(v) for k, v in options.items()}).load()
+    spark.conf.set(PUSHDOWN, "true")
+    options = {"path": path, "rows": head.rows, "cols": head.cols, "bits": head.bits, "nodata": head.nodata, "scale": scale, "bandpoints": band}
+    df = spark.read.format("gridloom_raster").options(**{k: str(v) for k, v in options.items()}).load()
+    return clipped(df, *head.clip(*box)) if box else df
 
 
 def ozone(spark: SparkSession, path: str, month: int | None = None) -> DataFrame:
@@ -142,59 +148,6 @@ def aerosols(spark: SparkSession, path: str, nx: int = 72, ny: int = 45, skip: i
     return spark.read.text(path, wholetext=True).mapInPandas(decode, "j int, i int, " + ", ".join(f"{n} double" for n in AEROSOLS))
 
 
-def _records(data: bytes) -> Iterator[bytes]:
-    """Sequential records between equal big-endian lengths."""
-    at = 0
-    while at < len(data):
-        n = int.from_bytes(data[at : at + 4], "big")
-        if data[at + 4 + n : at + 8 + n] != data[at : at + 4]:
-            raise ValueError(f"record markers differ at byte {at}")
-        yield data[at + 4 : at + 4 + n]
-        at += 8 + n
-
-
-def climate_blocks(spark: SparkSession, path: str, nx: int = 432, ny: int = 216) -> DataFrame:
-    """SRC-N108: field, month, j, i, value from sequential records of one block each: LFrac, OrogG, IFrac (month 0), then Temp_g, Temp_d, Temp_s for each month."""
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at = np.arange(nx * ny)
-        for batch in batches:
-            for data in batch["content"]:
-                for k, block in enumerate(_records(data)):
-                    name, month = (("LFrac", "OrogG", "IFrac")[k], 0) if k < 3 else (("Temp_g", "Temp_d", "Temp_s")[(k - 3) % 3], (k - 3) // 3 + 1)
-                    yield pd.DataFrame({"field": name, "month": month, "j": at // nx, "i": at % nx, "value": np.frombuffer(block, ">f8", nx * ny).astype(float)})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, "field string, month int, j int, i int, value double")
-
-
-def soil_and_vegetation(spark: SparkSession, path: str, nodata: float = -9999.0) -> DataFrame:
-    """SRC-SOILVEG: field (the file's name), j, i, value from one record of 2 n^2 big-endian doubles; the sentinel is missing."""
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, data in zip(batch["field"], batch["content"]):
-                v = np.frombuffer(next(_records(data)), ">f8").astype(float)
-                nx, at = int(round(np.sqrt(2 * len(v)))), np.arange(len(v))
-                value = pd.Series(pd.array(np.where(v == nodata, 0.0, v), "Float64"))
-                value[v == nodata] = pd.NA
-                yield pd.DataFrame({"field": name, "j": at // nx, "i": at % nx, "value": value})
-
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("field"), "content")
-    return files.mapInPandas(decode, "field string, j int, i int, value double")
-
-
-def class_table(spark: SparkSession, data: bytes, size: int = 160) -> DataFrame:
-    """SRC-COVERS: cover, town, nature, water, sea from records of 20 big-endian doubles; a class starts with a whole number from 1 to 573 and four shares that add up to 1.
-
-    Some hundred classes, decoded on the driver."""
-    rows = []
-    for at in range(0, len(data) - size + 1, size):
-        head = np.frombuffer(data[at : at + 40], ">f8")
-        if head[0] == int(head[0]) and 1 <= head[0] <= 573 and abs(head[1:5].sum() - 1) < 1e-6 and (head[1:5] >= 0).all():
-            rows.append((int(head[0]), *map(float, head[1:5])))
-    return spark.createDataFrame(rows, "cover int, town double, nature double, water double, sea double")
-
-
 def unit_sphere(points: DataFrame) -> DataFrame:
     """SRC-SYN-XYZ: unit-sphere coordinates with their exact derivatives by degree of longitude and latitude."""
     a, b, r = F.radians("lon"), F.radians("lat"), float(np.pi / 180)

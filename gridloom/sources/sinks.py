@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .writers import write_batches, write_record
 
-def write_batches(df: DataFrame, path: str, fields: list[str], each: int = 10, writers: int | None = None, key: str = "iglo") -> list[str]:
-    """SNK-GS: fields in batches of columns, each under a path of its own, by at most so many writers."""
-    out = []
-    for k in range(0, len(fields), each):
-        place = f"{path}/batch={k // each:04d}"
-        part = df.select(key, *fields[k : k + each])
-        (part.coalesce(writers) if writers else part).write.mode("overwrite").parquet(place)
-        out.append(place)
-    return out
+__all__ = ["write_batches", "write_record"]
 
 
 def write_months(df: DataFrame, path: str, month: str = "month") -> None:
@@ -32,31 +21,6 @@ def write_month_fields(df: DataFrame, path: str, fields: list[str], month: str =
     df.select(month, key, each.alias("x")).select(month, key, "x.*").write.mode("overwrite").partitionBy(month, "field").parquet(path)
 
 
-def write_record(df: DataFrame, path: str, field: str, nodata: float = -9999.0, key: str = "iglo") -> DataFrame:
-    """SNK-SOILVEG: one sequential record of big-endian doubles in the order of the key, missing values as the sentinel; path and n_values.
-
-    The format is one record in one file, so one task writes it, a batch at a time."""
-    count = df.count()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        system, place = fs.FileSystem.from_uri(path if ":" in path else "file://" + path)
-        mark = np.array([8 * count], ">i4").tobytes()
-        with system.open_output_stream(place, compression=None) as out:
-            out.write(mark)
-            for batch in batches if count else ():
-                out.write(batch["value"].fillna(nodata).to_numpy(float).astype(">f8").tobytes())
-            out.write(mark)
-        yield pd.DataFrame({"path": [path], "n_values": [count]})
-
-    rows = df.select(F.col(key).cast("long").alias(key), F.col(field).cast("double").alias("value"))
-    if not count:  # a task runs only where there is a row
-        rows = df.sparkSession.range(1).select(F.col("id").alias(key), F.lit(None).cast("double").alias("value"))
-    one = rows.repartition(1).sortWithinPartitions(key)
-    return one.mapInPandas(run, "path string, n_values long")
-
-
 def with_sentinel(df: DataFrame, fields: list[str], undef: float) -> DataFrame:
     """Nulls as the sentinel of a format that has no other way."""
     return df.fillna(undef, fields)

@@ -23,7 +23,7 @@ def test_query(spark, sf_dir, name):
     if name not in catalog.SQL:
         return
     db = duckdb.connect()
-    for t in ("lineitem", "events"):
+    for t in ("lineitem", "events", "orders"):
         db.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     run = db.execute(catalog.SQL[name])
     names = [d[0] for d in run.description]

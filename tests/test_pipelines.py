@@ -51,13 +51,6 @@ def test_initial_state(spark):
     assert out.where("nature > 0 and (tg is null or tg <> 280)").count() == 0
 
 
-def test_monthly_temperature(spark):
-    s = SOURCE.points(spark).crossJoin(spark.range(1, 4).withColumnRenamed("id", "month")).withColumns({"geo": F.lit(100.0), "t": 280.0 + F.col("month")})
-    g = TARGET.points(spark).withColumn("geo", F.lit(0.0))
-    out = pipelines.monthly_temperature(s, SOURCE, TARGET, g, 0.01)
-    assert out.where("abs(t - 281 - month) > 1e-9").count() == 0 and out.count() == 3 * TARGET.size
-
-
 def test_field_to_field_and_recoding(spark):
     s = SOURCE.points(spark).withColumns({"a": F.lit(1.23456), "b": F.lit(2.0)})
     out = pipelines.field_to_field(s, SOURCE, TARGET, ["a", "b"])
@@ -66,14 +59,6 @@ def test_field_to_field_and_recoding(spark):
     assert named.columns == ["iglo", "SFX.a"] and named.first()[1] == 1.23
 
 
-def test_single_points(spark):
-    s = SOURCE.points(spark).withColumn("a", F.col("lat"))
-    places = spark.createDataFrame([(0, 30.0, 5), (1, -20.0, 6)], "point int, north double, element int")
-    grid = lambda r: grids.regional_lonlat(4, 4, r["north"], 10.0, r["north"] - 6, 16.0)
-    out = pipelines.single_points(places, s, grid, lambda src, g: pipelines.field_to_field(src, SOURCE, g, ["a"])).orderBy("point").collect()
-    assert [r["a"] for r in out] == pytest.approx([28.0, -22.0], abs=0.6)
-
-
 def test_field_expressions(spark):
     df = spark.createDataFrame([(0.0, 0.0, 0.0), (4.0, 1.0, 1.0), (None, None, None)], "a double, b double, c double")
     t = fx.tensor(F.col("a"), F.col("b"), F.col("c"))

@@ -16,7 +16,7 @@ def test_query(spark, sf_dir, name):
     if name not in programs.SQL:
         return
     db = duckdb.connect()
-    for t in ("lineitem", "events"):
+    for t in ("lineitem", "events", "part"):
         db.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     run = db.execute(programs.SQL[name])
     names = [d[0] for d in run.description]
