@@ -14,6 +14,7 @@ come back alike, row by row; other columns are ignored; an empty table gives an
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -49,24 +50,49 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 SPANS = "array<struct<kind:int,start:int,end:int>>"
+#: Matches that are added up in one go.
+PART = 256
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def cut(rows: Column) -> Column:
+    """An array in parts of PART at most. Adding to an array copies it, so long ones are made of short ones."""
+    last = F.floor((F.size(rows) - 1) / PART).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(rows, k * PART + 1, F.lit(PART)))
+
+
+def starts(parts: Column) -> Column:
+    """Where in the text each part starts: the lengths of all before it."""
+    size = lambda part: F.aggregate(part, F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.coalesce(F.length(x["match"]), F.lit(0)))
+    add = lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all"))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    return F.aggregate(F.transform(parts, size), empty, add, lambda s: s["all"])
 
 
 def spans(text: Column, rule: Rule, number: int) -> Column:
-    """The findings of a rule as an array of structs (kind, start, end), in code points."""
+    """The findings of a rule as an array of structs (kind, start, end), in code points; in time that follows their number."""
     # Every run of the base rule for hex is as long as it can be, so short ones need not be listed to be dropped.
     pattern = rule.pattern[:-1] + f"{{{rule.least},}}" if rule.group == 0 and rule.pattern == "[0-9a-f]+" else rule.pattern
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     counts = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)) if rule.group else whole
-    between = F.split(text, pattern, -1)
-    lengths = F.transform(whole, lambda m, i: F.struct(F.length(F.get(between, i)).alias("gap"), F.length(m).alias("size"), F.length(F.get(counts, i)).alias("own")))
+    # The text is split one time more often than it is matched: the last row has no match.
+    each = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("match"), counts.alias("own"))
     none = F.array().cast(SPANS)
 
     def add(state, x):
-        start = state["at"] + x["gap"]
-        one = F.array(F.struct(F.lit(number).alias("kind"), start.alias("start"), (start + x["size"]).alias("end")))
-        return F.struct((start + x["size"]).alias("at"), F.when(x["own"] >= rule.least, F.concat(state["found"], one)).otherwise(state["found"]).alias("found"))
+        start = state["at"] + F.length(x["gap"])
+        end = start + F.coalesce(F.length(x["match"]), F.lit(0))
+        one = F.array(F.struct(F.lit(number).alias("kind"), start.alias("start"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(F.length(x["own"]) >= rule.least, F.concat(state["found"], one)).otherwise(state["found"]).alias("found"))
+
+    def within(part):
+        return F.aggregate(part["rows"], F.struct(part["at"].alias("at"), none.alias("found")), add, lambda s: s["found"])
 
-    found = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), none.alias("found")), add, lambda s: s["found"])
+    found = bound(each, lambda rows: bound(cut(rows), lambda parts: F.flatten(F.transform(F.arrays_zip(parts.alias("rows"), starts(parts).alias("at")), within))))
     if not rule.needs:
         return F.when(text.rlike(pattern), found).otherwise(none)
     base = F.lower(text) if rule.fold else text

@@ -101,3 +101,21 @@ def test_any_url_is_read_back(spark):
         found = list(warc.salvaged(io.BytesIO(data).read))
         assert [r and warc.page_of(r.headers["warc-record-id"]) for _, _, r, _ in found] == list(range(len(urls)))
         assert found[0][2].headers["warc-target-uri"] == urls[0] and found[2][2].headers["warc-target-uri"] == "http://x/a%0Ab%09c%00"
+
+
+def test_a_text_full_of_findings(spark):
+    """Time follows the number of findings: a hundred thousand in one text, and every span where it is."""
+    import time
+
+    n = 100_000
+    text = " ".join(f"é{i} token=abcdef{i}" for i in range(n))
+    docs = spark.createDataFrame([(1, text), (2, "token=abcdefg")], "doc_id long, text string")
+    began = time.time()
+    rows = {r["doc_id"]: r for r in secret_scan.op10(docs).collect()}
+    assert time.time() - began < 120
+    at, want = 0, []
+    for i in range(n):
+        start = at + len(f"é{i} ")
+        at = start + len(f"token=abcdef{i}") + 1
+        want.append(f"assign:{start}:{at - 1}")
+    assert rows[1]["spans"] == ",".join(want) and rows[1]["n_assign"] == n and rows[2]["spans"] == "assign:0:13"
