@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import kept
+
 #: AG-SEL.
 OPTIONS: dict[str, Callable[[Column], Column]] = {"avg": F.avg, "min": F.min, "max": F.max, "sum": F.sum}
 CODES = {0: "avg", 1: "min", 2: "max", 3: "sum"}
@@ -49,10 +51,12 @@ def missing_targets(targets: DataFrame, mapped: DataFrame) -> DataFrame:
     return targets.join(mapped.select(F.col("iglo2").alias("iglo")), "iglo", "left_anti").agg(F.count("*").alias("n_missing"))
 
 
-def interpolate4(mapping: DataFrame, source: DataFrame, fields: list[str], undef: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
+def interpolate4(mapping: DataFrame | kept.Kept, source: DataFrame, fields: list[str], undef: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
     """ST-APPLY: weighted mean of each field over the corners; with undef, over those that have a value, null if their weights are 0.
 
-    by: columns of the source, such as a month, for each of whose values there is a mean."""
+    by: columns of the source, such as a month, for each of whose values there is a mean. A stored mapping is applied by blocks."""
+    if isinstance(mapping, kept.Kept):
+        return kept.apply(mapping, source, fields, undef, by)
     values = source.select(F.col("iglo").alias("iglo1"), *by, *fields)
     joined = mapping.join(values, "iglo1", "inner" if by else "left")
     out = []

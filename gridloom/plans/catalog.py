@@ -393,23 +393,30 @@ def st_half_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("iglo", *[r6(f"v_{n}").alias(f"v_{n}") for n in ("xp", "xm", "yp", "ym")], *[F.round(f"d{n}", 9).alias(f"d{n}") for n in ("xp", "xm", "yp", "ym")])
 
 
-def mapping_sql(pt: str) -> str:
-    """CTE w4 (iglo2, iglo1, w): the 4-point mapping from the target grid's points to points (iglo, plon, plat, qlon); qlon: longitude of the point's neighbour on its row."""
+def mapping_sql(pt: str, gauss: bool = False) -> str:
+    """CTE w4 (iglo2, iglo1, w): the 4-point mapping from the target grid's points, or those of GAUSS, to points (iglo, plon, plat, qlon); qlon: longitude of the point's neighbour on its row."""
     xyz = lambda p: f"cos(radians({p}lat)) * cos(radians({p}lon)) AS {p}x, cos(radians({p}lat)) * sin(radians({p}lon)) AS {p}y, sin(radians({p}lat)) AS {p}z"
     ang = lambda a, b: f"acos(greatest(-1.0, least(1.0, {a}x * {b}x + {a}y * {b}y + {a}z * {b}z)))"
     c = ("c0", "c1", "c2", "c3")
-    col = {0: "iw", 1: "(iw + 1)", 2: "iw", 3: "(iw + 1)"}
-    row = {0: "(jn + 1)", 1: "(jn + 1)", 2: "jn", 3: "jn"}
-    keys = ", ".join(f"{row[k]} * {TX} + {col[k]} % {TX} AS c{k}, 5.0 + 10.0 * ({col[k]} % {TX}) AS c{k}lon, 85.0 - 10.0 * {row[k]} AS c{k}lat" for k in range(4))
     dist = ", ".join([f"{ang('p', c[k])} AS d{k}, {ang(c[k], c[mapping.NEXT[k]])} AS e{k}" for k in range(4)])
     after = [f"(d{k} + d{mapping.NEXT[k]} - e{k})" for k in range(4)]
     near = " ".join(f"WHEN {after[k]} < r / 1000 THEN [{', '.join(f'1.0 - d{k} / e{k}' if m == k else f'd{k} / e{k}' if m == mapping.NEXT[k] else '0.0' for m in range(4))}]" for k in range(4))
     plain = ", ".join(f"1.0 / greatest(1e-30, {after[k]} * {after[mapping.PREV[k]]})" for k in range(4))
     res = "acos(greatest(-1.0, least(1.0, cos(radians(plat)) * cos(radians(plon)) * cos(radians(plat)) * cos(radians(qlon)) + cos(radians(plat)) * sin(radians(plon)) * cos(radians(plat)) * sin(radians(qlon)) + sin(radians(plat)) * sin(radians(plat)))))"
+    if gauss:
+        ny = GAUSS.ny
+        rows = f"gn(j, y, lo, hi, nx, dx, off) AS (VALUES {gauss_rows()})"
+        keys = ", ".join(f"{r}.off + (CAST(floor(plon / {r}.dx) AS BIGINT) + {e}) % {r}.nx AS c{k}, ((CAST(floor(plon / {r}.dx) AS BIGINT) + {e}) % {r}.nx) * {r}.dx AS c{k}lon, {r}.y AS c{k}lat" for k, (r, e) in enumerate((("so", 0), ("so", 1), ("no", 0), ("no", 1))))
+        start = f"""p4 AS ({pt}), {rows}, q4 AS (SELECT *, (SELECT count(*) FROM gn WHERE gn.y >= plat) - 1 AS jn FROM p4), g4 AS (SELECT q4.*, {keys}, {res} AS r FROM q4 LEFT JOIN gn no ON no.j = jn LEFT JOIN gn so ON so.j = jn + 1)"""
+    else:
+        ny = TY
+        col = {0: "iw", 1: "(iw + 1)", 2: "iw", 3: "(iw + 1)"}
+        row = {0: "(jn + 1)", 1: "(jn + 1)", 2: "jn", 3: "jn"}
+        keys = ", ".join(f"{row[k]} * {TX} + {col[k]} % {TX} AS c{k}, 5.0 + 10.0 * ({col[k]} % {TX}) AS c{k}lon, 85.0 - 10.0 * {row[k]} AS c{k}lat" for k in range(4))
+        start = f"""p4 AS ({pt}), q4 AS (SELECT *, CAST(floor((plat - 85.0) / -10.0) AS BIGINT) AS jn, CAST(((floor((plon - 5.0) / 10.0) + {TX}) % {TX}) AS BIGINT) AS iw FROM p4), g4 AS (SELECT *, {keys}, {res} AS r FROM q4)"""
     # Beyond the first or last row the first corner whose next is missing counts alone.
-    edge = f"WHEN jn < 0 THEN [0.0, 1.0, 0.0, 0.0] WHEN jn >= {TY - 1} THEN [0.0, 0.0, 1.0, 0.0]"
-    return f"""p4 AS ({pt}), q4 AS (SELECT *, CAST(floor((plat - 85.0) / -10.0) AS BIGINT) AS jn, CAST(((floor((plon - 5.0) / 10.0) + {TX}) % {TX}) AS BIGINT) AS iw FROM p4),
-  g4 AS (SELECT *, {keys}, {res} AS r FROM q4), h4 AS (SELECT *, {xyz('p')}, {', '.join(xyz(x) for x in c)} FROM g4), t4 AS (SELECT *, {dist} FROM h4),
+    edge = f"WHEN jn < 0 THEN [0.0, 1.0, 0.0, 0.0] WHEN jn >= {ny - 1} THEN [0.0, 0.0, 1.0, 0.0]"
+    return f"""{start}, h4 AS (SELECT *, {xyz('p')}, {', '.join(xyz(x) for x in c)} FROM g4), t4 AS (SELECT *, {dist} FROM h4),
   u4 AS (SELECT iglo, [c0, c1, c2, c3] AS corners, CASE {edge} {near} ELSE [{plain}] END AS ws FROM t4), w4 AS (SELECT iglo AS iglo2, unnest(corners) AS iglo1, unnest(list_transform(ws, lambda x: x / list_sum(ws))) AS w FROM u4)"""
 
 

@@ -10,19 +10,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fields as fx
-from ..operators import covers, physio
+from ..operators import covers, kept, physio
 from ..operators.mapping import mapping4, resolution
-from ..operators.regrid import interpolate4, regrid
+from ..operators.regrid import interpolate4
 from .grids import Grid
 from .pipelines import MOISTURE_LAG, TEMPERATURE_LAG, lagged_cycle
+from .scratch import settled
 
 #: Fall of temperature with height (K/m) by gravity, and the share from which a point counts as land or sea.
 LAPSE, HALF = 6.5e-3 / fx.GRAVITY, 0.5
 MONTHS = 12
 
 
-def to_target(source: Grid, target: Grid, spark) -> DataFrame:
-    return mapping4(target.points(spark), source, resolution(target, F.col("j"), F.col("i")))
+def to_target(source: Grid, target: Grid, spark, name: str | None = None) -> DataFrame | kept.Kept:
+    """The 4-point mapping of a source grid; stored under a table name if there is one, for parts that apply it again and again."""
+    found = mapping4(target.points(spark), source, resolution(target, F.col("j"), F.col("i")))
+    return kept.build(found, name) if name else found
 
 
 def relief(source: DataFrame, grid: Grid, target: Grid, class_table: DataFrame, sea_class: int = 1) -> DataFrame:
@@ -31,15 +34,11 @@ def relief(source: DataFrame, grid: Grid, target: Grid, class_table: DataFrame,
     source: iglo, j, i, x, y, lon, lat, zs, clay, sand, cover. Heights become geopotential; those of the sea do not count.
     The envelope adds the deviation, and obstacles are seen from the envelope. Slopes are turned to the target's axes."""
     land = source.withColumn("geo", fx.masked(F.col("zs") * fx.GRAVITY, F.col("cover") == sea_class))
-    cells = physio.to_cells(land, target)
-    means = regrid(cells, dict.fromkeys(("geo", "clay", "sand"), "avg"))
-    parts = covers.fractions(cells)
-    shares = covers.parameter_means(parts, class_table, ["sea", "water", "town"])
-    sea = parts.where(F.col("cover") == sea_class).select("iglo2", F.col("frac").alias("_sea"))
-    shape = physio.terrain_tensor(land, grid, target, "geo", turned=True).drop("avg")
-    out = target.points(source.sparkSession)
-    for part in (means, shape, shares, sea):
-        out = out.join(part.withColumnRenamed("iglo2", "iglo"), "iglo", "left")
+    cells = physio.to_cells(physio.with_slopes(land, grid, target, "geo", turned=True), target)
+    found = physio.cell_summary(cells, ["geo", "clay", "sand", *physio.PRODUCTS], [], class_table, ["sea", "water", "town"], sea_class)
+    found = found.withColumnRenamed("iglo2", "iglo").withColumns(physio.shape("geo")).drop(*physio.PRODUCTS)
+    found = settled(found, "cells")
+    out = target.points(source.sparkSession).join(found, "iglo", "left")
     out = out.withColumn("geo", fx.envelope(F.col("geo"), F.col("stdev")))
     high = physio.obstacles(land, grid, out.select("iglo", F.col("geo").alias("avg")), target, "geo")
     out = out.join(high.withColumnRenamed("iglo2", "iglo"), "iglo", "left")
@@ -53,7 +52,7 @@ def relief(source: DataFrame, grid: Grid, target: Grid, class_table: DataFrame,
 SOIL_FIELDS = ("alb", "emi", "dps", "vgx", "dpr")
 
 
-def soil(base: DataFrame, fields: DataFrame, mapping: DataFrame) -> DataFrame:
+def soil(base: DataFrame, fields: DataFrame, mapping: DataFrame | kept.Kept) -> DataFrame:
     """Part 2: base (iglo, lsm, land, sand, clay, urban and others) with kind, veg, and the final soil of soil_final.
 
     fields: iglo, itp (vegetation type) and SOIL_FIELDS on their own grid. Types become densities, so that 4-point values tell the dominant one."""
@@ -67,7 +66,7 @@ def soil(base: DataFrame, fields: DataFrame, mapping: DataFrame) -> DataFrame:
     return out.withColumns(fx.soil_final(F.col("kind"), F.col("land"), before)).drop(*SOIL_FIELDS, *hot)
 
 
-def temperatures(base: DataFrame, fixed: DataFrame, monthly: DataFrame, mapping: DataFrame, lags: tuple[float, float] = (TEMPERATURE_LAG, MOISTURE_LAG)) -> DataFrame:
+def temperatures(base: DataFrame, fixed: DataFrame, monthly: DataFrame, mapping: DataFrame | kept.Kept, lags: tuple[float, float] = (TEMPERATURE_LAG, MOISTURE_LAG)) -> DataFrame:
     """Part 3: month, iglo, t, t_deep, wet, wet_deep, snow, albedo, emis and z0.
 
     fixed: iglo, lfrac, orog, ifrac; monthly: month, iglo, tg, td, ts, all on one source grid. base: iglo, lsm, geo, kind,
@@ -91,7 +90,7 @@ def temperatures(base: DataFrame, fixed: DataFrame, monthly: DataFrame, mapping:
     return own.select("month", "iglo", "t", "t_deep", "wet", "wet_deep", "snow", "albedo", "emis", "z0")
 
 
-def vegetation(base: DataFrame, months: DataFrame, fixed: DataFrame, monthly: DataFrame, mapping: DataFrame) -> DataFrame:
+def vegetation(base: DataFrame, months: DataFrame, fixed: DataFrame, monthly: DataFrame, mapping: DataFrame | kept.Kept) -> DataFrame:
     """Part 4: month, iglo, veg, z0, albedo, lai, rsmin, z0_therm, z0_veg, albedo_veg.
 
     fixed: iglo, z0v, alv, rsm; monthly: month, iglo, veg, lai on one source grid. base: whole-year fields; months: z0 and albedo of part 3."""
@@ -106,7 +105,7 @@ def vegetation(base: DataFrame, months: DataFrame, fixed: DataFrame, monthly: Da
     return own.select("month", "iglo", *[c.alias(n) for n, c in after.items()])
 
 
-def plain_months(monthly: DataFrame, mapping: DataFrame, fields: list[str]) -> DataFrame:
+def plain_months(monthly: DataFrame, mapping: DataFrame | kept.Kept, fields: list[str]) -> DataFrame:
     """Parts 8 and 9 (ozone coefficients, aerosols): month, iglo and the 4-point values of the fields."""
     return interpolate4(mapping, monthly, fields, by=("month",)).withColumnRenamed("iglo2", "iglo").select("month", "iglo", *fields)
 

@@ -10,27 +10,28 @@ from pyspark.sql import functions as F
 
 from ..functions import fields as fx
 from ..functions.geometry import elliptical_mountain
-from ..operators import covers, physio
+from ..operators import physio
 from ..operators.mapping import mapping4, resolution
 from ..operators.regrid import OPTIONS, filled_with_means, interpolate4, matching_masks, regrid
 from .grids import Grid
+from .scratch import settled
 
 
-def surface(source: DataFrame, grid: Grid, target: Grid, class_table: DataFrame, ellipse: tuple[float, ...] | None = None, sea_class: int = 1) -> DataFrame:
+def surface(source: DataFrame, grid: Grid | dict[str, Grid], target: Grid, class_table: DataFrame, ellipse: tuple[float, ...] | None = None, sea_class: int = 1) -> DataFrame:
     """PG-PGD: iglo and the surface fields of each target point.
 
     source: iglo, j, i, x, y, lon, lat, zs, clay, sand, cover on the grid. Covers are counted before the sea is masked out of
-    the height; the envelope adds the deviation to the mean height. Class shares in long form come from covers.fractions."""
+    the height; the envelope adds the deviation to the mean height. grid: that of all inputs, or of each by name, which must be the
+    same. The source is read twice: for all means and shares of the cells, and for what stands above them."""
+    grid = same_geometry(grid) if isinstance(grid, dict) else grid
     if ellipse:
         source = source.withColumns({"zs": elliptical_mountain(F.col("lon"), F.col("lat"), *ellipse), "clay": F.lit(0.0), "sand": F.lit(0.0), "cover": F.lit(2)})
     land = source.withColumn("zs", fx.masked(F.col("zs"), F.col("cover") == sea_class))
-    cells = physio.to_cells(land, target)
-    means = regrid(cells, {"zs": ("avg", "min", "max"), "clay": "avg", "sand": "avg"})
-    shares = covers.parameter_means(covers.fractions(cells), class_table, ["sea", "nature", "water", "town"])
-    relief = physio.terrain_tensor(land, grid, target).drop("avg")
-    points = target.points(source.sparkSession)
-    out = points.join(means.withColumnRenamed("iglo2", "iglo"), "iglo", "left")
-    out = out.join(relief.withColumnRenamed("iglo2", "iglo"), "iglo", "left").join(shares.withColumnRenamed("iglo2", "iglo"), "iglo", "left")
+    cells = physio.to_cells(physio.with_slopes(land, grid, target), target)
+    found = physio.cell_summary(cells, ["zs", "clay", "sand", *physio.PRODUCTS], ["zs"], class_table, ["sea", "nature", "water", "town"])
+    found = found.withColumnsRenamed({"iglo2": "iglo", "zs": "zs_avg"}).withColumns(physio.shape("zs_avg")).drop(*physio.PRODUCTS)
+    found = settled(found, "cells")
+    out = target.points(source.sparkSession).join(found, "iglo", "left")
     high = physio.obstacles(land, grid, out.select("iglo", F.col("zs_avg").alias("avg")), target)
     out = out.join(high.withColumnRenamed("iglo2", "iglo"), "iglo", "left")
     dummy = fx.dummies(F.col("sea"), F.col("nature"))
@@ -39,10 +40,12 @@ def surface(source: DataFrame, grid: Grid, target: Grid, class_table: DataFrame,
     return out.withColumns({c: fx.or_zero(F.col(c)) for c in zero})
 
 
-def initial_state(state: DataFrame, source: Grid, target: Grid, fields: list[str], fractions: list[str], target_fractions: DataFrame) -> DataFrame:
+def initial_state(state: DataFrame, source: Grid | dict[str, Grid], target: Grid, fields: list[str], fractions: list[str], target_fractions: DataFrame) -> DataFrame:
     """PG-PREP: iglo and the fields on the target: cell means, else 4-point values, else the mean over the field's mask.
 
-    Which fraction a field is defined on is settled by its support on the source: a matrix of counts, a row for each field."""
+    Which fraction a field is defined on is settled by its support on the source: a matrix of counts, a row for each field. source:
+    the grid of state and fractions, or of each by name, which must be the same."""
+    source = same_geometry(source) if isinstance(source, dict) else source
     points = target.points(state.sparkSession)
     cells = regrid(physio.to_cells(state, target), dict.fromkeys(fields, "avg")).withColumnRenamed("iglo2", "iglo")
     mapping = mapping4(points, source, resolution(target, F.col("j"), F.col("i")))

@@ -6,8 +6,6 @@ and all run in one process.
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -16,12 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fields as fx
-from ..operators import covers, mapping, regrid
+from ..operators import covers, kept, mapping, regrid
 from .. import tools
 from ..sources import classes, packing, rasters, sinks
 from . import climatology, grids, pipelines
 from .catalog import CELL, CLASSES, FIELD, GAUSS, MEASURED, NUDGE, NX, NY, REGION, SOURCE, SRC, TARGET, TX, TY, _both, _by_class, _pressure_sql, _within, field, gauss_points, gauss_rows, lag_sql, mapping_sql, mean4_sql, measured_classes, r6, source_points
 from .catalog import classes as class_shares
+from .scratch import folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,16 +36,6 @@ def query(sql: str | None = None):
     return add
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/gridloom/{name}-{uuid.uuid4().hex}"
-
-
 def put(path: str, data: bytes) -> str:
     """Writes a small file to any file system."""
     from pyarrow import fs
@@ -345,7 +334,7 @@ def pg_prep(spark: SparkSession, sf_dir: str) -> DataFrame:
     west = F.col("i") < 20
     state = field(spark, sf_dir).withColumns({"sea": F.when(west, 1.0).otherwise(0.0), "nature": F.when(west, 0.0).otherwise(1.0), "sst": F.when(west, 290.0 + F.col("y")), "tg": F.when(~west, 280.0 + F.col("x"))})
     there = GAUSS.points(spark).select("iglo", F.when(F.col("lon") < 200, 1.0).otherwise(0.0).alias("sea"), F.when(F.col("lon") < 200, 0.0).otherwise(1.0).alias("nature"))
-    out = pipelines.initial_state(state, TARGET, GAUSS, ["sst", "tg", "v"], ["sea", "nature"], there)
+    out = pipelines.initial_state(state, {"state": TARGET, "fractions": TARGET}, GAUSS, ["sst", "tg", "v"], ["sea", "nature"], there)
     return out.select("iglo", r6("sst").alias("sst"), r6("tg").alias("tg"), F.round("v", 4).alias("v"))
 
 
@@ -362,11 +351,15 @@ def _slope(a: str, b: str, pa: str, pb: str, origin: str, scale: str) -> str:
     return f"CASE WHEN v IS NOT NULL THEN coalesce({core}, 0.0) ELSE {core} END"
 
 
-def relief_sql(factor: float, envelope: bool) -> str:
-    """CTE out2: iglo and all of a target cell that surface descriptions use; heights times the factor, obstacles seen from the mean or the envelope."""
+def relief_sql(factor: float, envelope: bool, gauss: bool = False) -> str:
+    """CTE out2: iglo and all of a target cell that surface descriptions use; heights times the factor, obstacles seen from the mean or the envelope; cells of the target grid or of GAUSS."""
     arms = lambda f: f"""SELECT s.*, e.{f} AS ve, w.{f} AS vw, CASE WHEN s.j = 0 THEN s.{f} ELSE n.{f} END AS vn, CASE WHEN s.j = {NY - 1} THEN s.{f} ELSE o.{f} END AS vs, CASE WHEN s.j = 0 THEN 180.0 - s.y ELSE n.y END AS yn, CASE WHEN s.j = {NY - 1} THEN -180.0 - s.y ELSE o.y END AS ys,
     cos(radians(s.y)) * radians(1.0) AS bx, radians(1.0) AS b_y FROM {{0}} s JOIN {{0}} e ON e.j = s.j AND e.i = (s.i + 1) % {NX} JOIN {{0}} w ON w.j = s.j AND w.i = (s.i + {NX - 1}) % {NX} LEFT JOIN {{0}} n ON n.j = s.j - 1 AND n.i = s.i LEFT JOIN {{0}} o ON o.j = s.j + 1 AND o.i = s.i"""
     seen = "zs_avg + stdev" if envelope else "zs_avg"
+    cells = f"s2 AS (SELECT *, CAST(greatest(0, least({TY - 1}, floor((y - 85.0) / -10.0 + 0.5))) AS BIGINT) * {TX} + CAST(CASE WHEN x >= 5.0 THEN floor((x - 5.0) / 10.0 + 0.5) ELSE ceil((x - 5.0) / 10.0 - 0.5) END AS BIGINT) % {TX} AS cell2 FROM s1)"
+    if gauss:
+        cells = f"gr(j, y, lo, hi, nx, dx, off) AS (VALUES {gauss_rows()}), s2 AS (SELECT s1.*, CAST(off + CAST(floor(x / dx + 0.5) AS BIGINT) % nx AS BIGINT) AS cell2 FROM s1 JOIN gr ON s1.y > lo AND s1.y <= hi)"
+    size = GAUSS.size if gauss else TX * TY
     # Turned vectors have both components or none.
     gone = lambda a, b: f"CASE WHEN {b} IS NOT NULL THEN {a} END" if envelope else a
     sides = (("ip", "ve", "bx * 1.0"), ("im", "vw", "bx * 1.0"), ("jp", "vn", "b_y * abs(yn - y)"), ("jm", "vs", "b_y * abs(ys - y)"))
@@ -374,7 +367,7 @@ def relief_sql(factor: float, envelope: bool) -> str:
     obstacles = ", ".join(f"avg(CASE WHEN d IS NOT NULL THEN greatest(0.0, {rise(v)} / ({away} * 6371229.0)) END) AS aos_{n}, avg(CASE WHEN d IS NOT NULL AND {rise(v)} {'<' if n in ('im', 'jm') else '>'} 0 THEN {'-' if n in ('im', 'jm') else ''}({rise(v)}) * 0.5 END) AS ho2_{n}" for n, v, away in sides)
     return f"""{SRC}, {CLASSES}, pt AS (SELECT j, i, avg(zs) AS zs, avg(clay) AS clay, avg(sand) AS sand, min(cover) AS cover FROM src GROUP BY j, i),
   s1 AS (SELECT r.iglo, CAST(r.iglo // {NX} AS BIGINT) AS j, r.iglo % {NX} AS i, 0.5 + r.iglo % {NX} AS x, 89.5 - r.iglo // {NX} AS y, CASE WHEN cover = 1 THEN NULL ELSE zs * {factor!r} END AS v, clay, sand, cover FROM (SELECT unnest(range(0, {NX * NY})) AS iglo) r LEFT JOIN pt ON pt.j = r.iglo // {NX} AND pt.i = r.iglo % {NX}),
-  s2 AS (SELECT *, CAST(greatest(0, least({TY - 1}, floor((y - 85.0) / -10.0 + 0.5))) AS BIGINT) * {TX} + CAST(CASE WHEN x >= 5.0 THEN floor((x - 5.0) / 10.0 + 0.5) ELSE ceil((x - 5.0) / 10.0 - 0.5) END AS BIGINT) % {TX} AS cell2 FROM s1),
+  {cells},
   sa AS ({arms('v').format('s2')}), sg AS (SELECT *, {_slope('ve', 'vw', 'x + 1.0', 'x - 1.0', 'x', 'bx')} AS gx, {_slope('vn', 'vs', 'yn', 'ys', 'y', 'b_y')} AS gy FROM sa),
   m2 AS (SELECT cell2, avg(v) AS zs_avg, min(v) AS zs_min, max(v) AS zs_max, avg(clay) AS clay, avg(sand) AS sand FROM s2 GROUP BY cell2),
   t2 AS (SELECT cell2, avg({gone('gx * gx', 'gy')}) AS xx, avg({gone('gy * gy', 'gx')}) AS yy, avg(gx * gy) AS xy, avg(v * v) AS sq, avg(v) AS av FROM sg GROUP BY cell2),
@@ -382,9 +375,9 @@ def relief_sql(factor: float, envelope: bool) -> str:
   f2 AS (SELECT cell2, CASE WHEN av IS NOT NULL THEN atan2(xy, l) * 90 / pi() END AS dir, CASE WHEN av IS NOT NULL THEN sqrt(k + r) END AS slope, CASE WHEN av IS NOT NULL THEN CASE WHEN k + r > 0 THEN sqrt(greatest(k - r, 0.0) / (k + r)) ELSE 1.0 END END AS anis, CASE WHEN av IS NOT NULL THEN sqrt(greatest(sq - av * av, 0.0)) END AS stdev FROM k2),
   c2 AS (SELECT cell2, cover, count(*) / CAST(sum(count(*)) OVER (PARTITION BY cell2) AS DOUBLE) AS frac FROM s2 WHERE cover IS NOT NULL GROUP BY cell2, cover),
   h2 AS (SELECT cell2, max(CASE WHEN cover = 1 THEN frac END) AS first, {', '.join(f'sum(frac * {p}) / nullif(sum(frac), 0) AS {p}' for p in ('sea', 'nature', 'water', 'town'))} FROM c2 JOIN classes USING (cover) GROUP BY cell2),
-  field AS (SELECT cell2 AS iglo, {seen} AS v FROM m2 JOIN f2 USING (cell2)), {mapping_sql(ALL_POINTS)}, sm AS (SELECT iglo2 AS iglo, {mean4_sql('v')} AS smooth FROM w4 JOIN field ON field.iglo = w4.iglo1 GROUP BY iglo2),
+  field AS (SELECT cell2 AS iglo, {seen} AS v FROM m2 JOIN f2 USING (cell2)), {mapping_sql(ALL_POINTS, gauss)}, sm AS (SELECT iglo2 AS iglo, {mean4_sql('v')} AS smooth FROM w4 JOIN field ON field.iglo = w4.iglo1 GROUP BY iglo2),
   sd AS (SELECT s2.iglo, j, i, x, y, cell2, v - smooth AS d FROM s2 LEFT JOIN sm USING (iglo)), sh AS ({arms('d').format('sd')}), o2 AS (SELECT cell2, {obstacles} FROM sh GROUP BY cell2),
-  out2 AS (SELECT r.iglo, m2.* EXCLUDE (cell2), f2.* EXCLUDE (cell2), h2.* EXCLUDE (cell2), o2.* EXCLUDE (cell2) FROM (SELECT unnest(range(0, {TX * TY})) AS iglo) r LEFT JOIN m2 ON m2.cell2 = r.iglo LEFT JOIN f2 ON f2.cell2 = r.iglo LEFT JOIN h2 ON h2.cell2 = r.iglo LEFT JOIN o2 ON o2.cell2 = r.iglo)"""
+  out2 AS (SELECT r.iglo, m2.* EXCLUDE (cell2), f2.* EXCLUDE (cell2), h2.* EXCLUDE (cell2), o2.* EXCLUDE (cell2) FROM (SELECT unnest(range(0, {size})) AS iglo) r LEFT JOIN m2 ON m2.cell2 = r.iglo LEFT JOIN f2 ON f2.cell2 = r.iglo LEFT JOIN h2 ON h2.cell2 = r.iglo LEFT JOIN o2 ON o2.cell2 = r.iglo)"""
 
 
 SIDES = [f"{k}_{n}" for k in ("aos", "ho2") for n in ("ip", "im", "jp", "jm")]
@@ -394,7 +387,7 @@ SIDES = [f"{k}_{n}" for k in ("aos", "ho2") for n in ("ip", "im", "jp", "jm")]
   {', '.join(f'round({c}, 6) AS {c}' for c in ('sea', 'nature', 'water', 'town'))}, {', '.join(f'round(coalesce({c}, 0.0), 6) AS {c}' for c in SIDES)}, CASE WHEN sea > 0 THEN -300.0 END AS bathy, CASE WHEN nature > 0 THEN 0.5 END AS runoff, CASE WHEN nature > 0 THEN 0.0 END AS wdrain FROM out2""")
 def pg_pgd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PG-PGD over the whole chain."""
-    out = pipelines.surface(whole_source(spark, sf_dir), SOURCE, TARGET, class_shares(spark))
+    out = pipelines.surface(whole_source(spark, sf_dir), {n: SOURCE for n in ("cover", "zs", "clay", "sand")}, TARGET, class_shares(spark))
     return out.select("iglo", *[r6(c).alias(c) for c in out.columns if c not in ("iglo", "j", "i", "x", "y")])
 
 
@@ -402,15 +395,20 @@ _A = "(coalesce(aos_ip, 0.0) + coalesce(aos_im, 0.0) + coalesce(aos_jp, 0.0) + c
 _Z0 = f"CASE WHEN zs_avg IS NULL THEN 0.0 WHEN {_A} > 0 THEN greatest(0.25 * (coalesce(ho2_ip, 0.0) + coalesce(ho2_im, 0.0) + coalesce(ho2_jp, 0.0) + coalesce(ho2_jm, 0.0)) * exp(-sqrt(1.0 / nullif({_A}, 0))), 1e-10) ELSE 0.0 END"
 
 
-@query(f"""WITH {relief_sql(fx.GRAVITY, True)} SELECT iglo, round(coalesce(zs_avg + stdev, 0.0), 4) AS geo, round(coalesce(sand, 0.0), 6) AS sand, round(coalesce(clay, 0.0), 6) AS clay, round(coalesce(radians(dir), 0.0), 6) AS dir, round(coalesce(anis * anis, 0.0), 6) AS anis, round(coalesce(stdev, 0.0), 4) AS stdev, round({_Z0}, 4) AS z0_relief, round({_Z0}, 4) AS z0,
-  CASE WHEN coalesce(first > 0.5, false) OR coalesce(water > 0.5, false) THEN 0.0 ELSE 1.0 END AS lsm, round(town, 6) AS urban, round(1 - (sea + water), 6) AS land FROM out2""")
+def clim_relief_sql(gauss: bool, digits: int) -> str:
+    round_ = lambda c, n=digits: f"round({c}, {n})"
+    whole = ", ".join(f"{round_(c, min(n, digits))} AS {name}" for name, c, n in (("geo", "coalesce(zs_avg + stdev, 0.0)", 4), ("sand", "coalesce(sand, 0.0)", 6), ("clay", "coalesce(clay, 0.0)", 6), ("dir", "coalesce(radians(dir), 0.0)", 6), ("anis", "coalesce(anis * anis, 0.0)", 6), ("stdev", "coalesce(stdev, 0.0)", 4), ("z0_relief", _Z0, 4), ("z0", _Z0, 4)))
+    return f"""WITH {relief_sql(fx.GRAVITY, True, gauss)} SELECT iglo, {whole}, CASE WHEN coalesce(first > 0.5, false) OR coalesce(water > 0.5, false) THEN 0.0 ELSE 1.0 END AS lsm, {round_('town')} AS urban, {round_('1 - (sea + water)')} AS land FROM out2"""
+
+
+@query(clim_relief_sql(False, 6))
 def pg_clim_relief(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PG-CLIM, part 1: relief in geopotential, roughness from obstacles above the envelope, shares and land-sea mask."""
     out = climatology.relief(whole_source(spark, sf_dir), SOURCE, TARGET, class_shares(spark))
     return out.select("iglo", *[F.col(c) if c == "lsm" else (F.round(c, 4) if c in ("geo", "stdev", "z0_relief", "z0") else r6(c)).alias(c) for c in out.columns if c != "iglo"])
 
 
-@query()
+@query(clim_relief_sql(True, 4))
 def pg_clim_relief_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PG-CLIM, part 1, onto a reduced Gaussian grid."""
     out = climatology.relief(whole_source(spark, sf_dir), SOURCE, GAUSS, class_shares(spark))
@@ -422,15 +420,15 @@ BASE = "base0 AS (SELECT iglo, CASE WHEN iglo % 3 = 0 THEN 0.0 ELSE 1.0 END AS l
 MONTHLY = 'mo AS (SELECT iglo, m AS "month", 268.0 + alb * 20 + m AS tg, 262.0 + emi * 10 + m AS td, 266.0 + m AS ts, (iglo % 6) / 5.0 * m / 12 AS veg, CASE WHEN iglo % 4 <> 0 THEN 0.5 * m END AS lai FROM g, (SELECT unnest(range(1, 13)) AS m))'
 
 
-def given(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Source fields, their months, the target's fields so far and the mapping."""
+def given(spark: SparkSession, sf_dir: str, stored: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | kept.Kept]:
+    """Source fields, their months, the target's fields so far and the mapping, stored as a table or not."""
     k = F.col("iglo")
     g = field(spark, sf_dir).select("iglo", "v", (1 + F.floor(k / 3) % 5).cast("int").alias("itp"), (0.1 + k % 9 / 10.0).alias("alb"), (0.88 + k % 7 / 50.0).alias("emi"), (F.col("v") / 8000).alias("dps"), (k % 11 / 10.0).alias("vgx"), (F.col("v") / 9000).alias("dpr"), (0.001 * (k % 13)).alias("z0v"), (k % 8 / 10.0).alias("alv"), (1.0 + k % 40).alias("rsm"), (k % 5 / 4.0).alias("lfrac"), (k * 10.0).alias("orog"), (k % 3 / 4.0).alias("ifrac"))
     m = F.col("month")
     months = g.crossJoin(F.broadcast(spark.range(1, 13).select(F.col("id").cast("int").alias("month"))))  # twelve rows
     months = months.select("iglo", "month", (268.0 + F.col("alb") * 20 + m).alias("tg"), (262.0 + F.col("emi") * 10 + m).alias("td"), (266.0 + m).alias("ts"), (k % 6 / 5.0 * m / 12).alias("veg"), F.when(k % 4 != 0, 0.5 * m).alias("lai"))
     base = GAUSS.points(spark).select("iglo", F.when(k % 3 == 0, 0.0).otherwise(1.0).alias("lsm"), (0.2 + k % 7 / 10.0).alias("land"), (10.0 + k % 60).alias("clay"), (5.0 + k % 90).alias("sand"), (k % 5 / 10.0).alias("urban"), (k * 5.0).alias("geo"), (0.05 + k % 4 / 10.0).alias("z0"))
-    return g, months, base, climatology.to_target(TARGET, GAUSS, spark)
+    return g, months, base, climatology.to_target(TARGET, GAUSS, spark, f"gridloom_mapping_{uuid.uuid4().hex}" if stored else None)
 
 
 _FIVE = ", ".join(f"{mean4_sql(f'CASE WHEN itp = {k} THEN 1.0 ELSE 0.0 END')} AS s{k}" for k in range(1, 6))
@@ -485,7 +483,7 @@ PLANTS = f"""pv AS (SELECT mo.iglo, "month", veg, alv, CASE WHEN veg < 0.02 OR z
   round(CASE WHEN water THEN 0.0 ELSE zl END, 6) AS lai, round(CASE WHEN water THEN 5000.0 ELSE zr END, 6) AS rsmin, round(CASE WHEN water THEN yz ELSE zz * 0.1 END, 6) AS z0_therm, round(CASE WHEN water THEN 0.0 ELSE zz END, 6) AS z0_veg, round(CASE WHEN water THEN 0.05 ELSE za END, 6) AS albedo_veg FROM pd""")
 def pg_clim_vegetation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PG-CLIM, part 4: monthly vegetation."""
-    g, months, base, m = given(spark, sf_dir)
+    g, months, base, m = given(spark, sf_dir, stored=True)
     year = climatology.soil(base, g, m)
     third = climatology.temperatures(year, g.select("iglo", "lfrac", "orog", "ifrac"), months.select("iglo", "month", "tg", "td", "ts"), m)
     out = climatology.vegetation(year, third, g.select("iglo", "z0v", "alv", "rsm"), months.select("iglo", "month", "veg", "lai"), m)
@@ -495,5 +493,5 @@ def pg_clim_vegetation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f'WITH {_START}, {MONTHLY} SELECT iglo2 AS iglo, CAST("month" AS INTEGER) AS "month", {", ".join(f"round({mean4_sql(f)}, 6) AS {f}" for f in ("tg", "td", "ts"))} FROM w4 JOIN mo ON mo.iglo = w4.iglo1 GROUP BY iglo2, "month"')
 def pg_clim_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PG-CLIM, parts 8 and 9: plain monthly fields."""
-    _, months, _, m = given(spark, sf_dir)
+    _, months, _, m = given(spark, sf_dir, stored=True)
     return climatology.plain_months(months, m, ["tg", "td", "ts"]).select("iglo", "month", *[r6(c).alias(c) for c in ("tg", "td", "ts")])

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import fields as fx
 from gridloom.functions import geometry as geo
 from gridloom.operators import covers, physio, regrid
-from gridloom.plans import grids, pipelines
+from gridloom.plans import climatology, grids, pipelines
 
 SOURCE, TARGET = grids.shifted_lonlat(72, 36), grids.shifted_lonlat(24, 12)
 
@@ -70,3 +70,27 @@ def test_field_expressions(spark):
     assert df.select(covers.dominant([F.lit(1.0), *[F.lit(0.0)] * 4], F.lit(1.0)), covers.dominant([F.lit(0.0), F.lit(1.0), *[F.lit(0.0)] * 3], F.lit(0.0))).first() == (covers.DESERT, covers.SEA)
     masks = regrid.matching_masks(df.withColumns({"f": F.lit(1.0), "g": F.when(F.col("a").isNotNull(), 1.0)}), ["a"], ["f", "g"]).collect()
     assert [tuple(r) for r in masks] == [("a", "g")]
+
+
+def test_the_source_is_read_twice(spark, tmp_path):
+    """Means, shares and slopes in one pass, obstacles in another; and inputs on other grids are refused."""
+    land(spark).write.parquet(str(tmp_path / "land"))
+    source = spark.read.parquet(str(tmp_path / "land"))
+    for out in (pipelines.surface(source, {"zs": SOURCE, "clay": SOURCE}, TARGET, classes(spark)), climatology.relief(source, SOURCE, TARGET, classes(spark))):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        # What is left reads the source once, for the obstacles; the cells have been settled by one pass over it.
+        assert sum("cover#" in x for x in plan.split("\n") if "Relation [" in x) == 1
+    with pytest.raises(ValueError, match="clay against zs"):
+        pipelines.surface(source, {"zs": SOURCE, "clay": TARGET}, TARGET, classes(spark))
+
+
+def test_a_stored_mapping_serves_the_months(spark):
+    import uuid
+
+    s = SOURCE.points(spark).crossJoin(spark.range(1, 4).select(F.col("id").cast("int").alias("month"))).withColumns({"a": F.col("lat") + F.col("month"), "b": F.when(F.col("i") > 3, F.col("lon"))})
+    plain = climatology.to_target(SOURCE, TARGET, spark)
+    stored = climatology.to_target(SOURCE, TARGET, spark, f"months_{uuid.uuid4().hex}")
+    want, got = ({(r["month"], r["iglo"]): (r["a"], r["b"]) for r in climatology.plain_months(s, m, ["a", "b"]).collect()} for m in (plain, stored))
+    assert set(want) == set(got) and len(want) == 3 * TARGET.size
+    for k, (a, b) in want.items():
+        assert got[k][0] == pytest.approx(a) and (got[k][1] is None if b is None else got[k][1] == pytest.approx(b))
