@@ -3,7 +3,7 @@
 Line breaks do not show where a passage was pasted, so paragraphs are content-defined: WORDS words from each anchor, and from
 the start and up to the end of each text. Anchors are chosen by winnowing: of any CHOICE places in a row at which a paragraph
 may start, the one whose pair of words has the least hash is one. They depend on nothing else, so whatever passage of
-WORDS + CHOICE - 1 = 51 words two texts have in common, they have a paragraph in common. Every paragraph gets bands of ROWS
+WORDS + CHOICE - 1 = 30 words two texts have in common, they have a paragraph in common. Every paragraph gets bands of ROWS
 MinHash values over its 5-word shingles and nothing else, as many as paragraphs of Jaccard similarity 0.8 need to collide with
 probability `recall`. Colliding paragraphs are compared exactly (see linking) and clustered by connected components. The first
 paragraph of a cluster, by document, stays; the others are removals. Each removal is extended to both sides as long as its
@@ -40,13 +40,13 @@ from .jaccard_join import keyed
 from .kernel import BASE, INVERSE, LOWER, U, mix, powers, row_bounds, shingles, word_hashes, words
 from .linking import components, few, having, linked, portions, shared
 
-WORDS, CHOICE, SHINGLE = 22, 30, 5
+WORDS, CHOICE, SHINGLE = 15, 16, 5
 #: MinHash values in a band; bits of a node that tell equal paragraphs in a bucket; nodes of a bucket that are compared in place.
 ROWS, PRINT, TOGETHER = 1, 16, 128
 BLOCK_BYTES = 8 << 20
 #: Shingles of a paragraph, at most; entries with sets that a task holds.
 MOST, SETS = WORDS - SHINGLE + 1, 1 << 18
-#: Words by which two linked paragraphs may be shifted against each other: |shift| <= 2 at 0.8, and some for edits.
+#: Words by which two linked paragraphs may be shifted against each other: |shift| <= 1 at 0.8, and some for edits.
 SHIFTS = (0, 1, -1, 2, -2, 3, -3, 4, -4)
 #: Documents that a copy of a first document's text serves.
 SHARE = 200
