@@ -3,7 +3,7 @@
 Line breaks do not show where a passage was pasted, so paragraphs are content-defined: WORDS words from each anchor, and from
 the start and up to the end of each text. Anchors are chosen by winnowing: of any CHOICE places in a row at which a paragraph
 may start, the one whose pair of words has the least hash is one. They depend on nothing else, so whatever passage of
-WORDS + CHOICE - 1 = 30 words two texts have in common, they have a paragraph in common. Every paragraph gets bands of ROWS
+WORDS + CHOICE - 1 = 34 words two texts have in common, they have a paragraph in common. Every paragraph gets bands of ROWS
 MinHash values over its 5-word shingles and nothing else, as many as paragraphs of Jaccard similarity 0.8 need to collide with
 probability `recall`. Colliding paragraphs are compared exactly (see linking) and clustered by connected components. The first
 paragraph of a cluster, by document, stays; the others are removals. Each removal is extended to both sides as long as its
@@ -40,7 +40,7 @@ from .jaccard_join import keyed
 from .kernel import BASE, INVERSE, LOWER, U, mix, powers, row_bounds, shingles, word_hashes, words
 from .linking import components, few, having, linked, portions, shared
 
-WORDS, CHOICE, SHINGLE = 15, 16, 5
+WORDS, CHOICE, SHINGLE = 15, 20, 5
 #: MinHash values in a band; bits of a node that tell equal paragraphs in a bucket; nodes of a bucket that are compared in place.
 ROWS, PRINT, TOGETHER = 1, 16, 128
 BLOCK_BYTES = 8 << 20
@@ -440,8 +440,12 @@ def extended(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     The text of a first document travels to the documents that repeat it, a copy for every SHARE of them."""
     found = written(found, "found")
-    first = written(found.where("not removed").groupBy("cluster").agg(F.min(F.struct("key", "start", "at", "n_words")).alias("o")), "firsts")
-    names = found.where("removed").join(few(first), "cluster").select("doc_id", "key", F.col("o.key").alias("first_key"), "start", "end", "at", "n_words", "cluster", F.col("o.start").alias("first_start"), F.col("o.at").alias("first_at"), F.col("o.n_words").alias("first_words"))
+    first = found.where("not removed").groupBy("cluster").agg(F.min(F.struct("key", "start", "at", "n_words")).alias("o"))
+    # Start, at and n_words as one long: what may be broadcast is three longs a row. Paragraphs have less than 64 words.
+    place = F.col("o.start").cast("long") * (1 << 33) + F.col("o.at").cast("long") * 64 + F.col("o.n_words")
+    first = written(first.select("cluster", F.col("o.key").alias("first_key"), place.alias("place")), "firsts")
+    told_ = [F.shiftrightunsigned("place", 33).cast("int").alias("first_start"), F.shiftright("place", 6).bitwiseAND(F.lit((1 << 27) - 1)).cast("int").alias("first_at"), F.col("place").bitwiseAND(F.lit(63)).cast("int").alias("first_words")]
+    names = found.where("removed").join(few(first), "cluster").select("doc_id", "key", "first_key", "start", "end", "at", "n_words", "cluster", *told_)
     pairs = written(names.groupBy("first_key", "key").agg(F.first("doc_id").alias("doc_id"), F.collect_set(F.struct(*MARK)).alias("marks")), "pairs")
     copies = written(pairs.groupBy("first_key").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("copies")), "copies")
 

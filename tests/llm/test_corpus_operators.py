@@ -183,7 +183,7 @@ def test_line_chunks(spark):
 
 
 def test_whole_passages_are_covered(spark):
-    """Passages of 51 words and more at any place of unlike texts: all their words are removed in every later document."""
+    """Passages of 51 words and more at any place of unlike texts: all their words are removed in every later document (from 34 on, see below)."""
     rnd = random.Random(12)
     rows, spots = [], []
     for i in range(120):
@@ -216,3 +216,35 @@ def test_pairs_with_another_first_word(spark):
         clusters[r["cluster"]].add(r["doc_id"])
     found = {(a, b) for c in clusters.values() for a in c for b in c if a < b}
     assert found <= pairs and len(found) >= 95
+
+
+def test_recall_inside_unlike_texts(spark):
+    """The share of passages found, by kind, through the whole operator: exact ones of some lengths, and near copies with changed words. From 34 words on exact ones are sure."""
+    rnd = random.Random(21)
+    kinds = {("exact", n, 0): bar for n, bar in ((26, 0.65), (30, 0.9), (34, 1.0), (36, 1.0), (40, 1.0))} | {("near", 60, 2): 0.9, ("near", 60, 3): 0.9, ("near", 100, 5): 0.9, ("near", 100, 3): 0.95}
+    rows, spots = [], []
+    for kind in kinds:
+        for _ in range(50):
+            words = [f"p{rnd.randrange(10**7)}" for _ in range(kind[1])]
+            other = list(words)
+            for k in rnd.sample(range(kind[1]), kind[2]):
+                other[k] = f"e{rnd.randrange(10**7)}"
+            for own in (words, other):
+                before, after = (" ".join(f"é{rnd.randrange(10**7)}" for _ in range(rnd.randrange(20, 120))) for _ in range(2))
+                rows.append((len(rows), f"{before} {' '.join(own)} {after}"))
+                spots.append((kind, len(before) + 1, len(before) + 1 + len(" ".join(own))))
+    found = collections.defaultdict(list)
+    for r in substring_dedup.op9(frame(spark, rows)).collect():
+        if r["removed"]:
+            found[r["doc_id"]].append((r["start"], r["end"]))
+    caught = collections.Counter()
+    for d in range(1, len(rows), 2):
+        kind, start, end = spots[d]
+        own = [(a, b) for a, b in found[d] if a < end and b > start]
+        caught[kind] += bool(own)
+        # Nothing far outside the passage goes: a window at an end may hold two strange words at 0.8.
+        assert all(start - 40 <= a and b <= end + 40 for a, b in found[d]), (d, kind)
+        if kind[0] == "exact" and own:
+            assert len(own) == 1 and own[0][0] <= start and own[0][1] >= end, (d, kind)
+    assert not any(found[d] for d in range(0, len(rows), 2))
+    assert {k: caught[k] / 50 for k in kinds if caught[k] < kinds[k] * 50} == {}
