@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fields as fx
-from ..operators import covers, kept, mapping, regrid
+from ..operators import covers, kept, mapping
 from .. import tools
 from ..sources import classes, packing, rasters, sinks
 from . import climatology, grids, pipelines

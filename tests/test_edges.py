@@ -167,8 +167,14 @@ def test_tools(spark, tmp_path):
     tools.run(spark, ["cat", "--file-1", file("b"), "--file-2", file("a"), "--out", file("c")])
     assert set(spark.read.parquet(file("c")).columns) == set(df.columns)
     tools.run(spark, ["split", "--file", file("a"), "--out", file("d"), "--each", "2"])
-    tools.run(spark, ["convert", "--file", file("a"), "--out", file("e"), "--bits", "8", "--skip", "SURFB"])
-    assert spark.read.parquet(file("e") + "/codes").count() == 18 + 9
+    for out, way in (("e", "simple"), ("f", "second")):
+        sizes = {r["field"]: r for r in tools.run(spark, ["convert", "--file", file("a"), "--out", file(out), "--bits", "8", "--skip", "SURFB", "--packing", way]).collect()}
+        assert {f: r["n_codes"] for f, r in sizes.items()} == {"S001A": 18, "S002A": 9} and sizes["S002A"]["bitmap_bytes"] > 0 == sizes["S001A"]["bitmap_bytes"]
+        assert way == "second" or sizes["S001A"]["data_bytes"] == 18
+        tools.run(spark, ["decode", "--file", file(out), "--out", file(out + "back")])
+        back = {r["iglo"]: r for r in spark.read.parquet(file(out + "back")).collect()}
+        for r in df.collect():
+            assert back[r["iglo"]]["S001A"] == pytest.approx(r["S001A"], abs=1.5) and (back[r["iglo"]]["S002A"] is None) == (r["S002A"] is None)
     with pytest.raises(ValueError, match="size mismatch"):
         tools.mixed(df.limit(3), df, "SURFB")
     with pytest.raises(SystemExit):
