@@ -44,6 +44,17 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discarded(*tables: DataFrame) -> None:
+    """Removes written tables, of which nothing that is still to run reads."""
+    for df in tables:
+        spark = df.sparkSession
+        own = f"{shared_dir(spark)}/gridloom/".split(":")[-1].lstrip("/")
+        for place in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if own in place:
+                path = spark._jvm.org.apache.hadoop.fs.Path(place)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

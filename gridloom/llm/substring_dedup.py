@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import meeting
 from .blocks import deflated, inflated
-from .common import buffers, given_back, sliced, texts, written
+from .common import buffers, discarded, given_back, sliced, texts, written
 from .jaccard_join import keyed
 from .kernel import BASE, INVERSE, LOWER, U, mix, powers, row_bounds, shingles, word_hashes, words
 from .linking import components, few, having, linked, portions, shared
@@ -365,6 +365,7 @@ def clustered(docs: DataFrame, num: int = 80, den: int = 100, recall: float = RE
         found = found.union(in_bytes(there))
     labels = components(edges)
     met = written(places(held, answers, found), "places")
+    discarded(held, answers, links)  # texts and index entries; all that follows stands on places and on labels, which is written
     # Clusters are settled on nodes; the paragraphs move once, if the nodes of real clusters are too many to broadcast.
     nodes = met.groupBy("node").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).join(labels, "node", "left").withColumn("cluster", F.coalesce("component", "node"))
     nodes = written(nodes.select("node", "cluster", "lo", "hi"), "nodes")

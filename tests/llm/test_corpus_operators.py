@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+from pathlib import Path
 
 import pytest
 
@@ -10,6 +11,7 @@ pytest.importorskip("gridloom.llm")
 
 from data import WORD, documents, frame, low, plain, prose
 from gridloom.llm import decontaminate, jaccard_join, line_dedup, linking, substring_dedup
+from gridloom.llm.common import discarded, written
 
 
 def shingle_set(text, k):
@@ -247,4 +249,8 @@ def test_recall_inside_unlike_texts(spark):
         if kind[0] == "exact" and own:
             assert len(own) == 1 and own[0][0] <= start and own[0][1] >= end, (d, kind)
     assert not any(found[d] for d in range(0, len(rows), 2))
+    held = written(spark.range(5), "held")
+    place = held.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    discarded(held)
+    assert not Path(place).exists()
     assert {k: caught[k] / 50 for k in kinds if caught[k] < kinds[k] * 50} == {}
