@@ -72,8 +72,9 @@ class Terms:
 
     def __init__(self, terms: list[bytes]):
         self.data = np.frombuffer(b"".join(terms), np.uint8)
-        self.ends = np.cumsum([len(t) for t in terms], dtype=np.int64)
-        self.starts = self.ends - [len(t) for t in terms]
+        sizes = np.array([len(t) for t in terms], np.int64)
+        self.ends = np.cumsum(sizes)
+        self.starts = self.ends - sizes
         hashes = kernel.word_hashes(self.data, self.starts, self.ends)
         self.order = np.argsort(hashes, kind="stable")
         self.hashes = hashes[self.order]
@@ -170,8 +171,9 @@ class Queries:
     def __init__(self, numbers: list[np.ndarray], terms: int):
         self.n, self.terms = len(numbers), terms
         self.flat = np.concatenate([np.zeros(0, np.int64), *numbers])
-        self.ends = np.cumsum([len(x) for x in numbers], dtype=np.int64)
-        self.starts = self.ends - [len(x) for x in numbers]
+        sizes = np.array([len(x) for x in numbers], np.int64)
+        self.ends = np.cumsum(sizes)
+        self.starts = self.ends - sizes
 
     def bounds(self, held: np.ndarray, top: np.ndarray) -> np.ndarray:
         """The most that a document of a block can score, for each item."""
